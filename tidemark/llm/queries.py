@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, packing, quality_rank, secret_scan, sharding, token_files
+from . import chat_format, language_id, packing, quality_rank, secret_scan, sharding, simhash, token_files
 from .common import remainder, table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.clustered(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
 def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
     found = quality_rank.scored(docs, quality_rank.fit(docs, table(spark, sf_dir, "labels"), ~held_out))
@@ -69,7 +73,7 @@ FROM turns GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rank, op4_token_files, op5_sharding, op7_language_id, op8_chat_format, op9_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_simhash, op3_quality_rank, op4_token_files, op5_sharding, op7_language_id, op8_chat_format, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
