@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, packing, quality_rank, secret_scan, sharding, simhash, token_files
+from . import chat_format, decontamination, language_id, packing, quality_rank, quality_rules, secret_scan, sharding, simhash, token_files
 from .common import remainder, table
 
 
@@ -21,6 +21,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clustered(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
     found = quality_rank.scored(docs, quality_rank.fit(docs, table(spark, sf_dir, "labels"), ~held_out))
@@ -36,6 +41,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 5) == 0
     found = language_id.identified(table(spark, sf_dir, "documents"), ~held_out)
@@ -73,7 +82,7 @@ FROM turns GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_quality_rank, op4_token_files, op5_sharding, op7_language_id, op8_chat_format, op9_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_quality_rank, op4_token_files, op5_sharding, op6_decontamination, op7_language_id, op8_chat_format, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
