@@ -26,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import P, written
@@ -311,18 +311,47 @@ def links(fps: DataFrame, plan: Plan) -> DataFrame:
     return dealt.repartition(*keys).sortWithinPartitions(*keys, f"{P}kind").mapInArrow(meet, "u long, v long")
 
 
+def hex_of(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
 def clustered(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """Rows doc_id, fingerprint (hex) and component_id, the least doc_id of all that are linked, over any number of steps."""
-    fp, one = f"{P}fp", f"{P}one"
+    """Rows doc_id, fingerprint (hex), component_id, the least doc_id of all that are linked, over any number of steps, and
+    cluster, a fingerprint that names the component."""
+    fp, one, root = f"{P}fp", f"{P}one", f"{P}root"
     docs_fp = written(fingerprints(docs, shingle), "fingerprints")
     # equal fingerprints are one node
     fps = written(docs_fp.groupBy(fp).agg(F.min("doc_id").alias(one)), "distinct")
     n = fps.count()
     if n > 1:
         found = components(links(fps, plan_for(fps, n, distance)))
-        nodes = fps.join(found.select(F.col("u").alias(fp), F.col("v").alias(f"{P}root")), fp, "left").withColumn(f"{P}root", F.coalesce(f"{P}root", fp))
-        least = nodes.groupBy(f"{P}root").agg(F.min(one).alias("component_id"))
-        fps = nodes.join(least, f"{P}root").select(fp, "component_id")
+        nodes = fps.join(found.select(F.col("u").alias(fp), F.col("v").alias(root)), fp, "left").withColumn(root, F.coalesce(root, fp))
+        least = nodes.groupBy(root).agg(F.min(one).alias("component_id"))
+        fps = nodes.join(least, root).select(fp, "component_id", root)
     else:
-        fps = fps.select(fp, F.col(one).alias("component_id"))
-    return docs_fp.join(fps, fp).select("doc_id", F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint"), "component_id")
+        fps = fps.select(fp, F.col(one).alias("component_id"), F.col(fp).alias(root))
+    return docs_fp.join(fps, fp).select("doc_id", hex_of(fp).alias("fingerprint"), "component_id", hex_of(root).alias("cluster"))
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One document of each component, that of the least doc_id, with the input's columns."""
+    found = written(clustered(docs, shingle, distance), "clusters")
+    of_id, rows, least = f"{P}id", f"{P}rows", f"{P}least"
+    counted = found.groupBy(F.col("doc_id").alias(of_id)).agg(F.count(F.lit(1)).alias(rows), F.min("component_id").alias(least))
+    plain = F.col(of_id).isNotNull() & (F.col(rows) == 1)
+    gone = counted.filter(~plain | (F.col(of_id) != F.col(least))).select(of_id)
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(of_id)), "left_anti")
+    # a doc_id on several rows, or null, doesn't name a row: of those in a component that it would stand for, the row of the least text stays
+    shared = counted.filter(~plain).select(of_id)
+    if shared.isEmpty():
+        return out
+
+    @F.pandas_udf("long")
+    def fp(texts):
+        return texts.map(lambda t: int(np.uint64(fingerprint(t, shingle)).view(np.int64)))
+
+    mine = docs.join(shared, F.col("doc_id").eqNullSafe(F.col(of_id)), "left_semi").select(F.struct(*(F.col(c) for c in docs.columns)).alias(f"{P}row"), fp(F.coalesce("text", F.lit(""))).alias(f"{P}fp"))
+    where = found.select(F.col("fingerprint").alias(f"{P}hex"), F.col("cluster").alias(f"{P}cluster"), F.col("component_id").alias(least)).distinct()
+    placed = mine.join(where, hex_of(f"{P}fp") == F.col(f"{P}hex")).filter(F.col(f"{P}row.doc_id").eqNullSafe(F.col(least)))
+    one = placed.groupBy(f"{P}cluster").agg(F.min_by(f"{P}row", F.coalesce(f"{P}row.text", F.lit(""))).alias(f"{P}row"))
+    return out.unionByName(one.select(f"{P}row.*"))
