@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import stats
-from .functions.node import Outputs, alarmed, node, output, schedule_alarm, starting, state, ticked, ts
+from .functions.node import Outputs, alarmed, node, output, schedule_alarm, starting, state, ticked, ts, valid
 from .model import Frame, Node, Run, Series, current, series_of, utc
 from .operators import basic as op
 from .operators.dynamic import dynamic
@@ -618,6 +618,60 @@ def sink_audit(spark, d):
     return sink.audit([n, n * 2]).withColumn("node", F.substring_index("node", "#", 1))
 
 
+# --- streams -----------------------------------------------------------------------------------------------
+
+@node(returns=Outputs(n="long", total="double"))
+def running(x: ts[float]):
+    """Ticks so far and their sum."""
+    s = state(n=0, total=0.0)
+    s.n, s.total = s.n + 1, s.total + x.value
+    output(n=s.n, total=s.total)
+
+
+@node(returns="double")
+def sampled(trigger: ts[float], x: ts[float]):
+    """x's latest value on each tick of the trigger."""
+    if ticked(trigger) and valid(x):
+        return x.value
+
+
+def _streamed(spark, d, body, name: str, inputs: dict) -> DataFrame:
+    """A node over `events` as a stream: the table's file, then a file of one far row that lets the last rows through."""
+    import uuid
+
+    from .streaming.stateful import FAR, replay, run_available, stream_node
+
+    schema = table(spark, d, "events").schema
+    folder = f"{_shared(spark)}/tidemark-far-{uuid.uuid4().hex}"
+    far = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit(FAR).cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"), F.lit(0.0).alias("value"))
+    far.write.parquet(folder)
+    # both in the first batch; the batch without data that follows fires the timers
+    stream = replay(spark, d, "events.parquet", schema).select("user_id", "ts", "event_type", "value").unionByName(replay(spark, folder, "*.parquet", far.schema))
+    found = run_available(stream_node(body, stream, ["user_id"], "ts", inputs, "0 seconds"), f"{name}_{uuid.uuid4().hex[:8]}")
+    return found.filter("user_id >= 0").withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t", "cyc")
+
+
+def _shared(spark) -> str:
+    """The folder that driver and executors share."""
+    import tempfile
+
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
+
+
+@query("SELECT user_id, ts, row_number() OVER w AS n, round(sum(value) OVER w, 4) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
+def stream_equals_batch_running(spark, d):
+    out = _streamed(spark, d, running, "running", {"x": F.col("value")})
+    return out.select("user_id", "ts", "n", settled(F.col("total"), 4).alias("total"))
+
+
+@query("""WITH p AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM events)
+SELECT user_id, ts, c AS value FROM p WHERE event_type = 'view' AND c IS NOT NULL""")
+def stream_equals_batch_sample(spark, d):
+    of = lambda k: F.when(F.col("event_type") == k, F.col("value"))
+    out = _streamed(spark, d, sampled, "sampled", {"trigger": of("view"), "x": of("click")})
+    return out.select("user_id", "ts", F.col("out").alias("value"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
