@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import Frame, Node, Series, align, current, micros, utc
+from ..sources.batch import const
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -224,7 +225,8 @@ def node(fn=None, *, returns: str | Outputs = "double", alarms: tuple[str, ...]
         bound = signature.bind_partial(*args, **kwargs)
         bound.apply_defaults()
         given = {k: bound.arguments[k] for k in inputs if k not in fed}
-        series = align(*given.values())
+        # without a series there is still the run's start
+        series = align(*(given.values() or [const(0)]))
         frame, names = series[0].frame, list(given)
         scalars = {k: v for k, v in bound.arguments.items() if not is_series[k]}
         keys, run = frame.keys, current.get()

@@ -20,9 +20,12 @@ def _alone(x: Series) -> Series:
 
     if ("alone", x.cell) in x.frame._known:
         return x
-    frame = Frame(x.frame.df.filter(x.ticked), x.frame.keys)
-    frame._known[("alone", x.cell)] = x.cell
-    return Series(frame, x.cell, x.node)
+    key = ("frame of", x.cell)
+    if key not in x.frame._known:
+        frame = Frame(x.frame.df.filter(x.ticked), x.frame.keys)
+        frame._known[("alone", x.cell)] = x.cell
+        x.frame._known[key] = frame
+    return Series(x.frame._known[key], x.cell, x.node)
 
 
 def window_of(x: Series, interval: int | timedelta):

@@ -190,15 +190,16 @@ def align(*series: Series) -> list[Series]:
     keys = frames[0].keys
     if any(f.keys != keys for f in frames):
         raise ValueError("series with different keys don't meet: " + ", ".join(str(f.keys) for f in frames))
-    cells = list(dict.fromkeys((x.frame, x.cell) for x in series))
-    kinds = {cell: frame.df.schema[cell].dataType for frame, cell in cells}
+    # new names: two frames may have a column of one name
+    cells = {(x.frame, x.cell): f"s{next(_ids)}" for x in series}
+    kinds = {name: frame.df.schema[cell].dataType for (frame, cell), name in cells.items()}
     parts = []
     for frame in frames:
-        own = {cell for f, cell in cells if f is frame}
-        any_ticked = F.coalesce(*(F.col(c).isNotNull() if len(own) == 1 else F.when(F.col(c).isNotNull(), F.lit(True)) for c in own), F.lit(False))
-        parts.append(frame.df.filter(any_ticked).select(*keys, "t", "cyc", *(F.col(c) if c in own else F.lit(None).cast(kinds[c]).alias(c) for _, c in cells)))
+        own = {name: cell for (f, cell), name in cells.items() if f is frame}
+        any_ticked = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(True)) for c in own.values()), F.lit(False))
+        parts.append(frame.df.filter(any_ticked).select(*keys, "t", "cyc", *((F.col(own[n]) if n in own else F.lit(None).cast(kinds[n])).alias(n) for n in cells.values())))
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    frame = Frame(union.groupBy(*keys, "t", "cyc").agg(*(F.first(c, ignorenulls=True).alias(c) for _, c in cells)), keys)
-    return [Series(frame, x.cell, x.node) for x in series]
+    frame = Frame(union.groupBy(*keys, "t", "cyc").agg(*(F.first(n, ignorenulls=True).alias(n) for n in cells.values())), keys)
+    return [Series(frame, cells[x.frame, x.cell], x.node) for x in series]
