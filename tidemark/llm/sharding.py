@@ -42,7 +42,7 @@ class SlotMap:
             heapq.heappush(full, (load + sizes[slot], s))
         return SlotMap(1, shards, tuple(shard_of))
 
-    def rebalanced(self, sizes: list[int], shards: int, slack: float = 0.01) -> SlotMap:
+    def rebalanced(self, sizes: list[int], shards: int, slack: float = 0.001) -> SlotMap:
         """The next version, for `shards` shards: slots of shards that went away, and then the largest slots that fit from
         shards over the mean, move to the least full shard; all others stay."""
         shard_of, loads = list(self.shard_of), [0] * shards
