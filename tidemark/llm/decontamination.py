@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P, let, written
+from .common import P, written
 
 #: 1: the position counts, 0: it is ignored.
 MASKS = ("11101011", "1101100111", "1011010101")
@@ -29,7 +29,7 @@ BLOCK_HASHES = 500_000
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def hashed_tokens(text: Column) -> Column:
@@ -74,9 +74,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
 def _hits(docs: DataFrame, items: DataFrame, seeded: DataFrame, masks: list[str], least: float) -> DataFrame:
     words = docs.select("doc_id", hashed_tokens(F.col("text")).alias(f"{P}doc"))
-    doc = F.col(f"{P}doc")
-    windows = F.concat(*(F.transform(seeds(doc, m), lambda h, i: F.struct(h.alias("h"), i.alias("i"))) for m in masks))
-    rows = words.select("doc_id", f"{P}doc", F.explode(windows).alias("x")).select("doc_id", f"{P}doc", F.col("x.h").alias(f"{P}h"), F.col("x.i").alias(f"{P}i"))
+    doc, at = F.col(f"{P}doc"), F.col(f"{P}i")
+    # a row for each token, then its windows' hashes outside of any lambda, where they are compiled
+    rows = words.select("doc_id", f"{P}doc", F.explode(F.when(F.size(doc) > 0, F.sequence(F.lit(0), F.size(doc) - 1))).alias(f"{P}i"))
+    windows = F.array(*(F.when(at + len(m) <= F.size(doc), F.xxhash64(F.lit(m), *(F.get(doc, at + k) for k, c in enumerate(m) if c == "1"))) for m in masks))
+    rows = rows.select("doc_id", f"{P}doc", f"{P}i", F.explode(windows).alias(f"{P}h"))
     met = rows.join(F.broadcast(seeded), f"{P}h").join(F.broadcast(items.select(F.col("item_id").alias(f"{P}id"), f"{P}item")), F.col("item_id").eqNullSafe(F.col(f"{P}id")))
     start = F.col(f"{P}i") - F.col(f"{P}at")
     same = F.size(F.filter(F.transform(F.col(f"{P}item"), lambda w, k: F.when(start + k >= 0, F.get(doc, start + k)) == w), lambda x: x))
