@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
-from tidemark.functions.node import Outputs, alarmed, node, output, schedule_alarm, starting, state, ticked, ts, valid
+from tidemark.functions.node import Outputs, alarm_value, alarmed, node, output, schedule_alarm, starting, state, ticked, ts, valid
 from tidemark.model import series_of
 from tidemark.operators import basic as op
 from tidemark.operators.dynamic import dynamic
@@ -210,31 +210,54 @@ def test_node_without_series(spark):
     assert ran(spark, graph)["beat"] == [(2, 1), (4, 2), (6, 3)]
 
 
-def test_feedback_orders(spark):
-    loop = feedback("long")
-    loop.out("ack")
-    loop.bind("report")
-    with pytest.raises(ValueError):
-        loop.bind("report")
+@node(returns="long", alarms=("send",))
+def algo(x: ts[int], report: ts[int]):
+    s = state(n=0)
+    if ticked(x) or ticked(report):
+        schedule_alarm("send", SEC)
+    if alarmed("send"):
+        s.n += 1
+        return s.n
 
-    def body(x: ts[int], ack: ts[int]):
-        s = state(n=0)
-        if ticked(x) or ticked(ack):
-            schedule_alarm("send", SEC)
-        if alarmed("send"):
-            s.n += 1
-            output(order=s.n)
-            schedule_alarm("exec", 0.7 * SEC)
-        if alarmed("exec"):
-            output(report=s.n)
 
+@node(alarms=("exec",))
+def exchange(order: ts[int]) -> ts[int]:
+    if ticked(order):
+        schedule_alarm("exec", 0.7 * SEC, order.value)
+    if alarmed("exec"):
+        return alarm_value("exec")
+
+
+def test_feedback_orders(spark):
     def graph():
-        out = loop.loop(body, Outputs(order="long", report="long"), alarms=("send", "exec"))(const(0))
-        add_graph_output("orders", out.order)
-        add_graph_output("reports", out.report)
+        loop = feedback("long")
+        orders = algo(const(0), loop.out())
+        with pytest.raises(ValueError):
+            add_graph_output("early", orders.series)
+        reports = exchange(orders)
+        loop.bind(reports)
+        with pytest.raises(ValueError):
+            loop.bind(reports)
+        add_graph_output("orders", orders.series)
+        add_graph_output("reports", reports.series)
+        add_graph_output("doubled", orders.series * 2)
 
     got = ran(spark, graph)
     assert got["orders"] == [(1.0, 1), (2.7, 2), (4.4, 3)] and got["reports"] == [(1.7, 1), (3.4, 2), (5.1, 3)]
+    assert [v for _, v in got["doubled"]] == [2, 4, 6]
+
+
+def test_feedback_in_a_node(spark):
+    @node(returns=Outputs(n="long"), feedback={"n": "back"})
+    def halve(x: ts[int], back: ts[int]):
+        v = back.value if ticked(back) else x.value
+        if v > 1:
+            output(n=v // 2)
+
+    def graph():
+        add_graph_output("n", halve(curve("long", points(8))).n)
+
+    assert ran(spark, graph)["n"] == [(1, 4), (1, 2), (1, 1)]
 
 
 def test_dynamic_spawns_without_the_first_tick(spark):

@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import inspect
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from types import SimpleNamespace
 
@@ -49,11 +50,7 @@ class _Call:
     """What a body sees of its key: the cycle being run, and what it keeps."""
 
     def __init__(self):
-        self.now_us, self.first, self.values, self.ticks, self.known, self.alarm, self.due, self.memory, self.out, self.seq = 0, True, {}, set(), set(), {}, [], None, {}, 0
-
-    def next_seq(self) -> int:
-        self.seq += 1
-        return self.seq
+        self.now_us, self.first, self.values, self.ticks, self.known, self.alarm, self.set, self.memory, self.out = 0, True, {}, set(), set(), {}, [], None, {}
 
 
 _call: list[_Call] = []
@@ -134,7 +131,7 @@ def now() -> datetime:
 
 def schedule_alarm(name: str, after: timedelta, value=True) -> None:
     c = _call[-1]
-    heapq.heappush(c.due, (c.now_us + micros(after), 1, c.next_seq(), name, value))
+    c.set.append((c.now_us + micros(after), name, value))
 
 
 def alarmed(name: str) -> bool:
@@ -145,156 +142,200 @@ def alarm_value(name: str):
     return _call[-1].alarm.get(name)
 
 
-class Fold:
-    """The cycles of one key in order. What is between two feeds can be pickled (`memory`) and taken up by another worker."""
+@dataclass
+class Step:
+    """A node of a circuit: where each input comes from, ("in", name) or ("step", number, output)."""
+
+    body: Callable
+    inputs: dict[str, tuple]
+    outs: list[str]
+    scalars: dict
+    alarms: tuple[str, ...] = ()
+
 
-    def __init__(self, body: Callable, inputs: list[str], outs: list[str], scalars: dict, alarms: tuple[str, ...], feedback: dict[str, str], start_us: int | None, end_us: int | None):
-        self.body, self.outs, self.feedback, self.end_us, self.inputs = body, outs, feedback, end_us, inputs
-        self.args = {k: Input(k) for k in inputs} | scalars
-        self.c, self.last = _Call(), (None, -1)
-        if alarms and start_us is not None:
-            heapq.heappush(self.c.due, (start_us, 1, self.c.next_seq(), "", None))
+class Circuit:
+    """One key's cycles through some nodes, in order. What is between two feeds can be pickled (`memory`) and taken up by another worker.
+
+    names: the inputs that rows bring; feedback: (number, output, input) of what comes back in the next cycle of the same time.
+    """
+
+    def __init__(self, steps: list[Step], names: list[str], feedback: list[tuple[int, str, str]], start_us: int | None = None, end_us: int | None = None):
+        self.steps, self.names, self.feedback, self.end_us = steps, names, feedback, end_us
+        self.args = [{k: Input(k) for k in s.inputs} | s.scalars for s in steps]
+        self.calls, self.last, self.queue, self.seq = [_Call() for _ in steps], (None, -1), [], 0
+        for i, s in enumerate(steps):
+            if s.alarms and start_us is not None:
+                self._queue(start_us, i, "", None)
 
     @property
     def memory(self) -> tuple:
-        return self.c.__dict__, self.last
+        return [c.__dict__ for c in self.calls], self.last, self.queue, self.seq
 
     @memory.setter
     def memory(self, kept: tuple) -> None:
-        self.c.__dict__.update(kept[0])
-        self.last = kept[1]
+        for c, x in zip(self.calls, kept[0]):
+            c.__dict__.update(x)
+        _, self.last, self.queue, self.seq = kept
+
+    def _queue(self, t: int, step: int, name: str, value) -> None:
+        """An alarm of a step, or with -1 an input."""
+        self.seq += 1
+        heapq.heappush(self.queue, (t, self.seq, step, name, value))
 
-    def _cycle(self, t: int, least: int, cells: dict, alarm: dict) -> Iterator[tuple]:
-        c = self.c
+    def _cycle(self, t: int, least: int, cells: dict, alarms: dict[int, dict]) -> Iterator[tuple]:
         cyc = max(least, self.last[1] + 1 if self.last[0] == t else 0)
-        self.last = (t, cyc)
-        c.now_us, c.alarm, c.out, c.ticks = t, alarm, {}, set(cells)
-        c.values.update(cells)
-        c.known |= set(cells)
-        _call.append(c)
-        try:
-            got = self.body(**self.args)
-        finally:
-            _call.pop()
-        c.first = False
-        if got is not None:
-            c.out[""] = got
-        alone = len(self.outs) == 1 and "" in c.out
-        found = {k: c.out[k if k in c.out else ""] for k in self.outs if k in c.out or alone}
-        for k, v in found.items():
-            if k in self.feedback:
-                heapq.heappush(c.due, (t, 0, c.next_seq(), self.feedback[k], v))
-        if found:
-            yield t, cyc, [(found[k],) if k in found else None for k in self.outs]
-
-    def _taken(self, t: int) -> tuple[dict, dict]:
-        cells, alarm = {}, {}
-        while self.c.due and self.c.due[0][0] == t:
-            _, kind, _, name, value = heapq.heappop(self.c.due)
-            (alarm if kind else cells)[name] = value
-        return cells, alarm
+        self.last, emitted = (t, cyc), {}
+        for i, (step, c) in enumerate(zip(self.steps, self.calls)):
+            own = {k: cells[at[1]] if at[0] == "in" else emitted[at[1:]] for k, at in step.inputs.items() if (at[1] in cells if at[0] == "in" else at[1:] in emitted)}
+            if not own and i not in alarms:
+                continue
+            c.now_us, c.alarm, c.out, c.ticks = t, alarms.get(i, {}), {}, set(own)
+            c.values.update(own)
+            c.known |= set(own)
+            _call.append(c)
+            try:
+                got = step.body(**self.args[i])
+            finally:
+                _call.pop()
+            c.first = False
+            for when, name, value in c.set:
+                self._queue(when, i, name, value)
+            c.set = []
+            if got is not None:
+                c.out[""] = got
+            alone = len(step.outs) == 1 and "" in c.out
+            emitted |= {(i, k): c.out[k if k in c.out else ""] for k in step.outs if k in c.out or alone}
+        for i, k, name in self.feedback:
+            if (i, k) in emitted:
+                self._queue(t, -1, name, emitted[i, k])
+        if emitted:
+            yield t, cyc, [(emitted[i, k],) if (i, k) in emitted else None for i, s in enumerate(self.steps) for k in s.outs]
+
+    def _taken(self, t: int) -> tuple[dict, dict[int, dict]]:
+        cells, alarms = {}, {}
+        while self.queue and self.queue[0][0] == t:
+            _, _, step, name, value = heapq.heappop(self.queue)
+            (cells if step < 0 else alarms.setdefault(step, {}))[name] = value
+        return cells, alarms
 
     def due(self, before: int | None = None) -> Iterator[tuple]:
         """Cycles of alarms and feedback that come before a time; without one, all up to the end."""
-        due = self.c.due
-        while due and (before is None or due[0][0] < before) and (self.end_us is None or due[0][0] <= self.end_us):
-            yield from self._cycle(due[0][0], 0, *self._taken(due[0][0]))
+        while self.queue and (before is None or self.queue[0][0] < before) and (self.end_us is None or self.queue[0][0] <= self.end_us):
+            yield from self._cycle(self.queue[0][0], 0, *self._taken(self.queue[0][0]))
 
     def feed(self, t: int, cyc: int, cells: list) -> Iterator[tuple]:
-        """A row: cells are (value,) or None, one for each input that isn't fed back. Yields (t, cyc, cells of the outputs)."""
+        """A row: cells are (value,) or None, one for each name. Yields (t, cyc, cells of all outputs)."""
         if self.end_us is not None and t > self.end_us:
             return
         yield from self.due(t)
-        back, alarm = self._taken(t)
-        yield from self._cycle(t, cyc, back | {k: v[0] for k, v in zip(self.inputs, cells) if v is not None}, alarm)
+        back, alarms = self._taken(t)
+        yield from self._cycle(t, cyc, back | {k: v[0] for k, v in zip(self.names, cells) if v is not None}, alarms)
+
+
+def fold_frame(named: dict[str, Series], outs: dict[str, str], make: Callable[[int | None, int | None], Circuit]) -> Frame:
+    """A circuit for each key of some series, as a frame with a cell column for each output (name: Spark type)."""
+    # without a series there is still the run's start
+    series = align(*(named.values() or [const(0)]))
+    keys, run = series[0].frame.keys, current.get()
+    span = (micros(utc(run.start) - _EPOCH), micros(utc(run.end) - _EPOCH)) if run else (None, None)
+    ticks = series[0].frame.df.filter(F.coalesce(*(F.when(s.ticked, F.lit(True)) for s in series), F.lit(False)))
+    rows = ticks.select(*keys, F.unix_micros("t").alias("t"), "cyc", *(F.col(s.cell).alias(n) for s, n in zip(series, named)))
+    rows = (rows.repartition(*keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "t", "cyc")
+    cells = [T.StructField(k, T.StructType([T.StructField("v", T._parse_datatype_string(kind))])) for k, kind in outs.items()]
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("t", T.LongType()), T.StructField("cyc", T.IntegerType()), *cells])
+    n = len(keys)
+
+    def run_all(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(list(col), f.type) for col, f in zip(zip(*held), arrow)], schema=arrow)
+
+        def ticks():
+            key, own = None, None
+            for b in batches:
+                for row in zip(*(col.to_pylist() for col in b.columns)):
+                    if own is None or row[:n] != key:
+                        if own is not None:
+                            yield from ((key, x) for x in own.due())
+                        key, own = row[:n], make(*span)
+                    yield from ((key, x) for x in own.feed(row[n], row[n + 1], [None if v is None else (v["v"],) for v in row[n + 2:]]))
+            if own is not None:
+                yield from ((key, x) for x in own.due())
+
+        held = []
+        for key, (t, cyc, found) in ticks():
+            held.append((*key, t, cyc, *(None if v is None else {"v": v[0]} for v in found)))
+            if len(held) >= 10_000:
+                yield batch()
+                held = []
+        if held:
+            yield batch()
+
+    return Frame(rows.mapInArrow(run_all, schema).withColumn("t", F.timestamp_micros("t")), keys)
+
 
+_SPARK = {float: "double", int: "long", bool: "boolean", str: "string"}
 
-def node(fn=None, *, returns: str | Outputs = "double", alarms: tuple[str, ...] = (), feedback: dict[str, str] | None = None):
-    """Makes a function of series from a body. `returns`: the Spark type of its output, or Outputs; `feedback`: outputs and the inputs they feed."""
+
+def _returned(signature: inspect.Signature):
+    """Outputs as the return annotation has them: ts[float], or Outputs(a=ts[int])."""
+    hint = signature.return_annotation
+    if isinstance(hint, Outputs):
+        return Outputs(**{k: _SPARK[v.item] if isinstance(v, type) and issubclass(v, ts) else v for k, v in hint.types.items()})
+    if isinstance(hint, type) and issubclass(hint, ts):
+        return _SPARK[hint.item]
+    return "double"
+
+
+def node(fn=None, *, returns: str | Outputs | None = None, alarms: tuple[str, ...] = (), feedback: dict[str, str] | None = None):
+    """Makes a function of series from a body. `returns`: the Spark type of its output, or Outputs (else as annotated: `-> ts[float]`);
+    `feedback`: outputs and the inputs they feed."""
     if fn is None:
         return lambda f: node(f, returns=returns, alarms=alarms, feedback=feedback)
+    try:
+        signature = inspect.signature(fn, eval_str=True)
+    except NameError:
+        signature = inspect.signature(fn)
+    returns = returns if returns is not None else _returned(signature)
     outs = returns.types if isinstance(returns, Outputs) else {"out": returns}
-    feedback = {("out" if k == "" else k): v for k, v in (feedback or {}).items()}
-    signature = inspect.signature(fn)
+    fed_by = {("out" if k == "" else k): v for k, v in (feedback or {}).items()}
     hints = {k: p.annotation for k, p in signature.parameters.items()}
-    is_series = {k: (isinstance(h, type) and issubclass(h, ts)) or (isinstance(h, str) and h.startswith("ts[")) for k, h in hints.items()}
-    inputs = [k for k in is_series if is_series[k]]
-    fed = [k for k in inputs if k in feedback.values()]
+    inputs = [k for k, h in hints.items() if (isinstance(h, type) and issubclass(h, ts)) or (isinstance(h, str) and h.startswith("ts["))]
+    names = [k for k in inputs if k not in fed_by.values()]
+
+    def made(frame: Frame, step: Node):
+        found = [Series(frame, k, step) for k in outs]
+        return SimpleNamespace(**dict(zip(outs, found))) if isinstance(returns, Outputs) else found[0]
+
+    def circuit(scalars: dict):
+        steps, back = [Step(fn, {k: ("in", k) for k in inputs}, list(outs), scalars, alarms)], [(0, k, v) for k, v in fed_by.items()]
+        return lambda start_us=None, end_us=None: Circuit(steps, names, back, start_us, end_us)
 
     def wired(*args, **kwargs):
         bound = signature.bind_partial(*args, **kwargs)
         bound.apply_defaults()
-        given = {k: bound.arguments[k] for k in inputs if k not in fed}
-        # without a series there is still the run's start
-        series = align(*(given.values() or [const(0)]))
-        frame, names = series[0].frame, list(given)
-        scalars = {k: v for k, v in bound.arguments.items() if not is_series[k]}
-        keys, run = frame.keys, current.get()
-        span = (micros(utc(run.start) - _EPOCH), micros(utc(run.end) - _EPOCH)) if run else (None, None)
-        ticks = frame.df.filter(F.coalesce(*(F.when(s.ticked, F.lit(True)) for s in series), F.lit(False)))
-        rows = ticks.select(*keys, F.unix_micros("t").alias("t"), "cyc", *(F.col(s.cell).alias(n) for s, n in zip(series, names)))
-        rows = (rows.repartition(*keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "t", "cyc")
-        key_types = [rows.schema[k] for k in keys]
-        cells = [T.StructField(k, T.StructType([T.StructField("v", T._parse_datatype_string(kind))])) for k, kind in outs.items()]
-        schema = T.StructType([*key_types, T.StructField("t", T.LongType()), T.StructField("cyc", T.IntegerType()), *cells])
-        n, folded = len(keys), (fn, [*names, *fed], list(outs), scalars, alarms, feedback, *span)
-
-        def fold_all(batches):
-            import pyarrow as pa
-
-            arrow = _arrow_schema(schema)
-
-            def flat():
-                for batch in batches:
-                    yield from zip(*(col.to_pylist() for col in batch.columns))
-
-            def batch():
-                return pa.RecordBatch.from_arrays([pa.array(list(col), f.type) for col, f in zip(zip(*held), arrow)], schema=arrow)
-
-            def ticks():
-                key, own = None, None
-                for row in flat():
-                    if own is None or row[:n] != key:
-                        if own is not None:
-                            yield from ((key, x) for x in own.due())
-                        key, own = row[:n], Fold(*folded)
-                    yield from ((key, x) for x in own.feed(row[n], row[n + 1], [None if v is None else (v["v"],) for v in row[n + 2:]]))
-                if own is not None:
-                    yield from ((key, x) for x in own.due())
-
-            held = []
-            for key, (t, cyc, cells) in ticks():
-                held.append((*key, t, cyc, *(None if v is None else {"v": v[0]} for v in cells)))
-                if len(held) >= 10_000:
-                    yield batch()
-                    held = []
-            if held:
-                yield batch()
-
-        out = Frame(rows.mapInArrow(fold_all, schema).withColumn("t", F.timestamp_micros("t")), keys)
-        step = Node(fn.__name__, tuple(s.node for s in series))
-        made = [Series(out, k, step) for k in outs]
-        if len(made) == 1 and not isinstance(returns, Outputs):
-            return made[0]
-        return SimpleNamespace(**dict(zip(outs, made)))
-
-    def folding(start_us: int | None = None, end_us: int | None = None, **scalars) -> Fold:
+        scalars = {k: v for k, v in bound.arguments.items() if k not in inputs}
+        given = {k: bound.arguments[k] for k in names}
+        loop = next((x.loop for x in given.values() if hasattr(x, "loop")), None)
+        if loop is not None:
+            found = loop.add(Step(fn, given, list(outs), scalars, alarms), outs)
+            return SimpleNamespace(**found) if isinstance(returns, Outputs) else found["out"]
+        return made(fold_frame(given, outs, circuit(scalars)), Node(fn.__name__, tuple(s.node for s in given.values())))
+
+    def folding(start_us: int | None = None, end_us: int | None = None, **scalars) -> Circuit:
         """A fold of one key, for a stream's state."""
         bound = signature.bind_partial(**scalars)
         bound.apply_defaults()
-        names = [k for k in inputs if k not in fed]
-        return Fold(fn, [*names, *fed], list(outs), {k: v for k, v in bound.arguments.items() if not is_series[k]}, alarms, feedback, start_us, end_us)
+        return circuit({k: v for k, v in bound.arguments.items() if k not in inputs})(start_us, end_us)
 
-    wired.__name__, wired.__doc__, wired.folding, wired.outs, wired.inputs = fn.__name__, fn.__doc__, folding, outs, [k for k in inputs if k not in fed]
+    wired.__name__, wired.__doc__, wired.folding, wired.outs, wired.inputs = fn.__name__, fn.__doc__, folding, outs, names
     return wired
 
 
-def _arrow_schema(schema: T.StructType):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def graph(fn):
     """Marks a function that wires a graph; it stays a plain function."""
     fn.is_graph = True

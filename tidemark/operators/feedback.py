@@ -1,37 +1,93 @@
 """Feedback edges: an edge that is usable before what produces it exists.
 
-A loop is sequential by nature. Its body is a node, one for each key, and the bound output comes back on the
-feedback input in the next cycle of the same time.
+    loop = feedback("long")
+    orders = algo(loop.out(), quotes)     # nodes on the loop's edges
+    reports = exchange(orders)
+    loop.bind(reports)                    # comes back in the next cycle of the same time
+
+A loop is sequential by nature. Nodes that read a loop's edge, directly or not, are gathered and run together for
+each key, in the order they were wired; `bind` closes the loop, and its edges are series from then on.
 """
 
 from __future__ import annotations
 
-from ..functions.node import node
+from ..functions.node import Circuit, Step, fold_frame
+from ..model import Node, Series
 
+_FED = "fed"
 
-class Feedback:
-    """feedback("double"): `.out()` names the input that is fed, `.bind(output)` says by which output; then `.loop(body)(...)` wires."""
 
+class LoopEdge:
+    """An output of a node on a loop, or (step None) the edge that is fed back. Once the loop is closed, `series` is what it gives."""
+
+    def __init__(self, loop: Loop, step: int | None, out: str):
+        self.loop, self.step, self.out = loop, step, out
+
+    @property
+    def series(self) -> Series:
+        return self.loop.series(self)
+
+    def __getattr__(self, name: str):
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return getattr(self.series, name)
+
+
+class Loop:
+    def __init__(self):
+        self.steps: list[Step] = []
+        self.outs: dict[tuple[int, str], str] = {}
+        self._frame = None
+
+    def add(self, step: Step, outs: dict[str, str]) -> dict[str, LoopEdge]:
+        if self._frame is not None:
+            raise ValueError("the loop is closed")
+        self.steps.append(step)
+        n = len(self.steps) - 1
+        self.outs |= {(n, k): kind for k, kind in outs.items()}
+        return {k: LoopEdge(self, n, k) for k in outs}
+
+    def close(self, edge: LoopEdge) -> None:
+        outside: dict[str, Series] = {}
+
+        def origin(x) -> tuple:
+            if isinstance(x, LoopEdge):
+                return ("in", _FED) if x.step is None else ("step", x.step, x.out)
+            name = next((k for k, s in outside.items() if s is x), f"in{len(outside)}")
+            outside[name] = x
+            return ("in", name)
+
+        steps = [Step(s.body, {k: origin(x) for k, x in s.inputs.items()}, s.outs, s.scalars, s.alarms) for s in self.steps]
+        names, back = list(outside), [(edge.step, edge.out, _FED)]
+        self._frame = fold_frame(outside, {f"o{n}_{k}": kind for (n, k), kind in self.outs.items()}, lambda start_us, end_us: Circuit(steps, names, back, start_us, end_us))
+        self._node = Node("feedback", tuple(s.node for s in outside.values()))
+
+    def series(self, edge: LoopEdge) -> Series:
+        if self._frame is None:
+            raise ValueError("bind the feedback before its edges are used")
+        if edge.step is None:
+            raise ValueError("the feedback edge itself is only an input of its loop")
+        return Series(self._frame, f"o{edge.step}_{edge.out}", self._node)
+
+
+class Feedback:
     def __init__(self, kind: str):
-        self.kind, self._input, self._output = kind, None, None
+        self.kind, self._loop, self._bound = kind, Loop(), False
 
-    def out(self, name: str = "fed") -> str:
-        self._input = name
-        return name
+    def out(self) -> LoopEdge:
+        return LoopEdge(self._loop, None, _FED)
 
-    def bind(self, output: str) -> None:
-        if self._output is not None:
+    def bind(self, edge: LoopEdge) -> None:
+        if self._bound:
             raise ValueError("a feedback is bound once")
-        self._output = output
-
-    def loop(self, body, returns, alarms: tuple[str, ...] = ()):
-        if self._input is None or self._output is None:
-            raise ValueError("a feedback needs out() and bind() before its loop runs")
-        return node(body, returns=returns, alarms=alarms, feedback={self._output: self._input})
+        if not isinstance(edge, LoopEdge) or edge.loop is not self._loop or edge.step is None:
+            raise ValueError("a feedback is bound to an output of a node on its loop")
+        self._bound = True
+        self._loop.close(edge)
 
 
-def feedback(kind: str) -> Feedback:
+def feedback(kind: str = "double") -> Feedback:
     return Feedback(kind)
 
 
-__all__ = ["Feedback", "feedback"]
+__all__ = ["Feedback", "LoopEdge", "feedback"]

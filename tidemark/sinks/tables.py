@@ -10,7 +10,7 @@ from ..model import Series, running
 
 def add_graph_output(name: str, x: Series) -> None:
     """Names an output; a name used twice collects the ticks of both."""
-    running().outputs.setdefault(name, []).append(x)
+    running().outputs.setdefault(name, []).append(x.series if hasattr(x, "loop") else x)
 
 
 def print_node(name: str, x: Series) -> None:
