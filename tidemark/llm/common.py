@@ -57,7 +57,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there and lost executors cost no rework."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tm_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table behind a DataFrame that `written` gave; nothing for any other."""
+    if hasattr(df, "_tm_path"):
+        _delete(df.sparkSession, df._tm_path)
 
 
 def let(value: Column, body) -> Column:

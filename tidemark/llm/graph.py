@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("u", "v").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        discard(last)
         was, state = state, _state(edges)
         if was == state:
             break
