@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontamination, packing, quality_rules, secret_scan, simhash
-from tidemark.llm.common import table, written
+from tidemark.llm.common import discard, table, written
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -42,7 +42,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, name)
+            discard(last)
     return docs
