@@ -30,14 +30,16 @@ def test_contract(spark, name):
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % of == rest) for r in rows)
 
 
-def test_chat_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
     import duckdb
 
-    duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS FROM '{DATA}/conversations.parquet'")
-    want = duckdb.sql(queries.oracle_sql()["op8_chat_format"]).df()
-    got = queries.op8_chat_format(spark, DATA).toPandas()
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        c.sql(f"CREATE VIEW {t} AS FROM '{DATA}/{t}.parquet'")
+    want, got = c.sql(queries.oracle_sql()[name]).df(), queries.queries()[name](spark, DATA).toPandas()
     columns = sorted(want.columns)
-    assert sorted(got.columns) == columns and sorted(map(tuple, got[columns].values)) == sorted(map(tuple, want[columns].values))
+    assert sorted(got.columns) == columns and len(got) and sorted(map(tuple, got[columns].values)) == sorted(map(tuple, want[columns].values))
 
 
 def test_pipeline(spark):

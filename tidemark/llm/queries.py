@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, packing, quality_rank, quality_rules, secret_scan, sharding, simhash, token_files
+from . import chat_format, decontamination, language_id, packing, quality_rank, quality_rules, secret_scan, sharding, simhash, sql, token_files
 from .common import remainder, table
 
 
@@ -66,24 +66,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1)
 
 
-#: Lengths: the markers of each turn, and a character for each backslash, `<|` and bar in front.
-CHAT_SQL = r"""
-WITH turns AS (
-    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -1, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0), (1)) v(n)
-)
-SELECT conv_id, count(*) AS n_turns,
-    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-    sum(length('<|im_start|>') + length(role) + 1 + length(replace(replace(text, '\', '\-'), '<|', '<\|')) + (starts_with(text, '|'))::INT + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
-FROM turns GROUP BY conv_id
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_quality_rank, op4_token_files, op5_sharding, op6_decontamination, op7_language_id, op8_chat_format, op9_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": CHAT_SQL}
+    return {"op2_quality_rules": sql.quality(), "op6_decontamination": sql.overlaps(), "op8_chat_format": sql.CHAT}
