@@ -192,15 +192,17 @@ SELECT t.user_id, t.ts, e.value FROM t ASOF JOIN (SELECT * FROM events WHERE eve
 def op_sample(spark, d):
     """Each user's latest click at every midnight: an as-of join as a union and a window."""
     clicks = of_type(events(spark, d, "event_type", "value"), "click")
-    all_events = table(spark, d, "events")
-    bounds = all_events.agg(F.min(F.date_trunc("day", "ts")).alias("lo"), F.max("ts").cast("timestamp").alias("hi"))
-    one_day = F.expr("INTERVAL 1 DAY")
-    days = bounds.select(F.explode(F.sequence(F.col("lo") + one_day, F.col("hi"), one_day)).alias("t"))
-    # a day list of one row for each day, whatever the events
-    ticks = all_events.select("user_id").distinct().join(F.broadcast(days))
+    ticks = _clock(table(spark, d, "events"), "INTERVAL 1 DAY")
     return shown(op.sample(series_of(ticks, F.lit(True), keys=("user_id",), op="timer"), clicks))
 
 
+def _clock(all_events: DataFrame, step: str) -> DataFrame:
+    """Times at a step from the first day to the last event, for each user."""
+    lo, hi = all_events.agg(F.min(F.date_trunc("day", "ts")).cast("timestamp"), F.max("ts").cast("timestamp")).first()
+    every_step = F.expr(step)
+    return all_events.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(lo) + every_step, F.lit(hi), every_step)).alias("t"))
+
+
 @query("""SELECT user_id, ts, arg_min(value, (p, -event_id)) AS value FROM (
 SELECT user_id, date_trunc('hour', ts) AS ts, value, event_id, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS p FROM events WHERE event_type IN ('click', 'view')) GROUP BY 1, 2""")
 def op_merge(spark, d):
@@ -423,12 +425,7 @@ SELECT t.user_id, t.ts, e.n::DOUBLE AS value FROM t ASOF JOIN e ON t.user_id = e
 def q_windowed_rate_sampled(spark, d):
     """Events in the last six hours as of each event, sampled twice a day."""
     rate = stats.count(every(events(spark, d, "value")), timedelta(hours=6))
-    all_events = table(spark, d, "events")
-    bounds = all_events.agg(F.min(F.date_trunc("day", "ts")).alias("lo"), F.max("ts").cast("timestamp").alias("hi"))
-    half = F.expr("INTERVAL 12 HOUR")
-    # one row for each half day, whatever the events
-    times = bounds.select(F.explode(F.sequence(F.col("lo") + half, F.col("hi"), half)).alias("t"))
-    ticks = all_events.select("user_id").distinct().join(F.broadcast(times))
+    ticks = _clock(table(spark, d, "events"), "INTERVAL 12 HOUR")
     return shown(op.sample(series_of(ticks, F.lit(True), keys=("user_id",), op="timer"), rate))
 
 
@@ -455,8 +452,8 @@ def q_index_fold(spark, d):
     opening = F.first("value").over(frame.so_far)
     moved = x.value - F.coalesce(frame.before(x.cell).getField("v"), x.value)
     df = frame.df.select("user_id", "t", moved.alias("moved"), opening.alias("open")).filter("open != 0")
-    n = table(spark, d, "events").agg(F.countDistinct("user_id").alias("n"))
-    steps = df.join(F.broadcast(n)).select("t", (F.col("moved") / F.col("open") / F.col("n")).alias("x"))
+    n = table(spark, d, "events").agg(F.countDistinct("user_id")).first()[0]
+    steps = df.select("t", (F.col("moved") / F.col("open") / F.lit(n)).alias("x"))
     return running_total(steps, "t", "x").select(F.col("t").cast("timestamp_ntz").alias("ts"), settled(1 + F.col("total"), 6).alias("value"))
 
 

@@ -238,12 +238,12 @@ def fold_frame(named: dict[str, Series], outs: dict[str, str], make: Callable[[i
     series = align(*(named.values() or [const(0)]))
     keys, run = series[0].frame.keys, current.get()
     span = (micros(utc(run.start) - _EPOCH), micros(utc(run.end) - _EPOCH)) if run else (None, None)
-    ticks = series[0].frame.df.filter(F.coalesce(*(F.when(s.ticked, F.lit(True)) for s in series), F.lit(False)))
-    rows = ticks.select(*keys, F.unix_micros("t").alias("t"), "cyc", *(F.col(s.cell).alias(n) for s, n in zip(series, named)))
+    ticked_rows = series[0].frame.df.filter(F.coalesce(*(F.when(s.ticked, F.lit(True)) for s in series), F.lit(False)))
+    rows = ticked_rows.select(*keys, F.unix_micros("t").alias("t"), "cyc", *(F.col(s.cell).isNotNull().alias(f"{n}_ticked") for s, n in zip(series, named)), *(s.value.alias(n) for s, n in zip(series, named)))
     rows = (rows.repartition(*keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "t", "cyc")
     cells = [T.StructField(k, T.StructType([T.StructField("v", T._parse_datatype_string(kind))])) for k, kind in outs.items()]
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("t", T.LongType()), T.StructField("cyc", T.IntegerType()), *cells])
-    n = len(keys)
+    n, width = len(keys), len(named)
 
     def run_all(batches):
         import pyarrow as pa
@@ -252,23 +252,30 @@ def fold_frame(named: dict[str, Series], outs: dict[str, str], make: Callable[[i
         arrow = to_arrow_schema(schema)
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(list(col), f.type) for col, f in zip(zip(*held), arrow)], schema=arrow)
+            columns = list(zip(*held))
+            arrays = [pa.array(list(x), f.type) for x, f in zip(columns, arrow)][:n + 2]
+            for x, f in zip(columns[n + 2:], list(arrow)[n + 2:]):
+                values = pa.array([None if c is None else c[0] for c in x], f.type.field(0).type)
+                arrays.append(pa.StructArray.from_arrays([values], fields=[f.type.field(0)], mask=pa.array([c is None for c in x])))
+            return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
         def ticks():
             key, own = None, None
             for b in batches:
-                for row in zip(*(col.to_pylist() for col in b.columns)):
-                    if own is None or row[:n] != key:
+                columns = [col.to_pylist() for col in b.columns]
+                cells = zip(*([(v,) if t else None for t, v in zip(columns[n + 2 + k], columns[n + 2 + width + k])] for k in range(width))) if width else iter(lambda: (), None)
+                for *row_key, t, cyc, row in zip(*columns[:n + 2], cells):
+                    if own is None or row_key != key:
                         if own is not None:
                             yield from ((key, x) for x in own.due())
-                        key, own = row[:n], make(*span)
-                    yield from ((key, x) for x in own.feed(row[n], row[n + 1], [None if v is None else (v["v"],) for v in row[n + 2:]]))
+                        key, own = row_key, make(*span)
+                    yield from ((key, x) for x in own.feed(t, cyc, row))
             if own is not None:
                 yield from ((key, x) for x in own.due())
 
         held = []
         for key, (t, cyc, found) in ticks():
-            held.append((*key, t, cyc, *(None if v is None else {"v": v[0]} for v in found)))
+            held.append((*key, t, cyc, *found))
             if len(held) >= 10_000:
                 yield batch()
                 held = []
