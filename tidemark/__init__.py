@@ -20,7 +20,7 @@ from .plans.viz import graph_to_dot, graph_to_mermaid, show_graph  # noqa: E402
 from .sinks.tables import add_graph_output, print_node, schedule_on_engine_stop, to_long, to_wide, write_csv, write_parquet  # noqa: E402
 from .sources.batch import AdapterManager, CsvAdapterManager, ReplayAdapterManager, const, curve, curve_from_frame, read_csv, read_frame, read_parquet, timer  # noqa: E402
 from .streaming.live import FolderBroker, GenericPushAdapter, KafkaAdapterManager, NativePushAdapter  # noqa: E402
-from .streaming.stateful import stream_node  # noqa: E402
+from .streaming.stateful import stream_graph, stream_node  # noqa: E402
 
 Edge = Series
 print = print_node  # noqa: A001
@@ -29,6 +29,6 @@ __all__ = [
     "AdapterManager", "CsvAdapterManager", "Edge", "Feedback", "FolderBroker", "Frame", "GenericPushAdapter", "KafkaAdapterManager", "NativePushAdapter", "Outputs", "ReplayAdapterManager", "Series",
     "add_graph_output", "alarm_value", "alarmed", "align", "apply", "binary", "const", "count", "cumulative", "curve", "curve_from_frame", "delay", "difference", "dynamic", "feedback", "filter", "firstN",
     "graph", "graph_to_dot", "graph_to_mermaid", "merge", "micro_batch_latency", "node", "now", "output", "print", "print_node", "producer_benchmark", "profiler", "read_csv", "read_frame", "read_parquet",
-    "run", "sample", "schedule_alarm", "schedule_on_engine_stop", "series_of", "show_graph", "split", "starting", "state", "stats", "stream_node", "throughput", "ticked", "timer", "to_long", "to_wide",
+    "run", "sample", "schedule_alarm", "schedule_on_engine_stop", "series_of", "show_graph", "split", "starting", "state", "stats", "stream_graph", "stream_node", "throughput", "ticked", "timer", "to_long", "to_wide",
     "ts", "valid", "write_csv", "write_parquet",
 ]

@@ -670,11 +670,11 @@ def sampled(trigger: ts[float], x: ts[float]):
         return x.value
 
 
-def _streamed(spark, d, body, name: str, inputs: dict) -> DataFrame:
-    """A node over `events` as a stream: the table's file, then a file of one far row that lets the last rows through."""
+def _streamed(spark, d, name: str, made) -> DataFrame:
+    """`made` of `events` as a stream: the table's file, then a file of one far row that lets the last rows through."""
     import uuid
 
-    from .streaming.stateful import FAR, replay, run_available, stream_node
+    from .streaming.stateful import FAR, replay, run_available
 
     schema = table(spark, d, "events").schema
     folder = f"{_shared(spark)}/tidemark-far-{uuid.uuid4().hex}"
@@ -682,7 +682,7 @@ def _streamed(spark, d, body, name: str, inputs: dict) -> DataFrame:
     far.write.parquet(folder)
     # both in the first batch; the batch without data that follows fires the timers
     stream = replay(spark, d, "events.parquet", schema).select("user_id", "ts", "event_type", "value").unionByName(replay(spark, folder, "*.parquet", far.schema))
-    found = run_available(stream_node(body, stream, ["user_id"], "ts", inputs, "0 seconds"), f"{name}_{uuid.uuid4().hex[:8]}")
+    found = run_available(made(stream), f"{name}_{uuid.uuid4().hex[:8]}")
     return found.filter("user_id >= 0").withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t", "cyc")
 
 
@@ -695,18 +695,39 @@ def _shared(spark) -> str:
 
 @query("SELECT user_id, ts, row_number() OVER w AS n, round(sum(value) OVER w, 4) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
 def stream_equals_batch_running(spark, d):
-    out = _streamed(spark, d, running, "running", {"x": F.col("value")})
+    from .streaming.stateful import stream_node
+
+    out = _streamed(spark, d, "running", lambda s: stream_node(running, s, ["user_id"], "ts", {"x": F.col("value")}, "0 seconds"))
     return out.select("user_id", "ts", "n", settled(F.col("total"), 4).alias("total"))
 
 
 @query("""WITH p AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM events)
 SELECT user_id, ts, c AS value FROM p WHERE event_type = 'view' AND c IS NOT NULL""")
 def stream_equals_batch_sample(spark, d):
+    from .streaming.stateful import stream_node
+
     of = lambda k: F.when(F.col("event_type") == k, F.col("value"))
-    out = _streamed(spark, d, sampled, "sampled", {"trigger": of("view"), "x": of("click")})
+    out = _streamed(spark, d, "sampled", lambda s: stream_node(sampled, s, ["user_id"], "ts", {"trigger": of("view"), "x": of("click")}, "0 seconds"))
     return out.select("user_id", "ts", F.col("out").alias("value"))
 
 
+@query("""WITH p AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER w AS c, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER w AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT user_id, ts, c + v AS value FROM p WHERE event_type IN ('click', 'view') AND c IS NOT NULL AND v IS NOT NULL),
+m AS (SELECT user_id, ts, value, avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS 4 PRECEDING) AS mean FROM s)
+SELECT user_id, ts, round(mean, 4) AS mean, CASE WHEN value > 100 THEN round(value, 4) END AS large FROM m""")
+def stream_equals_batch_graph(spark, d):
+    """A graph of several operators as one stateful step."""
+    from .streaming.stateful import stream_graph
+
+    def graph(click, view):
+        total = click + view
+        return {"mean": stats.mean(total, 5), "large": op.filter(total > 100, total)}
+
+    of = lambda k: F.when(F.col("event_type") == k, F.col("value"))
+    out = _streamed(spark, d, "graph", lambda s: stream_graph(graph, s, ["user_id"], "ts", {"click": of("click"), "view": of("view")}, "0 seconds"))
+    return out.select("user_id", "ts", settled(F.col("mean"), 4).alias("mean"), settled(F.col("large"), 4).alias("large"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from ..model import Series, micros
 
 
+def live(*args, **kwargs):
+    from ..operators.basic import live as found
+
+    return found(*args, **kwargs)
+
+
 def _alone(x: Series) -> Series:
     """x on a frame where every row is a tick of x, as frames of ticks need; the frame itself if it is one."""
     from ..model import Frame
@@ -37,7 +43,9 @@ def window_of(x: Series, interval: int | timedelta):
     return x.frame.order.rowsBetween(-(interval - 1), 0)
 
 
-def _stat(name: str, x: Series, interval: int | timedelta, min_data_points: int, build) -> Series:
+def _stat(name: str, x: Series, interval: int | timedelta, min_data_points: int, build, ddof: int = 1) -> Series:
+    if (edge := live("rolling", x, stat=name, interval=interval, min_data_points=min_data_points, ddof=ddof)) is not None:
+        return edge
     x = _alone(x)
     x.numeric()
     w = window_of(x, interval)
@@ -65,8 +73,8 @@ def _var(v: Column, w, ddof: int) -> Column:
 
 def var(x, interval, ddof=1, min_data_points=1):
     """Variance with divisor n - ddof; 0 where that isn't positive."""
-    return _stat("var", x, interval, min_data_points, lambda v, w: _var(v, w, ddof))
+    return _stat("var", x, interval, min_data_points, lambda v, w: _var(v, w, ddof), ddof)
 
 
 def stddev(x, interval, ddof=1, min_data_points=1):
-    return _stat("stddev", x, interval, min_data_points, lambda v, w: F.sqrt(_var(v, w, ddof)))
+    return _stat("stddev", x, interval, min_data_points, lambda v, w: F.sqrt(_var(v, w, ddof)), ddof)

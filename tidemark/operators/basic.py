@@ -14,6 +14,15 @@ from pyspark.sql import types as T
 from ..model import Frame, Node, Series, align, micros
 
 
+def live(name: str, *edges, **scalars):
+    """The operator as a node, where an edge is on a loop or a live graph; else None."""
+    if not any(hasattr(x, "loop") for x in edges):
+        return None
+    from ..streaming import operators
+
+    return getattr(operators, name)(*edges, **scalars)
+
+
 def _with_literals(*xs) -> tuple[list[Series], list[Column], list[Column]]:
     """Operands on one frame: the series, each operand's latest value, and what must be valid. A literal is a constant that never ticks again."""
     aligned = iter(align(*(x for x in xs if isinstance(x, Series))))
@@ -53,6 +62,11 @@ _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 def binary(op: str, x, y) -> Series:
     """Fires when either side ticks and both are valid. Integers stay integers for + - * and wrap; / is always a double;
     a division by zero and comparisons with NaN follow IEEE 754."""
+    if hasattr(x, "loop") and hasattr(y, "loop"):
+        return live("binary" if op in "+-*/" else "compare", x, y, op=op)
+    if hasattr(x, "loop") or hasattr(y, "loop"):
+        left = hasattr(x, "loop")
+        return live("binary_with" if op in "+-*/" else "compare_with", x if left else y, y=y if left else x, op=op, left=left)
     for s in (x, y):
         if isinstance(s, Series):
             s.numeric()
@@ -107,30 +121,40 @@ def truthy(value: Column, kind: T.DataType) -> Column:
 
 def filter(flag: Series, x: Series) -> Series:
     """x's ticks while the latest flag holds; a flag that hasn't ticked doesn't."""
+    if (edge := live("gate", flag, x)) is not None:
+        return edge
     f, s = align(flag, x)
     return s.derive("filter", s.ticked & truthy(f.now, f.type), s.value, flag, x)
 
 
 def sample(trigger: Series, x: Series) -> Series:
     """On each tick of the trigger, x's latest value, a tick in the same cycle included."""
+    if (edge := live("sample", trigger, x)) is not None:
+        return edge
     tr, s = align(trigger, x)
     return s.derive("sample", tr.ticked & s.valid, s.now, trigger, x)
 
 
 def merge(x: Series, y: Series) -> Series:
     """Ticks of both; x's where both tick in a cycle."""
+    if (edge := live("merge", x, y)) is not None:
+        return edge
     a, b = align(x, y)
     return a.derive("merge", a.ticked | b.ticked, F.coalesce(F.col(a.cell), F.col(b.cell)).getField("v"), x, y)
 
 
 def count(x: Series) -> Series:
     """1, 2, 3, ... on x's ticks."""
+    if (edge := live("count", x)) is not None:
+        return edge
     n = F.count(x.cell).over(x.frame.so_far)
     return x.derive("count", x.ticked, n)
 
 
 def firstN(x: Series, n: int) -> Series:  # noqa: N802
     """The first n ticks."""
+    if (edge := live("first_n", x, n=n)) is not None:
+        return edge
     k = F.col(x.frame.add(F.count(x.cell).over(x.frame.so_far)))
     return x.derive("firstN", x.ticked & (k <= n), x.value)
 
@@ -140,6 +164,8 @@ def delay(x: Series, delta: timedelta) -> Series:
     us = micros(delta)
     if us < 0:
         raise ValueError("a delay can't be negative")
+    if (edge := live("delay", x, by=delta)) is not None:
+        return edge
     df = x.frame.df.filter(x.ticked).select(*x.frame.keys, F.timestamp_micros(F.unix_micros("t") + us).alias("t"), (F.col("cyc") + (0 if us else 1)).alias("cyc"), F.col(x.cell))
     if us:  # whatever cycles they were in, they are one cycle at the later time; the last wins
         df = df.groupBy(*x.frame.keys, "t").agg(F.max_by(x.cell, "cyc").alias(x.cell)).select(*x.frame.keys, "t", F.lit(0).alias("cyc"), x.cell)
@@ -153,6 +179,8 @@ class Split(NamedTuple):
 
 def split(flag: Series, x: Series) -> Split:
     """x's ticks by the latest flag; nothing until the flag ticked."""
+    if (edge := live("split", flag, x)) is not None:
+        return edge
     f, s = align(flag, x)
     held = truthy(f.now, f.type)
     return Split(s.derive("split.true", s.ticked & f.valid & held, s.value, flag, x), s.derive("split.false", s.ticked & f.valid & ~held, s.value, flag, x))

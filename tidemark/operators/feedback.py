@@ -17,6 +17,12 @@ from ..model import Node, Series
 _FED = "fed"
 
 
+def _binary(op: str, x, y):
+    from .basic import binary
+
+    return binary(op, x, y)
+
+
 class LoopEdge:
     """An output of a node on a loop, or (step None) the edge that is fed back. Once the loop is closed, `series` is what it gives."""
 
@@ -27,6 +33,22 @@ class LoopEdge:
     def series(self) -> Series:
         return self.loop.series(self)
 
+    # the same algebra as a series
+    def __add__(self, other): return _binary("+", self, other)
+    def __radd__(self, other): return _binary("+", other, self)
+    def __sub__(self, other): return _binary("-", self, other)
+    def __rsub__(self, other): return _binary("-", other, self)
+    def __mul__(self, other): return _binary("*", self, other)
+    def __rmul__(self, other): return _binary("*", other, self)
+    def __truediv__(self, other): return _binary("/", self, other)
+    def __rtruediv__(self, other): return _binary("/", other, self)
+    def __gt__(self, other): return _binary(">", self, other)
+    def __lt__(self, other): return _binary("<", self, other)
+    def __ge__(self, other): return _binary(">=", self, other)
+    def __le__(self, other): return _binary("<=", self, other)
+    def eq(self, other): return _binary("==", self, other)
+    def ne(self, other): return _binary("!=", self, other)
+
     def __getattr__(self, name: str):
         if name.startswith("__"):
             raise AttributeError(name)
@@ -47,19 +69,28 @@ class Loop:
         self.outs |= {(n, k): kind for k, kind in outs.items()}
         return {k: LoopEdge(self, n, k) for k in outs}
 
-    def close(self, edge: LoopEdge) -> None:
-        outside: dict[str, Series] = {}
+    def wired(self, outside: dict[str, Series]) -> list[Step]:
+        """The steps with the origin of each input; series from outside the loop are named and added to `outside`."""
 
         def origin(x) -> tuple:
             if isinstance(x, LoopEdge):
-                return ("in", _FED) if x.step is None else ("step", x.step, x.out)
+                return ("in", x.out) if x.step is None else ("step", x.step, x.out)
             name = next((k for k, s in outside.items() if s is x), f"in{len(outside)}")
             outside[name] = x
             return ("in", name)
 
-        steps = [Step(s.body, {k: origin(x) for k, x in s.inputs.items()}, s.outs, s.scalars, s.alarms) for s in self.steps]
+        return [Step(s.body, {k: origin(x) for k, x in s.inputs.items()}, s.outs, s.scalars, s.alarms) for s in self.steps]
+
+    @property
+    def columns(self) -> dict[str, str]:
+        """All outputs of all steps, as columns, and their types."""
+        return {f"o{n}_{k}": kind for (n, k), kind in self.outs.items()}
+
+    def close(self, edge: LoopEdge) -> None:
+        outside: dict[str, Series] = {}
+        steps = self.wired(outside)
         names, back = list(outside), [(edge.step, edge.out, _FED)]
-        self._frame = fold_frame(outside, {f"o{n}_{k}": kind for (n, k), kind in self.outs.items()}, lambda start_us, end_us: Circuit(steps, names, back, start_us, end_us))
+        self._frame = fold_frame(outside, self.columns, lambda start_us, end_us: Circuit(steps, names, back, start_us, end_us))
         self._node = Node("feedback", tuple(s.node for s in outside.values()))
 
     def series(self, edge: LoopEdge) -> Series:

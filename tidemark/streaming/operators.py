@@ -7,6 +7,7 @@ bounded: rolling statistics keep their window's ticks, all others a few values.
 from __future__ import annotations
 
 import math
+import operator as o
 from collections import deque
 from datetime import timedelta
 from statistics import median as middle
@@ -68,6 +69,27 @@ def binary(x: ts[float], y: ts[float], op: str):
     return _BINARY[op](float(x.value), float(y.value)) if valid(x, y) else None
 
 
+@node(returns="double")
+def binary_with(x: ts[float], y: float, op: str, left: bool):
+    """With a literal on the right, or (left False) on the left."""
+    a, b = float(x.value), float(y)
+    return _BINARY[op](a, b) if left else _BINARY[op](b, a)
+
+
+_COMPARE = {">": o.gt, "<": o.lt, ">=": o.ge, "<=": o.le, "==": o.eq, "!=": o.ne}
+
+
+@node(returns="boolean")
+def compare(x: ts[float], y: ts[float], op: str):
+    return _COMPARE[op](float(x.value), float(y.value)) if valid(x, y) else None
+
+
+@node(returns="boolean")
+def compare_with(x: ts[float], y: float, op: str, left: bool):
+    a, b = float(x.value), float(y)
+    return _COMPARE[op](a, b) if left else _COMPARE[op](b, a)
+
+
 _STATS = {
     "count": lambda v, ddof: float(len(v)), "sum": lambda v, ddof: math.fsum(v), "mean": lambda v, ddof: math.fsum(v) / len(v), "min": lambda v, ddof: min(v), "max": lambda v, ddof: max(v),
     "first": lambda v, ddof: v[0], "last": lambda v, ddof: v[-1], "prod": lambda v, ddof: math.prod(v), "median": lambda v, ddof: float(middle(v)),

@@ -83,18 +83,38 @@ class FoldProcessor(StatefulProcessor):
         pass
 
 
+def _stream(rows: DataFrame, keys: list[str], time: str, inputs: dict[str, Column], late_after: str, folding, scalars: dict, outputs: dict[str, str]) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    marked = rows.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late_after)
+    fed = marked.select(*keys, "_t", F.unix_micros("_t").alias("us"), *(F.when(c.isNotNull(), F.struct(c.alias("v"))).alias(name) for name, c in inputs.items()))
+    outs = T.StructType([*(fed.schema[k] for k in keys), T.StructField("us", T.LongType()), T.StructField("cyc", T.IntegerType()), *(T.StructField(k, T._parse_datatype_string(v)) for k, v in outputs.items())])
+    processor = FoldProcessor(folding, scalars, keys, list(inputs), list(outputs), fed.schema)
+    done = fed.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=outs, outputMode="append", timeMode="eventtime")
+    return done.select(*keys, F.timestamp_micros("us").alias("t"), "cyc", *outputs)
+
+
 def stream_node(node, rows: DataFrame, keys: list[str], time: str, inputs: dict[str, Column], late_after: str, **scalars) -> DataFrame:
     """A node on a streaming DataFrame: each input is a column, null where it doesn't tick.
 
     Rows may be `late_after` out of order. Gives keys, t, cyc and a column for each output, one row for each cycle with an output.
     """
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    marked = rows.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late_after)
-    fed = marked.select(*keys, "_t", F.unix_micros("_t").alias("us"), *(F.when(c.isNotNull(), F.struct(c.alias("v"))).alias(name) for name, c in inputs.items()))
-    outs = T.StructType([*(fed.schema[k] for k in keys), T.StructField("us", T.LongType()), T.StructField("cyc", T.IntegerType()), *(T.StructField(k, T._parse_datatype_string(v)) for k, v in node.outs.items())])
-    processor = FoldProcessor(node.folding, scalars, keys, list(inputs), list(node.outs), fed.schema)
-    done = fed.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=outs, outputMode="append", timeMode="eventtime")
-    return done.select(*keys, F.timestamp_micros("us").alias("t"), "cyc", *node.outs)
+    return _stream(rows, keys, time, inputs, late_after, node.folding, scalars, node.outs)
+
+
+def stream_graph(graph, rows: DataFrame, keys: list[str], time: str, inputs: dict[str, Column], late_after: str) -> DataFrame:
+    """A graph of operators and nodes on a streaming DataFrame, all of it in one stateful step by key.
+
+    `graph` gets an edge for each input and returns named edges; each is a column of the result, null where it didn't tick.
+    """
+    from ..functions.node import Circuit
+    from ..operators.feedback import Loop, LoopEdge
+
+    loop = Loop()
+    outputs = graph(**{name: LoopEdge(loop, None, name) for name in inputs})
+    steps, names = loop.wired({}), list(inputs)
+    found = _stream(rows, keys, time, inputs, late_after, lambda: Circuit(steps, names, []), {}, loop.columns)
+    shown = found.select(*keys, "t", "cyc", *(F.col(f"o{e.step}_{e.out}").alias(k) for k, e in outputs.items()))
+    return shown.filter(F.coalesce(*(F.when(F.col(k).isNotNull(), F.lit(True)) for k in outputs), F.lit(False)))
 
 
 def replay(spark: SparkSession, folder: str, files: str, schema: T.StructType, per_batch: int = 1) -> DataFrame:
