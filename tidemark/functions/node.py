@@ -240,7 +240,9 @@ def fold_frame(named: dict[str, Series], outs: dict[str, str], make: Callable[[i
     span = (micros(utc(run.start) - _EPOCH), micros(utc(run.end) - _EPOCH)) if run else (None, None)
     ticked_rows = series[0].frame.df.filter(F.coalesce(*(F.when(s.ticked, F.lit(True)) for s in series), F.lit(False)))
     rows = ticked_rows.select(*keys, F.unix_micros("t").alias("t"), "cyc", *(F.col(s.cell).isNotNull().alias(f"{n}_ticked") for s, n in zip(series, named)), *(s.value.alias(n) for s, n in zip(series, named)))
-    rows = (rows.repartition(*keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "t", "cyc")
+    # a number of its own: small partitions aren't put together, as a fold's work isn't in its bytes
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (rows.repartition(parts, *keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "t", "cyc")
     cells = [T.StructField(k, T.StructType([T.StructField("v", T._parse_datatype_string(kind))])) for k, kind in outs.items()]
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("t", T.LongType()), T.StructField("cyc", T.IntegerType()), *cells])
     n, width = len(keys), len(named)
