@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontamination, packing, quality_rules, secret_scan, simhash
+from tidemark.llm import decontamination, near_copies, packing, quality_rules, secret_scan
 from tidemark.llm.common import discard, table, written
 from tidemark.llm.queries import tokenizer_path
 
@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the least doc_id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near-duplicates, 5-word shingles with a Jaccard similarity of 0.8 or more: the one of the least doc_id."""
+    return near_copies.deduplicated(docs, shingle=5, similar=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -44,20 +44,26 @@ SAMPLE = 200_000
 _MAX_T = 2
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit b is 1 if set in over half the hashes of the shingles, repeats included. 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the shingles in their order, repeats included; a text of fewer words is one shingle. Empty without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     k = min(shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
     n = len(words) - k + 1
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1:].tolist())), "<u8", n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1:].tolist())), "<u8", n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bit b is 1 if set in over half the hashes of the shingles, repeats included. 0 without words."""
+    h = shingle_hashes(text, shingle)
+    n = len(h)
     counts = np.zeros(64, np.int64)
     for a in range(0, n, 4096):
         counts += np.unpackbits(h[a:a + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -335,7 +341,11 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each component, that of the least doc_id, with the input's columns."""
-    found = written(clustered(docs, shingle, distance), "clusters")
+    return one_of_each(docs, written(clustered(docs, shingle, distance), "clusters"), lambda t: f"{fingerprint(t, shingle):016x}")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, name_of: Callable[[str], str]) -> DataFrame:
+    """The row of the least doc_id of each cluster; found has doc_id, fingerprint, component_id and cluster, and name_of gives a text's fingerprint."""
     of_id, rows, least = f"{P}id", f"{P}rows", f"{P}least"
     counted = found.groupBy(F.col("doc_id").alias(of_id)).agg(F.count(F.lit(1)).alias(rows), F.min("component_id").alias(least))
     plain = F.col(of_id).isNotNull() & (F.col(rows) == 1)
@@ -346,12 +356,12 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTAN
     if shared.isEmpty():
         return out
 
-    @F.pandas_udf("long")
-    def fp(texts):
-        return texts.map(lambda t: int(np.uint64(fingerprint(t, shingle)).view(np.int64)))
+    @F.pandas_udf("string")
+    def name(texts):
+        return texts.map(name_of)
 
-    mine = docs.join(shared, F.col("doc_id").eqNullSafe(F.col(of_id)), "left_semi").select(F.struct(*(F.col(c) for c in docs.columns)).alias(f"{P}row"), fp(F.coalesce("text", F.lit(""))).alias(f"{P}fp"))
+    mine = docs.join(shared, F.col("doc_id").eqNullSafe(F.col(of_id)), "left_semi").select(F.struct(*(F.col(c) for c in docs.columns)).alias(f"{P}row"), name(F.coalesce("text", F.lit(""))).alias(f"{P}name"))
     where = found.select(F.col("fingerprint").alias(f"{P}hex"), F.col("cluster").alias(f"{P}cluster"), F.col("component_id").alias(least)).distinct()
-    placed = mine.join(where, hex_of(f"{P}fp") == F.col(f"{P}hex")).filter(F.col(f"{P}row.doc_id").eqNullSafe(F.col(least)))
+    placed = mine.join(where, F.col(f"{P}name") == F.col(f"{P}hex")).filter(F.col(f"{P}row.doc_id").eqNullSafe(F.col(least)))
     one = placed.groupBy(f"{P}cluster").agg(F.min_by(f"{P}row", F.coalesce(f"{P}row.text", F.lit(""))).alias(f"{P}row"))
     return out.unionByName(one.select(f"{P}row.*"))
