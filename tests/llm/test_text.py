@@ -185,6 +185,15 @@ def test_a_benchmark_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id, r.start) for r in decontamination.overlaps(docs, bench).collect()) == [(i, i, 1) for i in range(12)]
 
 
+def test_clean_drops_parts_of_items(spark):
+    item, own = [f"q{k}" for k in range(59)], [f"o{k}" for k in range(60)]
+    texts = [own, own + item[:45] + own, own + item[:30] + ["more"] + item[30:] + own, own + item[:30] + item[31:], own + item[:12] + own, own + item[20:29] + ["x"] + item[30:38]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [0, 4]
+    assert decontamination.overlaps(docs, bench).count() == 0
+
+
 @pytest.mark.parametrize("mask", decontamination.MASKS)
 def test_masks_ignore_a_position(mask):
     assert mask[0] == mask[-1] == "1" and "0" in mask

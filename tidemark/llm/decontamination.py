@@ -4,6 +4,7 @@ Tokens are runs of letters and digits, lower case. A mask of fixed length keeps
 ignores the others, so a window still has its hash when words at ignored positions were substituted. The
 hashes of all windows of documents meet those of the benchmark's; around each hit the whole item is laid over
 the document at that place and words are compared position by position; an overlap counts from `OVERLAP` on.
+`clean` also counts shorter passages, which the rows of `overlaps` leave out unless `run` is given.
 
 The benchmark's hashes are broadcast in blocks of items whose size is checked (`BLOCK_HASHES`); a larger
 benchmark takes a pass over the documents for each block. Documents are never shuffled: a hit leaves the
@@ -24,6 +25,8 @@ from .common import P, written
 #: 1: the position counts, 0: it is ignored.
 MASKS = ("11101011", "1101100111", "1011010101")
 OVERLAP = 0.8
+#: Score of a passage of an item, its equal words less four times the others, from which `clean` drops a document.
+RUN = 13
 #: Hashes of the benchmark that are broadcast together; about 40 bytes each, and 8 for each word of an item.
 BLOCK_HASHES = 500_000
 
@@ -51,8 +54,9 @@ def _items(benchmark: DataFrame, masks: tuple[str, ...]) -> tuple[DataFrame, lis
     return items, [*masks, *("1" * n for n in lengths if "1" * n not in masks)]
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: float = OVERLAP) -> DataFrame:
-    """A row for each document and item that overlap: doc_id, item_id, start (token of the document), matched, item_words, overlap."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: float = OVERLAP, run: int | None = None) -> DataFrame:
+    """A row for each document and item that overlap: doc_id, item_id, start (token of the document), matched, item_words, overlap.
+    With run, also for those that have a passage of that score in common, at one offset: parts of an item, and both sides of a word put in or left out."""
     spark: SparkSession = docs.sparkSession
     items, all_masks = _items(benchmark, masks)
     both = F.flatten(F.array(*(F.transform(seeds(F.col(f"{P}item"), m), lambda h, i: F.struct(h.alias("h"), i.alias("i"))) for m in all_masks)))
@@ -64,7 +68,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
         seeded = seeded.withColumn(f"{P}block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
     hits = None
     for b in range(blocks):
-        found = _hits(docs, items, seeded.filter(F.col(f"{P}block") == b).drop(f"{P}block"), all_masks, least)
+        found = _hits(docs, items, seeded.filter(F.col(f"{P}block") == b).drop(f"{P}block"), all_masks, least, run)
         hits = found if hits is None else hits.unionByName(found)
     best = F.max(F.struct(F.col(f"{P}matched").alias("matched"), (-F.col(f"{P}start")).alias("back"), F.col(f"{P}words").alias("words"))).alias("best")
     return hits.groupBy("doc_id", "item_id").agg(best).select(
@@ -72,7 +76,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
         (F.col("best.matched") / F.col("best.words")).alias("overlap"))
 
 
-def _hits(docs: DataFrame, items: DataFrame, seeded: DataFrame, masks: list[str], least: float) -> DataFrame:
+def _hits(docs: DataFrame, items: DataFrame, seeded: DataFrame, masks: list[str], least: float, run: int | None) -> DataFrame:
     words = docs.select("doc_id", hashed_tokens(F.col("text")).alias(f"{P}doc"))
     doc, at = F.col(f"{P}doc"), F.col(f"{P}i")
     # a row for each token, then its windows' hashes outside of any lambda, where they are compiled
@@ -81,11 +85,22 @@ def _hits(docs: DataFrame, items: DataFrame, seeded: DataFrame, masks: list[str]
     rows = rows.select("doc_id", f"{P}doc", f"{P}i", F.explode(windows).alias(f"{P}h"))
     met = rows.join(F.broadcast(seeded), f"{P}h").join(F.broadcast(items.select(F.col("item_id").alias(f"{P}id"), f"{P}item")), F.col("item_id").eqNullSafe(F.col(f"{P}id")))
     start = F.col(f"{P}i") - F.col(f"{P}at")
-    same = F.size(F.filter(F.transform(F.col(f"{P}item"), lambda w, k: F.when(start + k >= 0, F.get(doc, start + k)) == w), lambda x: x))
-    return met.select("doc_id", "item_id", start.alias(f"{P}start"), same.alias(f"{P}matched"), F.size(f"{P}item").alias(f"{P}words")).filter(F.col(f"{P}matched") >= F.col(f"{P}words") * least)
+    same = F.transform(F.col(f"{P}item"), lambda w, k: F.coalesce(F.when(start + k >= 0, F.get(doc, start + k)) == w, F.lit(False)))
+    laid = met.select("doc_id", "item_id", start.alias(f"{P}start"), same.alias(f"{P}same"), F.size(f"{P}item").alias(f"{P}words"))
+    enough = F.col(f"{P}matched") >= F.col(f"{P}words") * least
+    if run is not None:
+        # the best sum over a stretch, in one pass
+        zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
+
+        def add(x, equal):
+            now = F.greatest(F.lit(0), x["now"] + F.when(equal, 1).otherwise(-4))
+            return F.struct(now.alias("now"), F.greatest(x["best"], now).alias("best"))
+
+        enough = enough | (F.aggregate(f"{P}same", zero, add)["best"] >= run)
+    return laid.withColumn(f"{P}matched", F.size(F.filter(f"{P}same", lambda x: x))).filter(enough).drop(f"{P}same")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without an overlap."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias(f"{P}id")).distinct()
+    """The documents without an overlap, of whole items or of a passage of score `RUN`."""
+    found = overlaps(docs, benchmark, run=RUN).select(F.col("doc_id").alias(f"{P}id")).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col(f"{P}id")), "left_anti")
