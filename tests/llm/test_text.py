@@ -194,6 +194,23 @@ def test_clean_drops_parts_of_items(spark):
     assert decontamination.overlaps(docs, bench).count() == 0
 
 
+def test_short_items_are_found_with_all_substitutions(spark):
+    from itertools import combinations
+
+    items, docs = [], []
+    for n in range(1, 15):
+        words = [f"n{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for gone in range(n - -(-4 * n // 5) + 1):
+            for at in combinations(range(n), gone):
+                text = " ".join("other" if k in at else w for k, w in enumerate(words))
+                docs += [(len(docs), "before " + text + " after"), (len(docs) + 1, text)]
+        cut = n - -(-4 * n // 5)
+        docs += [(len(docs), " ".join(words[cut:])), (len(docs) + 1, " ".join(words[:n - cut]))]
+    found = decontamination.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.matched for r in found.collect()} == overlaps(docs, items, decontamination.OVERLAP)
+
+
 @pytest.mark.parametrize("mask", decontamination.MASKS)
 def test_masks_ignore_a_position(mask):
     assert mask[0] == mask[-1] == "1" and "0" in mask

@@ -8,7 +8,7 @@ the document at that place and words are compared position by position; an overl
 
 The benchmark's hashes are broadcast in blocks of items whose size is checked (`BLOCK_HASHES`); a larger
 benchmark takes a pass over the documents for each block. Documents are never shuffled: a hit leaves the
-scan as a few numbers. Items shorter than the masks have a mask of their own, as long as they are.
+scan as a few numbers. Items below `SHORT` words have masks of their own, which find every overlap.
 
 Defined results: null or empty texts on either side have no overlap; items with equal texts are each
 reported; repeated documents rows give one row for each doc_id and item, with the best place; ties go to the
@@ -17,6 +17,9 @@ first place; an empty table on either side gives no rows; other columns are not
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ from .common import P, written
 #: 1: the position counts, 0: it is ignored.
 MASKS = ("11101011", "1101100111", "1011010101")
 OVERLAP = 0.8
+#: Words of an item from which the masks above serve it.
+SHORT = 15
 #: Score of a passage of an item, its equal words less four times the others, from which `clean` drops a document.
 RUN = 13
 #: Hashes of the benchmark that are broadcast together; about 40 bytes each, and 8 for each word of an item.
@@ -46,21 +51,41 @@ def seeds(hashes: Column, mask: str) -> Column:
     return F.when(F.size(hashes) >= len(mask), found).otherwise(F.array().cast("array<bigint>"))
 
 
-def _items(benchmark: DataFrame, masks: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
-    """Items with hashed tokens, and the masks: the given ones, and for items below the longest, all positions."""
+def short_masks(n: int, least: float) -> list[str]:
+    """Masks, one of which finds n words with as many substitutions as least allows, also where the document ends within the item.
+
+    Of two groups of positions more than there can be substitutions, two are whole; a mask keeps two groups."""
+    gone = n - max(1, ceil(least * n - 1e-9))
+    kept = 2 if 0 < gone <= n - 2 else 1
+    groups = gone + kept
+    edges = [n * k // groups for k in range(groups + 1)]
+    found = {}
+    for chosen in combinations(range(groups), kept):
+        at = [k for g in chosen for k in range(edges[g], edges[g + 1])]
+        found["".join("01"[k in at] for k in range(at[0], at[-1] + 1))] = None
+    return list(found)
+
+
+def _items(benchmark: DataFrame, masks: tuple[str, ...], least: float) -> tuple[DataFrame, dict[str, Column]]:
+    """Items with hashed tokens, and masks with the condition on items that they serve."""
     items = written(benchmark.select("item_id", hashed_tokens(F.col("text")).alias(f"{P}item")).filter(F.size(f"{P}item") > 0), "items")
-    short = max(map(len, masks))
-    lengths = sorted(r[0] for r in items.select(F.size(f"{P}item")).filter(F.size(f"{P}item") < short).distinct().collect())
-    return items, [*masks, *("1" * n for n in lengths if "1" * n not in masks)]
+    size = F.size(f"{P}item")
+    serves = {m: size >= SHORT for m in masks}
+    for n in sorted(r[0] for r in items.select(size).filter(size < SHORT).distinct().collect()):
+        for m in short_masks(n, least):
+            serves[m] = serves[m] | (size == n) if m in serves else size == n
+    return items, serves
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: float = OVERLAP, run: int | None = None) -> DataFrame:
     """A row for each document and item that overlap: doc_id, item_id, start (token of the document), matched, item_words, overlap.
     With run, also for those that have a passage of that score in common, at one offset: parts of an item, and both sides of a word put in or left out."""
     spark: SparkSession = docs.sparkSession
-    items, all_masks = _items(benchmark, masks)
-    both = F.flatten(F.array(*(F.transform(seeds(F.col(f"{P}item"), m), lambda h, i: F.struct(h.alias("h"), i.alias("i"))) for m in all_masks)))
-    # a short item needs its own mask only, a longer one the given masks
+    items, serves = _items(benchmark, masks, least)
+    all_masks = list(serves)
+    # a short item needs its own masks only, a longer one the given masks
+    none = F.array().cast("array<bigint>")
+    both = F.flatten(F.array(*(F.transform(seeds(F.when(c, F.col(f"{P}item")).otherwise(none), m), lambda h, i: F.struct(h.alias("h"), i.alias("i"))) for m, c in serves.items())))
     seeded = items.select("item_id", F.explode(both).alias("x")).select(F.col("x.h").alias(f"{P}h"), "item_id", F.col("x.i").alias(f"{P}at")).withColumn(f"{P}block", F.lit(0))
     n = seeded.count()
     blocks = max(1, -(-n // BLOCK_HASHES))
