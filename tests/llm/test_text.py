@@ -211,6 +211,14 @@ def test_short_items_are_found_with_all_substitutions(spark):
     assert {(r.doc_id, r.item_id): r.matched for r in found.collect()} == overlaps(docs, items, decontamination.OVERLAP)
 
 
+def test_clean_goes_by_row(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    rows = [(None, item), (None, "clean"), (None, None), (4, "a " + item), (4, "clean too"), (5, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert Counter(map(tuple, decontamination.clean(docs, bench).collect())) == Counter([rows[1], rows[2], rows[4], rows[5]])
+
+
 @pytest.mark.parametrize("mask", decontamination.MASKS)
 def test_masks_ignore_a_position(mask):
     assert mask[0] == mask[-1] == "1" and "0" in mask

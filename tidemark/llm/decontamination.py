@@ -126,6 +126,7 @@ def _hits(docs: DataFrame, items: DataFrame, seeded: DataFrame, masks: list[str]
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without an overlap, of whole items or of a passage of score `RUN`."""
-    found = overlaps(docs, benchmark, run=RUN).select(F.col("doc_id").alias(f"{P}id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(f"{P}id")), "left_anti")
+    """The documents without an overlap, of whole items or of a passage of score `RUN`; rows with one doc_id, or none, are told apart by their texts."""
+    row = F.struct("doc_id", F.xxhash64("text").alias("text"))
+    found = overlaps(docs.select(row.alias("doc_id"), "text"), benchmark, run=RUN).select(F.col("doc_id.doc_id").alias(f"{P}id"), F.col("doc_id.text").alias(f"{P}text")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(f"{P}id")) & (F.xxhash64("text") == F.col(f"{P}text")), "left_anti")
