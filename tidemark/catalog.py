@@ -12,11 +12,16 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tidemark as tm
+
 from .functions import stats
-from .functions.node import Outputs, alarmed, node, output, schedule_alarm, starting, state, ticked, ts, valid
-from .model import Frame, Node, Run, Series, current, series_of, utc
+from .functions.node import Outputs, alarm_value, alarmed, node, output, schedule_alarm, state, ticked, ts, valid
+from .model import ZERO, Frame, Node, Run, Series, current, series_of, utc
 from .operators import basic as op
 from .operators.dynamic import dynamic
+from .operators.feedback import feedback
+from .plans.run import run
+from .shipping import shared_folder
 from .sinks import tables as sink
 from .sources import batch as source
 
@@ -79,7 +84,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str, *columns: str, keys: tuple[str, ...] = ("user_id",)) -> Frame:
     """Events as a frame: ts is unique, so every event is a cycle."""
     df = table(spark, sf_dir, "events").select(*dict.fromkeys([*keys, "ts", *columns]))
-    return Frame(df.select(*keys, F.col("ts").cast("timestamp").alias("t"), F.lit(0).alias("cyc"), *(c for c in columns if c not in keys)), keys)
+    return Frame(df.select(*keys, F.col("ts").cast("timestamp").alias("t"), F.lit(0).alias("cyc"), *(c for c in columns if c not in keys)), keys, ZERO)
 
 
 def of_type(frame: Frame, kind: str, value: str = "value") -> Series:
@@ -89,7 +94,7 @@ def of_type(frame: Frame, kind: str, value: str = "value") -> Series:
 
 def every(frame: Frame, value: str = "value") -> Series:
     s = Series(frame, frame.add(F.struct(F.col(value).alias("v")), ("every", value)), Node("events"))
-    frame._known[("alone", s.cell)] = s.cell
+    frame.dense.add(s.cell)
     return s
 
 
@@ -132,6 +137,14 @@ def src_read_frame(spark, d):
     return shown(cols["value"] + cols["event_id"], 4)
 
 
+@query("SELECT user_id, date_trunc('hour', ts) AS ts, round(arg_max(value, event_id) + max(event_id), 4) AS value FROM events GROUP BY 1, 2")
+def src_read_frame_ties(spark, d):
+    """Rows of one time are one tick, the last row's."""
+    df = table(spark, d, "events").select("user_id", F.date_trunc("hour", "ts").alias("hour"), "value", "event_id", F.col("event_id").alias("seq"))
+    cols = source.read_frame(df, "hour", ["value", "event_id"], keys=("user_id",), seq="seq")
+    return shown(cols["value"] + cols["event_id"], 4)
+
+
 @query("SELECT ts, value FROM events WHERE event_type = 'purchase'")
 def src_adapter_subscribe(spark, d):
     return shown(source.AdapterManager(table(spark, d, "events"), "ts", "event_type", "value").subscribe("purchase"))
@@ -198,9 +211,10 @@ def op_sample(spark, d):
 
 def _clock(all_events: DataFrame, step: str) -> DataFrame:
     """Times at a step from the first day to the last event, for each user."""
-    lo, hi = all_events.agg(F.min(F.date_trunc("day", "ts")).cast("timestamp"), F.max("ts").cast("timestamp")).first()
+    span = all_events.select(F.struct(F.min(F.date_trunc("day", "ts")).cast("timestamp").alias("lo"), F.max("ts").cast("timestamp").alias("hi"))).scalar()
     every_step = F.expr(step)
-    return all_events.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(lo) + every_step, F.lit(hi), every_step)).alias("t"))
+    users = all_events.select("user_id").distinct().withColumn("span", span)
+    return users.select("user_id", F.explode(F.sequence(F.col("span.lo") + every_step, F.col("span.hi"), every_step)).alias("t"))
 
 
 @query("""SELECT user_id, ts, arg_min(value, (p, -event_id)) AS value FROM (
@@ -292,6 +306,25 @@ def stat_min_points(spark, d):
     return shown(stats.mean(every(events(spark, d, "value")), 10, min_data_points=5), 4)
 
 
+_TIES = """WITH h AS (SELECT user_id, date_trunc('hour', ts) AS ts, round(arg_max(value, event_id) * 100)::BIGINT AS v FROM events WHERE event_type = 'click' GROUP BY 1, 2),
+m AS (SELECT user_id, ts, v, 0 AS cyc FROM h UNION ALL SELECT user_id, ts, 2 * v, 1 FROM h),
+s AS (SELECT a.user_id, a.ts, a.cyc, count(b.v) AS n, sum(b.v) AS s, sum(b.v * b.v) AS q, min(b.v) AS lo, max(b.v) AS hi, arg_min(b.v, (b.ts, b.cyc)) AS f, any_value(a.v) AS l, median(b.v) AS m, product(b.v / 10000) AS p
+FROM m a JOIN m b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 12 HOUR AND a.ts AND (b.ts < a.ts OR b.cyc <= a.cyc) GROUP BY ALL) """
+for _name, _sql in {"count": "n::DOUBLE", "sum": "round(s / 100.0, 2)", "mean": "round(s / n::DOUBLE / 100, 4)", "min": "round(lo / 100.0, 2)", "max": "round(hi / 100.0, 2)", "first": "round(f / 100.0, 2)", "last": "round(l / 100.0, 2)",
+                    "median": "round(m / 100.0, 3)", "prod": "round(p, 6)", "var": "round(CASE WHEN n > 1 THEN (n * q - s * s)::DOUBLE / (n * (n - 1)) / 10000 ELSE 0.0 END, 3)",
+                    "stddev": "round(CASE WHEN n > 1 THEN sqrt((n * q - s * s)::DOUBLE / (n * (n - 1))) / 100 ELSE 0.0 END, 4)"}.items():
+
+    def _tied(spark, d, name=_name, digits={"count": None, "mean": 4, "stddev": 4, "prod": 6, "median": 3, "var": 3}.get(_name, 2)):
+        """A trailing time over a series that ticks twice at each time."""
+        (x,) = hourly(spark, d, ("user_id",), "click")
+        twice = op.merge(x, op.delay(x * 2, timedelta(0)))
+        out = getattr(stats, name)(twice / 100 if name == "prod" else twice, timedelta(hours=12))
+        v = F.col("value")
+        return out.ticks().select("user_id", F.col("t").cast("timestamp_ntz").alias("ts"), "cyc", (v if digits is None else settled(v, digits)).alias("value"))
+
+    query(_TIES + f"SELECT user_id, ts, cyc, {_sql} AS value FROM s", name=f"stat_{_name}_time_ties")(_tied)
+
+
 # --- derived patterns --------------------------------------------------------------------------------------
 
 @query("SELECT user_id, ts, sum(value::DECIMAL(18, 2)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)::DOUBLE AS value FROM events")
@@ -316,7 +349,7 @@ def trades(spark, d) -> DataFrame:
 
 def _cell(frame: Frame, value, name: str) -> Series:
     s = Series(frame, frame.add(F.struct(value.alias("v"))), Node(name))
-    frame._known[("alone", s.cell)] = s.cell
+    frame.dense.add(s.cell)
     return s
 
 
@@ -327,6 +360,21 @@ def q_vwap(spark, d):
     return vwap.frame.df.filter(vwap.ticked).select("part", "ts", "l_orderkey", "l_linenumber", settled(vwap.value, 4).alias("vwap"))
 
 
+@tm.node(returns=tm.Outputs(vwap="double", n="long"))
+def vwap(cash: tm.ts[float], qty: tm.ts[float]):
+    s = tm.state(cash=0.0, qty=0.0, n=0)
+    s.cash, s.qty, s.n = s.cash + cash.value, s.qty + qty.value, s.n + 1
+    tm.output(vwap=s.cash / s.qty, n=s.n)
+
+
+@query(_TRADES + "SELECT part, ts, row_number() OVER w AS n, round(sum(cash) OVER w / sum(qty) OVER w, 4) AS vwap FROM t WINDOW w AS (PARTITION BY part ORDER BY ts, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)")
+def q_vwap_node(spark, d):
+    """The same as a node, whose body names the package."""
+    frame = Frame(trades(spark, d), ("part",))
+    out = vwap(_cell(frame, F.col("cash"), "cash"), _cell(frame, F.col("qty"), "qty"))
+    return out.n.frame.df.select("part", F.col("t").cast("timestamp_ntz").alias("ts"), out.n.value.alias("n"), settled(out.vwap.value, 4).alias("vwap"))
+
+
 @query(_TRADES + """SELECT part, ts, l_orderkey, l_linenumber, round(sum(CASE WHEN buy THEN -cash ELSE cash END) OVER w + price * sum(CASE WHEN buy THEN qty ELSE -qty END) OVER w, 2) AS pnl
 FROM t WINDOW w AS (PARTITION BY part ORDER BY ts, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)""")
 def q_trade_pnl(spark, d):
@@ -443,18 +491,43 @@ SELECT ts, round(1 + sum((value - p) / open / n) OVER (ORDER BY ts ROWS UNBOUNDE
 def q_index_fold(spark, d):
     """An equal-weight index over users, moved by each event: changes by user, then one running sum over time.
 
-    The sum has no key: partial sums by time bucket come first, then each bucket adds what lies before it.
+    The sum has no key: each hour's total comes first, then each hour adds what lies before it.
     """
-    from .plans.prefix import running_total
-
     frame = events(spark, d, "value")
     x = every(frame)
-    opening = F.first("value").over(frame.so_far)
     moved = x.value - F.coalesce(frame.before(x.cell).getField("v"), x.value)
-    df = frame.df.select("user_id", "t", moved.alias("moved"), opening.alias("open")).filter("open != 0")
-    n = table(spark, d, "events").agg(F.countDistinct("user_id")).first()[0]
-    steps = df.select("t", (F.col("moved") / F.col("open") / F.lit(n)).alias("x"))
-    return running_total(steps, "t", "x").select(F.col("t").cast("timestamp_ntz").alias("ts"), settled(1 + F.col("total"), 6).alias("value"))
+    df = frame.df.select("t", "cyc", (moved / F.first("value").over(frame.so_far)).alias("x"), F.first("value").over(frame.so_far).alias("open")).filter("open != 0").select("t", "cyc", "x")
+    steps = Frame(df, (), ZERO)
+    total = op.cumulative(_cell(steps, F.col("x"), "steps"), split=timedelta(hours=1))
+    users = table(spark, d, "events").select(F.countDistinct("user_id")).scalar()
+    return shown(total.derive("index", None, 1 + total.value / users), 6)
+
+
+@node(returns=Outputs(position="long", price="double"))
+def positioned(x: ts[float], low: float, high: float):
+    """A position that signals move by one, and the price it stands at."""
+    s = state(position=0)
+    s.position = max(-1, min(1, s.position + (x.value > high) - (x.value < low)))
+    output(position=s.position, price=x.value)
+
+
+_POSITION = """WITH RECURSIVE e AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+f AS (SELECT user_id, n, ts, value, (value > 70)::INT - (value < 30)::INT AS position FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.n, e.ts, e.value, greatest(-1, least(1, f.position + (e.value > 70)::INT - (e.value < 30)::INT)) FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+"""
+
+
+@query(_POSITION + """, d AS (SELECT *, position - coalesce(lag(position) OVER (PARTITION BY user_id ORDER BY n), 0) AS moved FROM f),
+c AS (SELECT *, sum(-moved * value) OVER w AS cash, sum((moved <> 0)::BIGINT) OVER w AS trades FROM d WINDOW w AS (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING))
+SELECT user_id, ts, position::BIGINT AS position, round(cash, 4) AS cash, round(cash + position * value, 4) AS pnl, trades::BIGINT AS trades FROM c""")
+def q_position_pnl(spark, d):
+    """Position by a fold; its cash, its worth at the last price and its trades as running sums of columns."""
+    out = positioned(every(events(spark, d, "value")), low=30.0, high=70.0)
+    frame = out.position.frame
+    moved = F.col(frame.add(out.position.value - F.coalesce(frame.before(out.position.cell).getField("v"), F.lit(0))))
+    cash, trades = op.cumulative(_cell(frame, -moved * out.price.value, "cash")), op.cumulative(_cell(frame, (moved != 0).cast("long"), "trades"))
+    pnl = cash.value + out.position.value * out.price.value
+    return frame.df.select("user_id", F.col("t").cast("timestamp_ntz").alias("ts"), out.position.value.alias("position"), settled(cash.value, 4).alias("cash"), settled(pnl, 4).alias("pnl"), trades.value.alias("trades"))
 
 
 @node(returns=Outputs(position="long", traded="boolean"))
@@ -492,13 +565,11 @@ def q_sta_lta(spark, d):
 
 
 @node(returns="double")
-def trigger(ratio: ts[float], threshold: float, refractory: int):
-    """Fires where the ratio crosses the threshold upwards, but not within so many ticks of the last firing."""
-    s = state(n=0, fired=None, above=False)
-    s.n += 1
-    above, was, s.above = ratio.value > threshold, s.above, ratio.value > threshold
-    if above and not was and (s.fired is None or s.n - s.fired > refractory):
-        s.fired = s.n
+def spaced(ratio: ts[float], at: ts[int], gap: int):
+    """Crossings that are more than `gap` ticks after the last one that fired."""
+    s = state(last=None)
+    if s.last is None or at.value - s.last > gap:
+        s.last = at.value
         return ratio.value
 
 
@@ -509,18 +580,14 @@ f AS (SELECT user_id, i, ts, ratio, n AS fired, true AS fires FROM k WHERE i = 1
 UNION ALL SELECT k.user_id, k.i, k.ts, k.ratio, CASE WHEN k.n - f.fired > 10 THEN k.n ELSE f.fired END, k.n - f.fired > 10 FROM f JOIN k ON k.user_id = f.user_id AND k.i = f.i + 1)
 SELECT user_id, ts, round(ratio, 6) AS value FROM f WHERE fires""")
 def q_trigger_refractory(spark, d):
-    return shown(trigger(_sta_lta(spark, d), threshold=1.3, refractory=10), 6)
-
-
-@node(returns="long", alarms=("beat",))
-def heartbeat(period: timedelta):
-    s = state(n=0)
-    if starting():
-        schedule_alarm("beat", period)
-    elif alarmed("beat"):
-        s.n += 1
-        schedule_alarm("beat", period)
-        return s.n
+    """Rising edges are found in columns; only they go to the fold."""
+    ratio = _sta_lta(spark, d)
+    frame = ratio.frame
+    last = frame.before(ratio.cell).getField("v")
+    n = F.col(frame.add(F.count(ratio.cell).over(frame.so_far)))
+    rises = ratio.ticked & (ratio.value > 1.3) & ~F.coalesce(last > 1.3, F.lit(False))
+    edge = ratio.derive("rise", rises, ratio.value)
+    return shown(spaced(edge, edge.derive("at", rises, n), gap=10), 6)
 
 
 @query("SELECT user_id, ts, n AS value FROM (SELECT user_id, unnest(generate_series(min(ts) + INTERVAL 36 HOUR, min(ts) + INTERVAL 30 DAY, INTERVAL 36 HOUR)) AS ts, unnest(generate_series(1, 20)) AS n FROM events GROUP BY 1)")
@@ -565,6 +632,44 @@ def q_feedback_orders(spark, d):
     return shown(order_loop(first, send=timedelta(seconds=1000), execute=timedelta(seconds=700), orders=3).order)
 
 
+@node(returns="long")
+def asks(x: ts[float], granted: ts[int], times: int):
+    """The number of a request, one more whenever the last was granted."""
+    if ticked(x):
+        return 1
+    if granted.value < times:
+        return granted.value + 1
+
+
+@node(returns="long", alarms=("grant",))
+def grants(asked: ts[int], wait: timedelta):
+    """Grants a request after its number of waits."""
+    if ticked(asked):
+        schedule_alarm("grant", asked.value * wait, asked.value)
+    if alarmed("grant"):
+        return alarm_value("grant")
+
+
+@query("SELECT user_id, min(ts) + (n * (n + 1) // 2) * INTERVAL 100 SECOND AS ts, n AS value FROM events, generate_series(1, 4) g(n) GROUP BY user_id, n")
+def q_feedback_edges(spark, d):
+    """Two nodes on a feedback edge: each grant comes back to the asking node in the next cycle."""
+    loop = feedback("long")
+    asked = asks(op.firstN(every(events(spark, d, "value")), 1), loop.out(), times=4)
+    granted = grants(asked, wait=timedelta(seconds=100))
+    loop.bind(granted)
+    return shown(granted.series)
+
+
+@query("SELECT user_id, ts, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS 4 PRECEDING), 4) AS value FROM events")
+def q_run(spark, d):
+    """A graph function given to a run."""
+    def graph(rows):
+        tm.add_graph_output("mean", tm.stats.mean(tm.read_frame(rows, "ts", ["value"], keys=("user_id",))["value"], 5))
+
+    found = run(graph, table(spark, d, "events"), starttime=SPAN[0], endtime=SPAN[1], spark=spark)["mean"]
+    return found.select("user_id", F.col("t").cast("timestamp_ntz").alias("ts"), settled(F.col("value"), 4).alias("value"))
+
+
 @query("SELECT user_id, ts, c <> v AS x, (c AND v) AS carry FROM (SELECT user_id, ts, (k % 2 = 1) AS c, (k // 2 % 2 = 1) AS v FROM (SELECT user_id, ts, json_extract(props, '$.k')::BIGINT AS k FROM events))")
 def q_nand_circuit(spark, d):
     """A half adder of NAND gates alone."""
@@ -573,7 +678,7 @@ def q_nand_circuit(spark, d):
     a, b = _cell(frame, k % 2 == 1, "a"), _cell(frame, F.floor(k / 2) % 2 == 1, "b")
 
     def nand(x, y):
-        return op.apply(lambda p, q: ~(p & q), x, y)
+        return op.apply(lambda p, q: ~(p & q), x, y, total=True)
 
     n = nand(a, b)
     x, carry = nand(nand(a, n), nand(b, n)), nand(n, n)
@@ -598,7 +703,7 @@ def array_value(spark, d):
 def dyn_spawn_sum(spark, d):
     """Running sums of keys as they appear, each without the tick that spawned it."""
     df = table(spark, d, "events").select("ts", F.struct(F.col("event_type").alias("k"), F.col("value").cast("decimal(18,2)").alias("v")).alias("kv"))
-    out = dynamic(series_of(df, "kv", t="ts"), lambda s: op.cumulative(s.ticks))["out"]
+    out = dynamic(series_of(df, "kv", t="ts"), lambda s: op.cumulative(s.ticks, split=timedelta(hours=1)))["out"]
     return shown(out).select(F.col("k").alias("event_type"), "ts", F.col("value").cast("double").alias("value"))
 
 
@@ -620,6 +725,13 @@ def dyn_timer(spark, d):
     return shown(op.firstN(_spawned(spark, d, lambda s: s.timer(timedelta(days=1))), 20)).withColumnRenamed("k", "event_type")
 
 
+@query("SELECT event_type, ts + h * INTERVAL 1 HOUR AS ts, v AS value FROM (SELECT event_type, min(ts) AS ts FROM events GROUP BY 1), (VALUES (0, 10), (1, 1), (2, 3)) p(h, v)")
+def dyn_curve(spark, d):
+    """A curve of each spawned graph counts from its spawn time; of two points at one time the last stays."""
+    hour = timedelta(hours=1)
+    return shown(_spawned(spark, d, lambda s: s.curve("int", [(0 * hour, 10), (2 * hour, 2), (hour, 1), (2 * hour, 3)]))).withColumnRenamed("k", "event_type")
+
+
 def _spawned(spark, d, factory) -> Series:
     df = table(spark, d, "events").select("ts", F.struct(F.col("event_type").alias("k"), F.col("value").alias("v")).alias("kv"))
     return dynamic(series_of(df, "kv", t="ts"), factory)["out"]
@@ -645,12 +757,20 @@ def sink_wide(spark, d):
     return sink.to_wide(_two_outputs(spark, d)).withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
-@query("""WITH c AS (SELECT ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events)
-SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS time, 'count' AS node, n::VARCHAR AS value FROM c UNION ALL SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '*', (n * 2)::VARCHAR FROM c""")
+@query("""WITH c AS (SELECT ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events), t AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS time, n, value FROM c)
+SELECT time, 'count' AS node, n::VARCHAR AS value FROM t UNION ALL SELECT time, '*', (n * 2)::VARCHAR FROM t UNION ALL SELECT time, 'parity[0]', n::VARCHAR FROM t WHERE n % 2 = 0 UNION ALL SELECT time, 'parity[1]', n::VARCHAR FROM t WHERE n % 2 = 1""")
 def sink_audit(spark, d):
-    """Every tick of every step as text."""
+    """Every tick of every step as text, the outputs of one node told apart."""
+    from .plans.run import distinct
+
     n = op.count(every(events(spark, d, "value")))
-    return sink.audit([n, n * 2]).withColumn("node", F.substring_index("node", "#", 1))
+    twice, out = n * 2, parity(n)
+    return sink.audit(distinct([n, twice, out.even, out.odd])).withColumn("node", F.regexp_replace("node", "#[0-9]+", ""))
+
+
+@node(returns=Outputs(even="long", odd="long"))
+def parity(n: ts[int]):
+    output(**{"odd" if n.value % 2 else "even": n.value})
 
 
 # --- streams -----------------------------------------------------------------------------------------------
@@ -677,22 +797,15 @@ def _streamed(spark, d, name: str, made) -> DataFrame:
     from .streaming.stateful import FAR, replay, run_available
 
     schema = table(spark, d, "events").schema
-    folder = f"{_shared(spark)}/tidemark-far-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/tidemark-far-{uuid.uuid4().hex}"
     far = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit(FAR).cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"), F.lit(0.0).alias("value"))
     far.write.parquet(folder)
     # both in the first batch; the batch without data that follows fires the timers
     stream = replay(spark, d, "events.parquet", schema).select("user_id", "ts", "event_type", "value").unionByName(replay(spark, folder, "*.parquet", far.schema))
-    found = run_available(made(stream), f"{name}_{uuid.uuid4().hex[:8]}")
+    found = run_available(made(stream), name)
     return found.filter("user_id >= 0").withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t", "cyc")
 
 
-def _shared(spark) -> str:
-    """The folder that driver and executors share."""
-    import tempfile
-
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
-
-
 @query("SELECT user_id, ts, row_number() OVER w AS n, round(sum(value) OVER w, 4) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
 def stream_equals_batch_running(spark, d):
     from .streaming.stateful import stream_node
@@ -701,6 +814,19 @@ def stream_equals_batch_running(spark, d):
     return out.select("user_id", "ts", "n", settled(F.col("total"), 4).alias("total"))
 
 
+@query("SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM (SELECT DISTINCT user_id, date_trunc('hour', ts) AS ts FROM events WHERE event_type IN ('click', 'view'))")
+def stream_equals_batch_merge_ties(spark, d):
+    """Clicks and views cut to the hour: rows of one time are one cycle, on streams too."""
+    from .streaming.stateful import stream_graph
+
+    def graph(click, view):
+        return {"n": op.count(op.merge(click, view))}
+
+    of = lambda k: F.when(F.col("event_type") == k, F.col("value"))
+    hours = lambda s: s.withColumn("ts", F.when(F.col("user_id") >= 0, F.date_trunc("hour", "ts")).otherwise(F.col("ts").cast("timestamp")))
+    return _streamed(spark, d, "ties", lambda s: stream_graph(graph, hours(s), ["user_id"], "ts", {"click": of("click"), "view": of("view")}, "0 seconds")).select("user_id", "ts", "n")
+
+
 @query("""WITH p AS (SELECT *, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM events)
 SELECT user_id, ts, c AS value FROM p WHERE event_type = 'view' AND c IS NOT NULL""")
 def stream_equals_batch_sample(spark, d):

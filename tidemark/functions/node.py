@@ -26,7 +26,8 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import Frame, Node, Series, align, current, micros, utc
+from ..model import MANY, Frame, Node, Series, align, current, micros, utc
+from ..shipping import ship
 from ..sources.batch import const
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -151,6 +152,7 @@ class Step:
     outs: list[str]
     scalars: dict
     alarms: tuple[str, ...] = ()
+    name: str = "node"
 
 
 class Circuit:
@@ -211,6 +213,10 @@ class Circuit:
         if emitted:
             yield t, cyc, [(emitted[i, k],) if (i, k) in emitted else None for i, s in enumerate(self.steps) for k in s.outs]
 
+    def in_bounds(self) -> bool:
+        """Whether an alarm or feedback is still to come before the end."""
+        return bool(self.queue) and (self.end_us is None or self.queue[0][0] <= self.end_us)
+
     def _taken(self, t: int) -> tuple[dict, dict[int, dict]]:
         cells, alarms = {}, {}
         while self.queue and self.queue[0][0] == t:
@@ -220,7 +226,7 @@ class Circuit:
 
     def due(self, before: int | None = None) -> Iterator[tuple]:
         """Cycles of alarms and feedback that come before a time; without one, all up to the end."""
-        while self.queue and (before is None or self.queue[0][0] < before) and (self.end_us is None or self.queue[0][0] <= self.end_us):
+        while self.in_bounds() and (before is None or self.queue[0][0] < before):
             yield from self._cycle(self.queue[0][0], 0, *self._taken(self.queue[0][0]))
 
     def feed(self, t: int, cyc: int, cells: list) -> Iterator[tuple]:
@@ -232,14 +238,18 @@ class Circuit:
         yield from self._cycle(t, cyc, back | {k: v[0] for k, v in zip(self.names, cells) if v is not None}, alarms)
 
 
-def fold_frame(named: dict[str, Series], outs: dict[str, str], make: Callable[[int | None, int | None], Circuit]) -> Frame:
-    """A circuit for each key of some series, as a frame with a cell column for each output (name: Spark type)."""
+def fold_frame(named: dict[str, Series], outs: dict[str, str], make: Callable[[int | None, int | None], Circuit], timed: bool = True) -> Frame:
+    """A circuit for each key of some series, as a frame with a cell column for each output (name: Spark type).
+
+    timed: there are alarms or feedback, so that cycles come up which the inputs don't have.
+    """
     # without a series there is still the run's start
     series = align(*(named.values() or [const(0)]))
     keys, run = series[0].frame.keys, current.get()
     span = (micros(utc(run.start) - _EPOCH), micros(utc(run.end) - _EPOCH)) if run else (None, None)
     ticked_rows = series[0].frame.df.filter(F.coalesce(*(F.when(s.ticked, F.lit(True)) for s in series), F.lit(False)))
     rows = ticked_rows.select(*keys, F.unix_micros("t").alias("t"), "cyc", *(F.col(s.cell).isNotNull().alias(f"{n}_ticked") for s, n in zip(series, named)), *(s.value.alias(n) for s, n in zip(series, named)))
+    ship(rows.sparkSession)
     # a number of its own: small partitions aren't put together, as a fold's work isn't in its bytes
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (rows.repartition(parts, *keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "t", "cyc")
@@ -284,7 +294,18 @@ def fold_frame(named: dict[str, Series], outs: dict[str, str], make: Callable[[i
         if held:
             yield batch()
 
-    return Frame(rows.mapInArrow(run_all, schema).withColumn("t", F.timestamp_micros("t")), keys)
+    return Frame(rows.mapInArrow(run_all, schema).withColumn("t", F.timestamp_micros("t")), keys, MANY if timed else series[0].frame.cycles)
+
+
+def schedules(body: Callable) -> bool:
+    """Whether a body may set alarms: its code or that of functions in it names `schedule_alarm`."""
+    code = [body.__code__] if hasattr(body, "__code__") else []
+    while code:
+        c = code.pop()
+        if "schedule_alarm" in c.co_names:
+            return True
+        code += [x for x in c.co_consts if hasattr(x, "co_names")]
+    return not hasattr(body, "__code__")
 
 
 _SPARK = {float: "double", int: "long", bool: "boolean", str: "string"}
@@ -317,11 +338,11 @@ def node(fn=None, *, returns: str | Outputs | None = None, alarms: tuple[str, ..
     names = [k for k in inputs if k not in fed_by.values()]
 
     def made(frame: Frame, step: Node):
-        found = [Series(frame, k, step) for k in outs]
+        found = [Series(frame, k, step, i if len(outs) > 1 else None) for i, k in enumerate(outs)]
         return SimpleNamespace(**dict(zip(outs, found))) if isinstance(returns, Outputs) else found[0]
 
     def circuit(scalars: dict):
-        steps, back = [Step(fn, {k: ("in", k) for k in inputs}, list(outs), scalars, alarms)], [(0, k, v) for k, v in fed_by.items()]
+        steps, back = [Step(fn, {k: ("in", k) for k in inputs}, list(outs), scalars, alarms, fn.__name__)], [(0, k, v) for k, v in fed_by.items()]
         return lambda start_us=None, end_us=None: Circuit(steps, names, back, start_us, end_us)
 
     def wired(*args, **kwargs):
@@ -330,10 +351,12 @@ def node(fn=None, *, returns: str | Outputs | None = None, alarms: tuple[str, ..
         scalars = {k: v for k, v in bound.arguments.items() if k not in inputs}
         given = {k: bound.arguments[k] for k in names}
         loop = next((x.loop for x in given.values() if hasattr(x, "loop")), None)
+        if loop is None and (run := current.get()) is not None:
+            loop = run.live
         if loop is not None:
-            found = loop.add(Step(fn, given, list(outs), scalars, alarms), outs)
+            found = loop.add(Step(fn, given, list(outs), scalars, alarms, fn.__name__), outs)
             return SimpleNamespace(**found) if isinstance(returns, Outputs) else found["out"]
-        return made(fold_frame(given, outs, circuit(scalars)), Node(fn.__name__, tuple(s.node for s in given.values())))
+        return made(fold_frame(given, outs, circuit(scalars), bool(alarms or fed_by or schedules(fn))), Node(fn.__name__, tuple(s.node for s in given.values())))
 
     def folding(start_us: int | None = None, end_us: int | None = None, **scalars) -> Circuit:
         """A fold of one key, for a stream's state."""

@@ -41,6 +41,9 @@ class Run:
     outputs: dict[str, list[Series]] = field(default_factory=dict)
     series: list[Series] = field(default_factory=list)
     on_stop: list = field(default_factory=list)
+    #: Of a live run: the graph that is being wired for the stream, and the adapters that feed it by input name.
+    live: object = None
+    adapters: dict = field(default_factory=dict)
 
 
 current: ContextVar[Run | None] = ContextVar("run", default=None)
@@ -66,12 +69,18 @@ def moment(when: datetime) -> Column:
     return F.timestamp_micros(F.lit(micros(utc(when) - datetime(1970, 1, 1, tzinfo=timezone.utc))))
 
 
+#: What a frame's maker knows of its cycles: all are number 0; a key has one at most at any time; nothing.
+ZERO, ONE, MANY = range(3)
+
+
 class Frame:
     """Cycles of some keys. Columns are only ever added, so every series on it stays valid."""
 
-    def __init__(self, df: DataFrame, keys: tuple[str, ...] = ()):
-        self.df, self.keys = df, tuple(keys)
+    def __init__(self, df: DataFrame, keys: tuple[str, ...] = (), cycles: int = MANY):
+        self.df, self.keys, self.cycles = df, tuple(keys), cycles
         self._known: dict[tuple, str] = {}
+        #: Cells of series that tick in every row: their latest tick is the row's own.
+        self.dense: set[str] = set()
 
     @property
     def order(self):
@@ -93,6 +102,8 @@ class Frame:
 
     def latest(self, cell: str) -> Column:
         """The last tick's cell, this cycle's included; null until the first."""
+        if cell in self.dense:
+            return F.col(cell)
         return F.col(self.add(F.last(cell, ignorenulls=True).over(self.so_far), ("latest", cell)))
 
     def before(self, cell: str) -> Column:
@@ -101,10 +112,10 @@ class Frame:
 
 
 class Series:
-    """A column of a frame."""
+    """A column of a frame. `out` numbers the outputs of a node that has several."""
 
-    def __init__(self, frame: Frame, cell: str, node: Node):
-        self.frame, self.cell, self.node = frame, cell, node
+    def __init__(self, frame: Frame, cell: str, node: Node, out: int | None = None):
+        self.frame, self.cell, self.node, self.out = frame, cell, node, out
         run = current.get()
         if run is not None:
             run.series.append(self)
@@ -131,9 +142,17 @@ class Series:
         """The latest value."""
         return self.frame.latest(self.cell).getField("v")
 
-    def derive(self, op: str, tick: Column, value: Column, *inputs: Series) -> Series:
-        """A series on this frame that ticks where `tick` holds."""
-        return Series(self.frame, self.frame.add(F.when(tick, F.struct(value.alias("v")))), Node(op, tuple(x.node for x in (inputs or (self,)))))
+    @property
+    def dense(self) -> bool:
+        return self.cell in self.frame.dense
+
+    def derive(self, op: str, tick: Column | None, value: Column, *inputs: Series, out: int | None = None, node: Node | None = None) -> Series:
+        """A series on this frame that ticks where `tick` holds; without one, in every row."""
+        cell = F.struct(value.alias("v"))
+        name = self.frame.add(cell if tick is None else F.when(tick, cell))
+        if tick is None:
+            self.frame.dense.add(name)
+        return Series(self.frame, name, node or Node(op, tuple(x.node for x in (inputs or (self,)))), out)
 
     def ticks(self) -> DataFrame:
         """Its ticks: keys, t, cyc and value, within the run's bounds if there is one."""
@@ -177,9 +196,18 @@ def series_of(df: DataFrame, value: Column | str, t: str = "t", keys: tuple[str,
     rows = df.select(*keys, F.col(t).cast("timestamp").alias("t"), (F.lit(0) if cyc is None else cyc).cast("int").alias("cyc"), F.struct(value.alias("v")).alias("cell"), *([F.col(seq).alias("seq")] if seq else []))
     rows = rows.filter(F.col("t").isNotNull())
     if seq:
-        rows = rows.groupBy(*keys, "t", "cyc").agg(F.max_by("cell", "seq").alias("cell"))
+        rows = last_of_cycle(rows, keys, ["cell"], "seq")
     name = f"s{next(_ids)}"
-    return Series(Frame(rows.select(*keys, "t", "cyc", F.col("cell").alias(name)), keys), name, Node(op))
+    frame = Frame(rows.select(*keys, "t", "cyc", F.col("cell").alias(name)), keys, ZERO if cyc is None else MANY)
+    frame.dense.add(name)
+    return Series(frame, name, Node(op))
+
+
+def last_of_cycle(rows: DataFrame, keys: tuple[str, ...], cells: list[str], order: Column | str) -> DataFrame:
+    """One row for each key and cycle, the last by `order`. Rows are dealt by key, as windows over the series need them: one shuffle for both."""
+    dealt = rows.repartition(*keys) if keys else rows
+    best = F.max_by(F.struct(*cells), order).alias("_last")
+    return dealt.groupBy(*keys, "t", "cyc").agg(best).select(*keys, "t", "cyc", *(F.col(f"_last.{c}").alias(c) for c in cells))
 
 
 def align(*series: Series) -> list[Series]:
@@ -201,5 +229,6 @@ def align(*series: Series) -> list[Series]:
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    frame = Frame(union.groupBy(*keys, "t", "cyc").agg(*(F.first(n, ignorenulls=True).alias(n) for n in cells.values())), keys)
-    return [Series(frame, cells[x.frame, x.cell], x.node) for x in series]
+    cycles = ZERO if all(f.cycles == ZERO for f in frames) else MANY
+    frame = Frame(union.groupBy(*keys, "t", "cyc").agg(*(F.first(n, ignorenulls=True).alias(n) for n in cells.values())), keys, cycles)
+    return [Series(frame, cells[x.frame, x.cell], x.node, x.out) for x in series]

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import Frame, Node, Series, align, micros
+from ..model import ONE, ZERO, Frame, Node, Series, align, micros
 
 
 def live(name: str, *edges, **scalars):
@@ -52,6 +52,11 @@ def _all(columns: list[Column]) -> Column:
     return out
 
 
+def _fires(series: list[Series], valid: list[Column]) -> Column | None:
+    """Any ticked and all are valid; None where that is so in every row."""
+    return None if all(s.dense for s in series) else _any([s.ticked for s in series]) & _all(valid)
+
+
 def _kind(x) -> T.DataType:
     return x.type if isinstance(x, Series) else {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType()}.get(type(x), T.StringType())
 
@@ -80,7 +85,7 @@ def binary(op: str, x, y) -> Series:
     else:
         a, b = as_double(a, x), as_double(b, y)
         value = ieee(op, a, b)
-    return series[0].derive(op, _any([s.ticked for s in series]) & _all(valid), value, *(s for s in (x, y) if isinstance(s, Series)))
+    return series[0].derive(op, _fires(series, valid), value, *(s for s in (x, y) if isinstance(s, Series)))
 
 
 def wrapping(op: str, a: Column, b: Column) -> Column:
@@ -148,7 +153,7 @@ def count(x: Series) -> Series:
     if (edge := live("count", x)) is not None:
         return edge
     n = F.count(x.cell).over(x.frame.so_far)
-    return x.derive("count", x.ticked, n)
+    return x.derive("count", None if x.dense else x.ticked, n)
 
 
 def firstN(x: Series, n: int) -> Series:  # noqa: N802
@@ -169,7 +174,9 @@ def delay(x: Series, delta: timedelta) -> Series:
     df = x.frame.df.filter(x.ticked).select(*x.frame.keys, F.timestamp_micros(F.unix_micros("t") + us).alias("t"), (F.col("cyc") + (0 if us else 1)).alias("cyc"), F.col(x.cell))
     if us:  # whatever cycles they were in, they are one cycle at the later time; the last wins
         df = df.groupBy(*x.frame.keys, "t").agg(F.max_by(x.cell, "cyc").alias(x.cell)).select(*x.frame.keys, "t", F.lit(0).alias("cyc"), x.cell)
-    return Series(Frame(df, x.frame.keys), x.cell, Node("delay", (x.node,)))
+    frame = Frame(df, x.frame.keys, ZERO if us else max(x.frame.cycles, ONE))
+    frame.dense.add(x.cell)
+    return Series(frame, x.cell, Node("delay", (x.node,)))
 
 
 class Split(NamedTuple):
@@ -183,14 +190,23 @@ def split(flag: Series, x: Series) -> Split:
         return edge
     f, s = align(flag, x)
     held = truthy(f.now, f.type)
-    return Split(s.derive("split.true", s.ticked & f.valid & held, s.value, flag, x), s.derive("split.false", s.ticked & f.valid & ~held, s.value, flag, x))
+    node = Node("split", (flag.node, x.node))
+    return Split(s.derive("", s.ticked & f.valid & held, s.value, out=0, node=node), s.derive("", s.ticked & f.valid & ~held, s.value, out=1, node=node))
+
 
+def apply(fn: Callable[..., Column], *xs: Series, total: bool = False, returns: str = "double") -> Series:
+    """fn of the latest values, as a column expression; fires when any ticks and all are valid. A null result is no tick;
+    `total` says that there is none. On a live graph fn gets plain values and its result is of the type `returns`."""
+    if any(hasattr(x, "loop") for x in xs):
+        from ..streaming.operators import applied
 
-def apply(fn: Callable[..., Column], *xs: Series) -> Series:
-    """fn of the latest values, as a column expression; fires when any ticks and all are valid. A null result is no tick."""
+        return applied(fn, xs, returns)
     series, values, valid = _with_literals(*xs)
+    fires = _fires(series, valid)
+    if total:
+        return series[0].derive("apply", fires, fn(*values), *xs)
     value = F.col(series[0].frame.add(fn(*values)))
-    return series[0].derive("apply", _any([s.ticked for s in series]) & _all(valid) & value.isNotNull(), value, *xs)
+    return series[0].derive("apply", value.isNotNull() if fires is None else fires & value.isNotNull(), value, *xs)
 
 
 def difference(x: Series, percent: bool = False) -> Series:
@@ -200,14 +216,27 @@ def difference(x: Series, percent: bool = False) -> Series:
     return x.derive("pct_change" if percent else "difference", x.ticked & last.isNotNull(), change / last.getField("v") if percent else change)
 
 
-def cumulative(x: Series, how: str = "sum") -> Series:
-    """Running sum, mean, min or max of x's ticks."""
+def cumulative(x: Series, how: str = "sum", split: timedelta | None = None) -> Series:
+    """Running sum, mean, min or max of x's ticks.
+
+    split: for a sum over few keys, or none. Its periods are summed in tasks of their own, so that no task holds a key's ticks.
+    """
+    if split is not None:
+        if how != "sum":
+            raise ValueError("only sums are split")
+        from ..plans.prefix import running_total
+
+        rows = x.frame.df.filter(x.ticked).select(*x.frame.keys, "t", "cyc", x.value.alias("_x"))
+        frame = Frame(running_total(rows, x.frame.keys, "_x", split, "_total"), x.frame.keys, x.frame.cycles)
+        name = frame.add(F.struct(F.col("_total").alias("v")))
+        frame.dense.add(name)
+        return Series(frame, name, Node("running_sum", (x.node,)))
     fn = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}[how]
-    return x.derive(f"running_{how}", x.ticked, fn(x.value).over(x.frame.so_far))
+    return x.derive(f"running_{how}", None if x.dense else x.ticked, fn(x.value).over(x.frame.so_far))
 
 
 def rekeyed(x: Series, keys: tuple[str, ...]) -> Series:
     """The same ticks with fewer or other key columns of the frame; several of a cycle become one, the last by the dropped keys."""
     dropped = [k for k in x.frame.keys if k not in keys]
     df = x.frame.df.filter(x.ticked).groupBy(*keys, "t", "cyc").agg(F.max_by(x.cell, F.struct(*dropped)).alias(x.cell)) if dropped else x.frame.df
-    return Series(Frame(df, keys), x.cell, x.node)
+    return Series(Frame(df, keys, x.frame.cycles), x.cell, x.node, x.out)

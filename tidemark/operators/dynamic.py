@@ -6,12 +6,12 @@ that is one graph for all keys at once, on a frame that has the key as a column,
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import timedelta
+from collections.abc import Callable, Iterable
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from ..model import Frame, Node, Series, micros, moment, running
+from ..model import Frame, Node, Series, last_of_cycle, micros, moment, running, utc
 
 
 class Spawned:
@@ -34,8 +34,24 @@ class Spawned:
         return Series(Frame(df, self.born.keys), "cell", Node("timer"))
 
 
+    def curve(self, kind: str, data: Iterable[tuple[timedelta | datetime, object]]) -> Series:
+        """Replays (offset from the spawn, or time, and value) pairs; what isn't after the spawn comes in the cycle after it. Of several at one time the last in the list stays."""
+        run = running()
+        points = F.array(*(F.struct(F.lit(micros(at) if isinstance(at, timedelta) else None).cast("long").alias("after"), F.lit(None if isinstance(at, timedelta) else micros(utc(at) - utc(datetime(1970, 1, 1)))).cast("long").alias("at"),
+                                    F.lit(i).alias("seq"), F.struct(F.lit(v).cast(kind).alias("v")).alias("cell")) for i, (at, v) in enumerate(data)))
+        born = F.unix_micros("t")
+        due = F.greatest(F.coalesce(F.col("p.at"), born + F.col("p.after")), born)
+        rows = self.born.df.select(*self.born.keys, "t", "cyc", F.explode(points).alias("p")).select(
+            *self.born.keys, F.timestamp_micros(due).alias("t"), F.when(due == born, F.col("cyc") + 1).otherwise(F.lit(0)).alias("cyc"), "p.seq", "p.cell").filter(F.col("t") <= moment(run.end))
+        frame = Frame(last_of_cycle(rows, self.born.keys, ["cell"], "seq"), self.born.keys)
+        frame.dense.add("cell")
+        return Series(frame, "cell", Node("curve"))
+
+
 def dynamic(control: Series, factory: Callable[[Spawned], Series | dict[str, Series]], key: str | None = "k", value: str | None = "v") -> dict[str, Series]:
     """`control` ticks with a bare key (value=None) or a struct of key and value; outputs are keyed by the column `key`."""
+    if hasattr(control, "loop"):
+        raise ValueError("a live graph isn't dynamic")
     cell = F.col(control.cell).getField("v")
     bare = value is None
     name = key or "k"

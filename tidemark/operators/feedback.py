@@ -12,7 +12,7 @@ each key, in the order they were wired; `bind` closes the loop, and its edges ar
 from __future__ import annotations
 
 from ..functions.node import Circuit, Step, fold_frame
-from ..model import Node, Series
+from ..model import Node, Series, current
 
 _FED = "fed"
 
@@ -59,6 +59,8 @@ class Loop:
     def __init__(self):
         self.steps: list[Step] = []
         self.outs: dict[tuple[int, str], str] = {}
+        #: Of a live graph, all of which is one loop: (step, output, input) of what is fed back.
+        self.back: list[tuple[int, str, str]] = []
         self._frame = None
 
     def add(self, step: Step, outs: dict[str, str]) -> dict[str, LoopEdge]:
@@ -79,7 +81,7 @@ class Loop:
             outside[name] = x
             return ("in", name)
 
-        return [Step(s.body, {k: origin(x) for k, x in s.inputs.items()}, s.outs, s.scalars, s.alarms) for s in self.steps]
+        return [Step(s.body, {k: origin(x) for k, x in s.inputs.items()}, s.outs, s.scalars, s.alarms, s.name) for s in self.steps]
 
     @property
     def columns(self) -> dict[str, str]:
@@ -90,23 +92,29 @@ class Loop:
         outside: dict[str, Series] = {}
         steps = self.wired(outside)
         names, back = list(outside), [(edge.step, edge.out, _FED)]
+        self._nodes: dict[int, Node] = {}
         self._frame = fold_frame(outside, self.columns, lambda start_us, end_us: Circuit(steps, names, back, start_us, end_us))
-        self._node = Node("feedback", tuple(s.node for s in outside.values()))
+        self._from = tuple(s.node for s in outside.values())
 
     def series(self, edge: LoopEdge) -> Series:
         if self._frame is None:
             raise ValueError("bind the feedback before its edges are used")
         if edge.step is None:
             raise ValueError("the feedback edge itself is only an input of its loop")
-        return Series(self._frame, f"o{edge.step}_{edge.out}", self._node)
+        step = self.steps[edge.step]
+        node = self._nodes.setdefault(edge.step, Node(step.name, self._from))
+        return Series(self._frame, f"o{edge.step}_{edge.out}", node, step.outs.index(edge.out) if len(step.outs) > 1 else None)
 
 
 class Feedback:
     def __init__(self, kind: str):
-        self.kind, self._loop, self._bound = kind, Loop(), False
+        run = current.get()
+        self.kind, self._bound, self._live = kind, False, run is not None and run.live is not None
+        self._loop = run.live if self._live else Loop()
+        self._name = f"{_FED}{len(self._loop.back)}" if self._live else _FED
 
     def out(self) -> LoopEdge:
-        return LoopEdge(self._loop, None, _FED)
+        return LoopEdge(self._loop, None, self._name)
 
     def bind(self, edge: LoopEdge) -> None:
         if self._bound:
@@ -114,7 +122,10 @@ class Feedback:
         if not isinstance(edge, LoopEdge) or edge.loop is not self._loop or edge.step is None:
             raise ValueError("a feedback is bound to an output of a node on its loop")
         self._bound = True
-        self._loop.close(edge)
+        if self._live:
+            self._loop.back.append((edge.step, edge.out, self._name))
+        else:
+            self._loop.close(edge)
 
 
 def feedback(kind: str = "double") -> Feedback:

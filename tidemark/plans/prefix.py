@@ -1,27 +1,31 @@
-"""Running totals over all rows, without a task that holds them all.
+"""Running totals of few keys, or none, without a task that holds a key's rows.
 
-Rows are dealt into ranges of the order column; each range's total is summed first and there are only as many as
-ranges. A row's running total is that within its range plus the totals of the ranges before.
+Time is cut into periods. Each period's total is summed first, and there are only as many rows as periods; a row's
+running total is that within its period plus the totals of the periods before.
 """
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import micros
+
 
-def running_total(df: DataFrame, order: str, value: str, ranges: int | None = None, name: str = "total") -> DataFrame:
-    """df with a running sum of `value` by `order` (a timestamp, distinct in each row)."""
-    n = ranges or 4 * df.sparkSession.sparkContext.defaultParallelism
-    bounds = df.agg(F.percentile_approx(F.unix_micros(order), [i / n for i in range(1, n)], 10_000)).first()[0]
-    if not bounds:
-        return df.withColumn(name, F.lit(None).cast("double"))
-    bounds = sorted(set(bounds))
-    # the number of bounds that a row isn't below
-    part = F.size(F.filter(F.lit(bounds), lambda b: b <= F.unix_micros(order)))
-    dealt = df.withColumn("_range", part)
-    totals = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    before = totals.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    # at most n rows
-    return dealt.withColumn("_within", within).join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + F.col("_within")).alias(name))
+def running_total(df: DataFrame, keys: tuple[str, ...], value: str, period: timedelta, name: str = "total") -> DataFrame:
+    """df (keys, t, cyc and others) with a running sum of `value` by t and cyc for each key; rows are in as many tasks as periods."""
+    own = [*keys, "_period"]
+    # both sides read all columns of one exchange, so that it and what lies before it run once
+    dealt = df.withColumn("_period", F.floor(F.unix_micros("t") / micros(period))).repartition(*own)
+    totals = dealt.groupBy(*own).agg(F.sum(value).alias("_sum"), F.max(F.struct(*df.columns)).alias("_all"))
+    earlier = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = F.sum("_sum").over(earlier.orderBy("_period").rowsBetween(Window.unboundedPreceding, -1))
+    known = totals.filter(F.col("_all").isNotNull()).select(*own, F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.sum(value).over(Window.partitionBy(*own).orderBy("t", "cyc").rowsBetween(Window.unboundedPreceding, 0))
+    same = F.lit(True)
+    for k in own:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    joined = dealt.withColumn("_within", within).alias("a").join(known.alias("b"), same)
+    return joined.select(*(F.col(f"a.{c}") for c in df.columns), (F.col("b._before") + F.col("a._within")).alias(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Series, running
@@ -10,12 +10,18 @@ from ..model import Series, running
 
 def add_graph_output(name: str, x: Series) -> None:
     """Names an output; a name used twice collects the ticks of both."""
-    running().outputs.setdefault(name, []).append(x.series if hasattr(x, "loop") else x)
+    run = running()
+    run.outputs.setdefault(name, []).append(x.series if hasattr(x, "loop") and run.live is None else x)
+
+
+def format_time(t: Column | str) -> Column:
+    """A time as seconds.nanoseconds."""
+    return F.format_string("%d.%06d000", F.unix_seconds(t), F.unix_micros(t) % 1_000_000)
 
 
 def print_node(name: str, x: Series) -> None:
     """Ticks as text lines when the run ends: seconds.nanoseconds, name, value. For small results."""
-    df = x.ticks().orderBy("t", "cyc").select(F.format_string("%d.%06d000 %s %s", F.unix_seconds("t"), F.unix_micros("t") % 1_000_000, F.lit(name), F.col("value").cast("string")))
+    df = x.ticks().orderBy("t", "cyc").select(F.concat_ws(" ", format_time("t"), F.lit(name), F.coalesce(F.col("value").cast("string"), F.lit("null"))))
 
     def show():
         for row in df.toLocalIterator():
@@ -66,12 +72,13 @@ def schedule_on_engine_stop(callback) -> None:
 
 
 def audit(series: list[Series]) -> DataFrame:
-    """Every tick of every producer: time, node, value, all as text."""
+    """Every tick of every producer: time, node (name#number, and [k] for output k of several), value, all as text."""
     out = None
     for s in series:
-        part = s.ticks().select(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time"), F.lit(f"{s.node.op}#{s.node.id}").alias("node"), F.col("value").cast("string").alias("value"))
+        label = f"{s.node.op}#{s.node.id}" + ("" if s.out is None else f"[{s.out}]")
+        part = s.ticks().select(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("time"), F.lit(label).alias("node"), F.col("value").cast("string").alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-__all__ = ["add_graph_output", "audit", "print_node", "schedule_on_engine_stop", "to_long", "to_wide", "wide_of", "write_csv", "write_parquet"]
+__all__ = ["add_graph_output", "audit", "format_time", "print_node", "schedule_on_engine_stop", "to_long", "to_wide", "wide_of", "write_csv", "write_parquet"]

@@ -8,12 +8,20 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Frame, Node, Series, micros, moment, running, series_of, utc
+from ..model import ONE, Frame, Node, Series, _ids, last_of_cycle, micros, moment, running, series_of, utc
+
+
+def _live():
+    from ..streaming import operators
+
+    return operators
 
 
 def const(value) -> Series:
     """One tick at the start."""
     run = running()
+    if run.live is not None:
+        return _live().const(value)
     df = run.spark.range(1).select(moment(run.start).alias("t"), F.lit(value).alias("v"))
     return series_of(df, "v", op="const")
 
@@ -23,24 +31,44 @@ def timer(interval: timedelta, value=True) -> Series:
     run, us = running(), micros(interval)
     if us <= 0:
         raise ValueError("a timer needs a positive interval")
+    if run.live is not None:
+        return _live().timer(interval, value)
     n = max(0, micros(utc(run.end) - utc(run.start)) // us)
     df = run.spark.range(1, n + 1).select(F.timestamp_micros(F.unix_micros(moment(run.start)) + F.col("id") * us).alias("t"), F.lit(value).alias("v"))
     return series_of(df, "v", op="timer")
 
 
-def clamped(df: DataFrame, t: str, value, keys: tuple[str, ...], seq: str | None, op: str) -> Series:
-    """Points in the past come now; those at the start or before are in the cycle after the constants; beyond the end none."""
+def placed(df: DataFrame, t: str, cells: dict, keys: tuple[str, ...], seq: str | None) -> Frame:
+    """Cells (name: value) as a frame. Points in the past come now; those at the start or before are in the cycle after the
+    constants; beyond the end none. Of a key's points in one cycle the last by `seq` stays; without one, that of the latest
+    own time and then the greatest values as text, so that every run takes the same.
+    """
     run = running()
+    if run.live is not None:
+        raise ValueError("the sources of a live run are push adapters, const, timer and curve")
     start, end = moment(run.start), moment(run.end)
     when = F.col(t).cast("timestamp")
-    df = df.select(*keys, F.greatest(when, start).alias("t"), (when <= start).alias("past"), value.alias("v"), *([F.col(seq).alias("seq")] if seq else [])).filter(F.col("t") <= end)
-    return series_of(df, "v", keys=keys, cyc=F.col("past").cast("int"), seq="seq" if seq else None, op=op)
+    order = [F.col(seq)] if seq else [F.unix_micros(when), *(F.to_json(F.struct(v.alias("v"))) for v in cells.values())]
+    rows = df.select(*keys, F.greatest(when, start).alias("t"), (when <= start).cast("int").alias("cyc"), *(F.struct(v.alias("v")).alias(n) for n, v in cells.items()), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("_order"), when.alias("_when"))
+    rows = rows.filter(F.col("_when").isNotNull() & (F.col("t") <= end))
+    frame = Frame(last_of_cycle(rows, keys, list(cells), "_order"), keys, ONE)
+    frame.dense |= set(cells)
+    return frame
+
+
+def clamped(df: DataFrame, t: str, value, keys: tuple[str, ...], seq: str | None, op: str) -> Series:
+    """One series of `placed` points."""
+    name = f"s{next(_ids)}"
+    return Series(placed(df, t, {name: value}, keys, seq), name, Node(op))
 
 
 def curve(kind: str, data: Iterable[tuple[timedelta | datetime, object]]) -> Series:
     """Replays (offset or time, value) pairs; of several at one time the last in the list stays."""
     run = running()
     start = utc(run.start)
+    if run.live is not None:
+        # past points come now
+        return _live().source(kind, [(max(timedelta(0), at if isinstance(at, timedelta) else utc(at) - start), v) for at, v in data])
     rows = [(utc(start + at if isinstance(at, timedelta) else at), i, v) for i, (at, v) in enumerate(data)]
     df = run.spark.createDataFrame(rows, f"t timestamp, seq long, v {kind}")
     return clamped(df, "t", F.col("v"), (), "seq", "curve")
@@ -51,24 +79,23 @@ def curve_from_frame(df: DataFrame, value_col: str, time_col: str, keys: tuple[s
     return clamped(df, time_col, F.col(value_col), tuple(keys), seq, "curve")
 
 
-def read_frame(df: DataFrame, time_col: str, value_cols: list[str] | None = None, keys: tuple[str, ...] = ()) -> dict[str, Series]:
-    """A series for each column, all on one frame. A null cell is a tick whose value is null."""
-    run = running()
-    names = value_cols or [c for c in df.columns if c != time_col and c not in keys]
-    when = F.col(time_col).cast("timestamp")
-    rows = df.select(*keys, F.greatest(when, moment(run.start)).alias("t"), (when <= moment(run.start)).cast("int").alias("cyc"), *(F.struct(F.col(c).alias("v")).alias(c) for c in names)).filter(F.col("t") <= moment(run.end))
-    frame = Frame(rows, tuple(keys))
-    return {c: Series(frame, c, Node(f"read.{c}")) for c in names}
+def read_frame(df: DataFrame, time_col: str, value_cols: list[str] | None = None, keys: tuple[str, ...] = (), seq: str | None = None) -> dict[str, Series]:
+    """A series for each column, all on one frame. A null cell is a tick whose value is null. Of a key's rows at one time the last
+    by `seq` ticks; a table has no order of its own, so without `seq` the choice is fixed but arbitrary, see `placed`."""
+    names = value_cols or [c for c in df.columns if c not in (time_col, seq) and c not in keys]
+    cells = {c: f"s{next(_ids)}" for c in names}
+    frame = placed(df, time_col, {cells[c]: F.col(c) for c in names}, tuple(keys), seq)
+    return {c: Series(frame, cells[c], Node(f"read.{c}")) for c in names}
 
 
-def read_parquet(path: str, time_col: str, value_cols: list[str] | None = None, keys: tuple[str, ...] = ()) -> dict[str, Series]:
-    return read_frame(running().spark.read.parquet(path), time_col, value_cols, keys)
+def read_parquet(path: str, time_col: str, value_cols: list[str] | None = None, keys: tuple[str, ...] = (), seq: str | None = None) -> dict[str, Series]:
+    return read_frame(running().spark.read.parquet(path), time_col, value_cols, keys, seq)
 
 
-def read_csv(path: str, time_col: str, value_cols: list[str] | None = None, keys: tuple[str, ...] = (), schema: str | None = None) -> dict[str, Series]:
+def read_csv(path: str, time_col: str, value_cols: list[str] | None = None, keys: tuple[str, ...] = (), schema: str | None = None, seq: str | None = None) -> dict[str, Series]:
     reader = running().spark.read.option("header", True)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-    return read_frame(df, time_col, value_cols, keys)
+    return read_frame(df, time_col, value_cols, keys, seq)
 
 
 class AdapterManager:
@@ -103,9 +130,9 @@ class ReplayAdapterManager(AdapterManager):
 
 
 class CsvAdapterManager(AdapterManager):
-    """From a CSV or Parquet file."""
+    """From a CSV or Parquet file; `seq_col` orders rows that share a key and a time."""
 
-    def __init__(self, path: str, time_col: str, key_col: str, value_col: str):
+    def __init__(self, path: str, time_col: str, key_col: str, value_col: str, seq_col: str | None = None):
         read = running().spark.read
         df = read.parquet(path) if path.rstrip("/").endswith(".parquet") else read.option("header", True).option("inferSchema", True).csv(path)
-        super().__init__(df, time_col, key_col, value_col)
+        super().__init__(df, time_col, key_col, value_col, seq_col)

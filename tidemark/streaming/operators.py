@@ -12,7 +12,7 @@ from collections import deque
 from datetime import timedelta
 from statistics import median as middle
 
-from ..functions.node import Outputs, alarm_value, alarmed, node, now, output, schedule_alarm, state, ticked, ts, valid
+from ..functions.node import Outputs, alarm_value, alarmed, node, now, output, schedule_alarm, starting, state, ticked, ts, valid
 
 
 @node(returns="long")
@@ -115,3 +115,49 @@ def rolling(x: ts[float], stat: str, interval: int | timedelta, min_data_points:
     elif len(s.held) > interval:
         s.held.popleft()
     return _STATS[stat]([v for _, v in s.held], ddof) if len(s.held) >= min_data_points else None
+
+
+def source(kind: str, points) -> object:
+    """A node without inputs that ticks at offsets from the run's start: points gives (offset, value) pairs, of which one at no offset ticks in the next cycle."""
+
+    def body():
+        s = state(first=True)
+        if s.first:
+            s.first = False
+            for at, value in points:
+                schedule_alarm("due", at, value)
+        return alarm_value("due")
+
+    return node(body, returns=kind, alarms=("due",))()
+
+
+def kind_of(value) -> str:
+    return {bool: "boolean", int: "long", float: "double"}.get(type(value), "string")
+
+
+def const(value):
+    def const():
+        return value if starting() else None
+
+    return node(const, returns=kind_of(value), alarms=("start",))()
+
+
+def timer(interval: timedelta, value=True):
+    def timer():
+        due = alarmed("due")
+        schedule_alarm("due", interval)
+        return value if due else None
+
+    return node(timer, returns=kind_of(value), alarms=("due",))()
+
+
+def applied(fn, xs: tuple, returns: str):
+    """A function of plain values of any number of edges."""
+    from ..functions.node import Step
+
+    def body(**inputs):
+        return fn(*(x.value for x in inputs.values())) if valid(*inputs.values()) else None
+
+    loop = next(x.loop for x in xs if hasattr(x, "loop"))
+    edges = {f"x{i}": x for i, x in enumerate(xs)}
+    return loop.add(Step(body, edges, ["out"], {}, (), "apply"), {"out": returns})["out"]

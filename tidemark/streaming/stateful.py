@@ -1,14 +1,16 @@
 """Nodes on structured streams.
 
-Micro-batches can bring a key's rows in any order, so rows wait in a key's state until the watermark has passed
-them; then they are folded in time order, and the node's memory is kept for what comes next. Rows later than the
-watermark are dropped. At the end of a bounded replay the watermark doesn't move any more: add a far row by
-`with_sentinel`, whose key is dropped from the output.
+Micro-batches can bring a key's rows in any order, so rows wait in a key's state, by the second they belong to,
+until the watermark has passed that second; then they are folded in time order, rows of one time as one cycle, and
+the node's memory is kept for what comes next. A timer reads only the seconds that are due. Rows later than the
+watermark are dropped. At the end of a bounded replay the watermark doesn't move any more: add a far row, whose key
+is dropped from the output.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -17,34 +19,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..shipping import shared_folder, ship
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Time of the row that ends a bounded replay.
 FAR = datetime(2200, 1, 1)
+#: Microseconds whose rows wait together.
+BUCKET = 1_000_000
 
 
 class FoldProcessor(StatefulProcessor):
     """Reorders a key's rows by time and feeds them to a node's fold."""
 
-    def __init__(self, folding, scalars: dict, keys: list[str], inputs: list[str], outs: list[str], row_schema: T.StructType):
-        self.folding, self.scalars, self.keys, self.inputs, self.outs, self.row_schema = folding, scalars, keys, inputs, outs, row_schema
+    def __init__(self, folding, scalars: dict, keys: list[str], inputs: list[str], outs: list[str]):
+        self.folding, self.scalars, self.keys, self.inputs, self.outs = folding, scalars, keys, inputs, outs
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        binary = T.StructType([T.StructField("data", T.BinaryType())])
         self.handle = handle
-        self.pending = handle.getListState("pending", T.StructType([T.StructField("us", T.LongType()), T.StructField("cells", T.BinaryType())]))
-        self.kept = handle.getValueState("kept", T.StructType([T.StructField("memory", T.BinaryType())]))
+        #: Rows by bucket; the buckets that wait, ascending; the fold's memory.
+        self.rows = handle.getMapState("rows", T.StructType([T.StructField("bucket", T.LongType())]), binary)
+        self.waiting = handle.getValueState("waiting", binary)
+        self.kept = handle.getValueState("kept", binary)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
         import pandas as pd
 
-        first = None
+        new: dict[int, list] = {}
         for pdf in rows:
-            for us, cells in zip(pdf["us"].tolist(), zip(*(pdf[c].tolist() for c in self.inputs))):
-                self.pending.appendValue((us, pickle.dumps([self._cell(x) for x in cells])))
-                first = us if first is None else min(first, us)
-        if first is not None:
-            self.handle.registerTimer(first // 1000 + 1)
+            for us, cells in zip(pdf["us"].tolist(), zip(*(pdf[c].tolist() for c in self.inputs)) if self.inputs else ((),) * len(pdf)):
+                new.setdefault(us // BUCKET, []).append((us, [self._cell(x) for x in cells]))
+        for bucket, found in new.items():
+            if self.rows.containsKey((bucket,)):
+                found = pickle.loads(self.rows.getValue((bucket,))[0]) + found
+            self.rows.updateValue((bucket,), (pickle.dumps(found),))
+        if new:
+            waiting = sorted({*self._waiting(), *new})
+            self.waiting.update((pickle.dumps(waiting),))
+            self._timer(waiting[0])
         yield pd.DataFrame({c: [] for c in (*self.keys, "us", "cyc", *self.outs)})
 
+    def _waiting(self) -> list[int]:
+        return pickle.loads(self.waiting.get()[0]) if self.waiting.exists() else []
+
+    def _timer(self, bucket: int) -> None:
+        """Fires once the watermark is past the bucket."""
+        self.handle.registerTimer((bucket + 1) * BUCKET // 1000)
+
     @staticmethod
     def _cell(x):
         """(value,) of a tick, else None."""
@@ -58,22 +79,25 @@ class FoldProcessor(StatefulProcessor):
         import pandas as pd
 
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.pending.get(), key=lambda r: r[0])
-        ready = [r for r in waiting if r[0] < mark]
+        waiting = self._waiting()
+        ready = [b for b in waiting if (b + 1) * BUCKET <= mark]
         rest = waiting[len(ready):]
         fold = self.folding(**self.scalars)
         if self.kept.exists():
             fold.memory = pickle.loads(self.kept.get()[0])
         found = []
-        for us, cells in ready:
-            found.extend(fold.feed(us, 0, pickle.loads(cells)))
-        found.extend(fold.due(mark))
+        for bucket in ready:
+            for us, cells in merged(pickle.loads(self.rows.getValue((bucket,))[0])):
+                found.extend(fold.feed(us, 0, cells))
+            self.rows.removeKey((bucket,))
+        # rows that wait may come before the watermark
+        found.extend(fold.due(min([mark, *(b * BUCKET for b in rest[:1])])))
         self.kept.update((pickle.dumps(fold.memory),))
-        if rest:
-            self.pending.put([(r[0], r[1]) for r in rest])
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        else:
-            self.pending.clear()
+        self.waiting.update((pickle.dumps(rest),))
+        # the next rows, or an alarm that comes before them
+        after = rest[:1] + ([fold.queue[0][0] // BUCKET] if fold.in_bounds() else [])
+        if after:
+            self._timer(min(after))
         out = {k: [v] * len(found) for k, v in zip(self.keys, key)} | {"us": [x[0] for x in found], "cyc": [x[1] for x in found]}
         for i, name in enumerate(self.outs):
             out[name] = [None if x[2][i] is None else x[2][i][0] for x in found]
@@ -83,12 +107,27 @@ class FoldProcessor(StatefulProcessor):
         pass
 
 
+def merged(rows: list[tuple]) -> Iterator[tuple[int, list]]:
+    """Rows (us, cells) in time order, those of one time as one; of two ticks of an input the later to arrive stays."""
+    at, now = None, []
+    for us, cells in sorted(rows, key=lambda r: r[0]):
+        if us != at:
+            if at is not None:
+                yield at, now
+            at, now = us, list(cells)
+        else:
+            now = [new if new is not None else old for old, new in zip(now, cells)]
+    if at is not None:
+        yield at, now
+
+
 def _stream(rows: DataFrame, keys: list[str], time: str, inputs: dict[str, Column], late_after: str, folding, scalars: dict, outputs: dict[str, str]) -> DataFrame:
+    ship(rows.sparkSession)
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     marked = rows.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late_after)
     fed = marked.select(*keys, "_t", F.unix_micros("_t").alias("us"), *(F.when(c.isNotNull(), F.struct(c.alias("v"))).alias(name) for name, c in inputs.items()))
     outs = T.StructType([*(fed.schema[k] for k in keys), T.StructField("us", T.LongType()), T.StructField("cyc", T.IntegerType()), *(T.StructField(k, T._parse_datatype_string(v)) for k, v in outputs.items())])
-    processor = FoldProcessor(folding, scalars, keys, list(inputs), list(outputs), fed.schema)
+    processor = FoldProcessor(folding, scalars, keys, list(inputs), list(outputs))
     done = fed.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=outs, outputMode="append", timeMode="eventtime")
     return done.select(*keys, F.timestamp_micros("us").alias("t"), "cyc", *outputs)
 
@@ -122,11 +161,8 @@ def replay(spark: SparkSession, folder: str, files: str, schema: T.StructType, p
     return spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs over what is there and returns the result table."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    q = writer.start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Runs over what is there and returns the result table, which executors write to the shared folder; nothing of it passes the driver."""
+    folder = folder or f"{shared_folder(stream.sparkSession)}/tidemark-{name}-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
