@@ -6,13 +6,14 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.node import node, state, ts
+from tidemark.functions.node import Outputs, node, output, state, ticked, ts
 from tidemark.operators import basic as op
+from tidemark.operators.feedback import feedback
 from tidemark.plans.profiler import Profiler
 from tidemark.plans.run import run
 from tidemark.plans.viz import graph_to_dot, graph_to_mermaid, show_graph, topology
 from tidemark.sinks.tables import add_graph_output, print_node, schedule_on_engine_stop, to_long, to_wide, write_csv, write_parquet
-from tidemark.sources.batch import curve, read_csv, read_parquet, timer
+from tidemark.sources.batch import const, curve, read_csv, read_frame, read_parquet, timer
 from tidemark.streaming.live import FolderBroker, GenericPushAdapter, KafkaAdapterManager, NativePushAdapter, audited
 from tidemark.streaming.stateful import run_available
 
@@ -107,7 +108,7 @@ def test_push_adapters(spark, tmp_path):
         a.push_tick(i)
     rows = run_available(a.out(spark), "pushed").orderBy("t").collect()
     assert [r.value for r in rows] == [0, 1, 2, 3, 4] and len({r.t for r in rows}) == 5
-    b = NativePushAdapter("double", f"{tmp_path}/b", capacity=2)
+    b = NativePushAdapter("double", f"{tmp_path}/b", capacity=2, every=None)
     assert [b.push_tick(1.0), b.push_tick(2.0), b.push_tick(3.0)] == [True, True, False] and b.flush() == 2
     with pytest.raises(ValueError):
         NativePushAdapter("string", f"{tmp_path}/c")
@@ -148,3 +149,160 @@ def test_fold_taken_up_again():
     again.memory = pickle.loads(pickle.dumps(first.memory))
     got += [x for r in rows[3:] for x in again.feed(*r)]
     assert got == [x for r in rows for x in whole.feed(*r)]
+
+
+def test_live_run(spark, tmp_path):
+    """Two adapters, pushed to from another thread, and a clock."""
+    import threading
+    import time
+
+    whole, native = GenericPushAdapter("long", f"{tmp_path}/whole"), NativePushAdapter("double", f"{tmp_path}/native")
+    assert not whole.wait_for_start(0.01)
+
+    def push():
+        assert whole.wait_for_start(60)
+        for i in range(6):
+            whole.push_tick(i)
+            native.push_tick(i / 4)
+            time.sleep(0.1)
+
+    def graph():
+        x, y = whole.out(), native.out()
+        assert x.out == whole.out().out
+        loop = feedback("long")
+        down = countdown(op.firstN(x, 1), loop.out())
+        add_graph_output("down", down)
+        loop.bind(down)
+        add_graph_output("count", op.count(x))
+        add_graph_output("sum", x + y)
+        add_graph_output("clock", op.count(timer(SEC)))
+        add_graph_output("fixed", op.merge(const(1.5), curve("double", [(0 * SEC, 2.5), (SEC, 3.5)])))
+        add_graph_output("applied", op.apply(lambda a: a * 10, x, returns="long"))
+        with pytest.raises(ValueError):
+            read_frame(spark.range(1), "id")
+
+    pushing = threading.Thread(target=push)
+    pushing.start()
+    found = run(graph, endtime=10 * SEC, realtime=True, spark=spark)
+    pushing.join()
+    got = {k: [r.value for r in df.orderBy("t", "cyc").collect()] for k, df in found.items()}
+    assert got["count"] == [1, 2, 3, 4, 5, 6] and got["applied"] == [0, 10, 20, 30, 40, 50] and got["fixed"] == [1.5, 2.5, 3.5]
+    assert got["clock"] == list(range(1, 11)) and got["sum"][-1] == 6.25 and got["down"] == [2, 1, 0]
+    with pytest.raises(RuntimeError):
+        whole.out()
+    with pytest.raises(ValueError):
+        run(graph, starttime=START, realtime=True, spark=spark)
+
+
+@node(returns="long")
+def countdown(x: ts[int], back: ts[int]):
+    n = back.value if ticked(back) else 3
+    return n - 1 if n else None
+
+
+def test_producers_and_consumers(spark, tmp_path):
+    broker = FolderBroker(f"{tmp_path}/broker")
+    early, late = broker.consumer("t"), None
+    p = broker.producer()
+    for m in ({"a": 1}, "plain text", b"[2]", '"quoted"'):
+        p.send("t", m)
+    late = broker.consumer("t", latest=True)
+    p.send("t", 7)
+    p.close()
+    assert early.poll() == [("t", x) for x in ({"a": 1}, "plain text", [2], "quoted", 7)] and early.poll() == []
+    assert late.poll() == [("t", 7)]
+    rows = run_available(KafkaAdapterManager(spark, broker).subscribe("t").select("value", F.col("decoded").cast("string").alias("text")), "decoded").collect()
+    assert sorted((r.value, r.text) for r in rows) == [('"quoted"', "quoted"), ("7", "7"), ("[2]", "[2]"), ("plain text", "plain text"), ('{"a": 1}', '{"a":1}')]
+
+
+def test_profile_of_nodes(spark):
+    with Profiler() as p:
+        run(simple, starttime=START, endtime=6 * SEC, spark=spark)
+    assert [p.info.node(n).rows for n in ("timer", "count", "apply", "filter")] == [6, 6, 6, 3]
+    assert all(n.seconds > 0 and n.average > 0 for n in p.info.nodes) and p.info.seconds >= p.info.node("count").seconds
+
+
+def test_audit_of_all_outputs(spark, tmp_path):
+    @node(returns=Outputs(low="long", high="long"))
+    def halves(n: ts[int]):
+        output(low=n.value // 2, high=n.value - n.value // 2)
+
+    def graph():
+        both = halves(op.count(timer(SEC)))
+        add_graph_output("sum", both.low + both.high)
+
+    run(graph, starttime=START, endtime=3 * SEC, spark=spark, persist=f"{tmp_path}/a.csv")
+    rows = spark.read.option("header", True).csv(f"{tmp_path}/a.csv").collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: r.time):
+        by.setdefault(r.node.partition("#")[0] + r.node.partition("[")[1] + r.node.partition("[")[2], []).append(r.value)
+    assert by["halves[0]"] == ["0", "1", "1"] and by["halves[1]"] == ["1", "1", "2"] and by["+"] == ["1", "2", "3"]
+
+
+def test_callbacks_come_after_the_outputs(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @node(returns="long")
+    def counted(n: ts[int]):
+        seen.add(1)
+        return n.value
+
+    at_stop = []
+
+    def graph():
+        add_graph_output("n", counted(op.count(timer(SEC))))
+        schedule_on_engine_stop(lambda: at_stop.append(seen.value))
+
+    assert run(graph, starttime=START, endtime=4 * SEC, spark=spark)["n"].count() == 4 and at_stop == [4]
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark.shipping import shared_folder
+
+    def session(master, set_=None, own=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: own, setCheckpointDir=lambda p: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: set_), sparkContext=context)
+
+    assert shared_folder(session("yarn", "hdfs:/x/")) == "hdfs:/x"
+    with pytest.raises(RuntimeError):
+        shared_folder(session("spark://host:7077"))
+
+
+def test_late_rows_wait_by_bucket():
+    """A timer takes the seconds that the watermark has passed, rows of one time as one, and leaves the others untouched."""
+    from types import SimpleNamespace
+
+    from tidemark.streaming import stateful
+
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        def exists(self): return self.v is not None
+        def get(self): return self.v
+        def update(self, v): self.v = v
+
+    class Map(dict):
+        reads = 0
+
+        def containsKey(self, k): return k in self
+        def updateValue(self, k, v): self[k] = v
+        def removeKey(self, k): del self[k]
+
+        def getValue(self, k):
+            self.reads += 1
+            return self[k]
+
+    import pandas as pd
+
+    timers = []
+    states = SimpleNamespace(rows=Map(), waiting=Value(), kept=Value(), handle=SimpleNamespace(registerTimer=timers.append))
+    own = stateful.Folded(states, total.folding, {}, ["k"], ["x"], ["out"])
+    us = [5_200_000, 1_500_000, 1_500_000, 9_000_000, 1_100_000]
+    own.take([pd.DataFrame({"us": us, "x": [{"v": float(i)} for i in range(5)]})])
+    assert timers == [2000] and sorted(k for (k,) in states.rows) == [1, 5, 9]
+    got = own.fold(("a",), 6_500_000)
+    assert got["out"].tolist() == [4.0, 6.0, 6.0] and got["us"].tolist() == [1_100_000, 1_500_000, 5_200_000]
+    assert states.rows.reads == 2 and list(states.rows) == [(9,)] and timers[-1] == 10_000

@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 from datetime import datetime
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,72 +29,91 @@ FAR = datetime(2200, 1, 1)
 BUCKET = 1_000_000
 
 
-class FoldProcessor(StatefulProcessor):
-    """Reorders a key's rows by time and feeds them to a node's fold."""
+def processor_of(folding, scalars: dict, keys: list[str], inputs: list[str], outs: list[str]) -> StatefulProcessor:
+    """Reorders a key's rows by time and feeds them to a node's fold.
 
-    def __init__(self, folding, scalars: dict, keys: list[str], inputs: list[str], outs: list[str]):
-        self.folding, self.scalars, self.keys, self.inputs, self.outs = folding, scalars, keys, inputs, outs
+    Spark also loads the processor in a process on the driver that has no shipped sources, to ask for its states: so the class
+    is sent whole, and what needs this package is unpacked only where rows are.
+    """
+    packed = cloudpickle.dumps((folding, scalars, keys, inputs, outs))
+
+    class Folding(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            binary = T.StructType([T.StructField("data", T.BinaryType())])
+            self.handle = handle
+            # rows by bucket; the buckets that wait, ascending; the fold's memory
+            self.rows = handle.getMapState("rows", T.StructType([T.StructField("bucket", T.LongType())]), binary)
+            self.waiting = handle.getValueState("waiting", binary)
+            self.kept = handle.getValueState("kept", binary)
+
+        def _own(self):
+            if not hasattr(self, "own"):
+                from tidemark.streaming.stateful import Folded
+
+                self.own = Folded(self, *pickle.loads(packed))
+            return self.own
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
+            yield self._own().take(rows)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N802, N803
+            yield self._own().fold(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+        def close(self) -> None:
+            pass
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        binary = T.StructType([T.StructField("data", T.BinaryType())])
-        self.handle = handle
-        #: Rows by bucket; the buckets that wait, ascending; the fold's memory.
-        self.rows = handle.getMapState("rows", T.StructType([T.StructField("bucket", T.LongType())]), binary)
-        self.waiting = handle.getValueState("waiting", binary)
-        self.kept = handle.getValueState("kept", binary)
+    return Folding()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
+
+class Folded:
+    """What a processor does with a key's rows and timers; the states are its own."""
+
+    def __init__(self, states, folding, scalars: dict, keys: list[str], inputs: list[str], outs: list[str]):
+        self.states, self.folding, self.scalars, self.keys, self.inputs, self.outs = states, folding, scalars, keys, inputs, outs
+
+    def take(self, rows):
         import pandas as pd
 
         new: dict[int, list] = {}
         for pdf in rows:
             for us, cells in zip(pdf["us"].tolist(), zip(*(pdf[c].tolist() for c in self.inputs)) if self.inputs else ((),) * len(pdf)):
-                new.setdefault(us // BUCKET, []).append((us, [self._cell(x) for x in cells]))
+                new.setdefault(us // BUCKET, []).append((us, [_cell(x) for x in cells]))
+        held = self.states.rows
         for bucket, found in new.items():
-            if self.rows.containsKey((bucket,)):
-                found = pickle.loads(self.rows.getValue((bucket,))[0]) + found
-            self.rows.updateValue((bucket,), (pickle.dumps(found),))
+            if held.containsKey((bucket,)):
+                found = pickle.loads(held.getValue((bucket,))[0]) + found
+            held.updateValue((bucket,), (pickle.dumps(found),))
         if new:
             waiting = sorted({*self._waiting(), *new})
-            self.waiting.update((pickle.dumps(waiting),))
+            self.states.waiting.update((pickle.dumps(waiting),))
             self._timer(waiting[0])
-        yield pd.DataFrame({c: [] for c in (*self.keys, "us", "cyc", *self.outs)})
+        return pd.DataFrame({c: pd.Series([], dtype=object) for c in (*self.keys, "us", "cyc", *self.outs)})
 
     def _waiting(self) -> list[int]:
-        return pickle.loads(self.waiting.get()[0]) if self.waiting.exists() else []
+        return pickle.loads(self.states.waiting.get()[0]) if self.states.waiting.exists() else []
 
     def _timer(self, bucket: int) -> None:
         """Fires once the watermark is past the bucket."""
-        self.handle.registerTimer((bucket + 1) * BUCKET // 1000)
-
-    @staticmethod
-    def _cell(x):
-        """(value,) of a tick, else None."""
-        if x is None or x is getattr(__import__("pandas"), "NA") or isinstance(x, float) and x != x:
-            return None
-        if isinstance(x, dict):
-            return (x["v"],)
-        return (x["v"] if hasattr(x, "keys") else x[0],)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N802, N803
+        self.states.handle.registerTimer((bucket + 1) * BUCKET // 1000)
+
+    def fold(self, key, mark: int):
         import pandas as pd
 
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = self._waiting()
+        waiting, kept = self._waiting(), self.states.kept
         ready = [b for b in waiting if (b + 1) * BUCKET <= mark]
         rest = waiting[len(ready):]
         fold = self.folding(**self.scalars)
-        if self.kept.exists():
-            fold.memory = pickle.loads(self.kept.get()[0])
+        if kept.exists():
+            fold.memory = pickle.loads(kept.get()[0])
         found = []
         for bucket in ready:
-            for us, cells in merged(pickle.loads(self.rows.getValue((bucket,))[0])):
+            for us, cells in merged(pickle.loads(self.states.rows.getValue((bucket,))[0])):
                 found.extend(fold.feed(us, 0, cells))
-            self.rows.removeKey((bucket,))
+            self.states.rows.removeKey((bucket,))
         # rows that wait may come before the watermark
         found.extend(fold.due(min([mark, *(b * BUCKET for b in rest[:1])])))
-        self.kept.update((pickle.dumps(fold.memory),))
-        self.waiting.update((pickle.dumps(rest),))
+        kept.update((pickle.dumps(fold.memory),))
+        self.states.waiting.update((pickle.dumps(rest),))
         # the next rows, or an alarm that comes before them
         after = rest[:1] + ([fold.queue[0][0] // BUCKET] if fold.in_bounds() else [])
         if after:
@@ -101,10 +121,19 @@ class FoldProcessor(StatefulProcessor):
         out = {k: [v] * len(found) for k, v in zip(self.keys, key)} | {"us": [x[0] for x in found], "cyc": [x[1] for x in found]}
         for i, name in enumerate(self.outs):
             out[name] = [None if x[2][i] is None else x[2][i][0] for x in found]
-        yield pd.DataFrame(out)
+        # objects, as pandas' own text columns don't become one Arrow array
+        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in out.items()})
+
+
+def _cell(x):
+    """(value,) of a tick, else None."""
+    import pandas as pd
 
-    def close(self) -> None:
-        pass
+    if x is None or x is pd.NA or isinstance(x, float) and x != x:
+        return None
+    if isinstance(x, dict):
+        return (x["v"],)
+    return (x["v"] if hasattr(x, "keys") else x[0],)
 
 
 def merged(rows: list[tuple]) -> Iterator[tuple[int, list]]:
@@ -127,7 +156,7 @@ def _stream(rows: DataFrame, keys: list[str], time: str, inputs: dict[str, Colum
     marked = rows.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late_after)
     fed = marked.select(*keys, "_t", F.unix_micros("_t").alias("us"), *(F.when(c.isNotNull(), F.struct(c.alias("v"))).alias(name) for name, c in inputs.items()))
     outs = T.StructType([*(fed.schema[k] for k in keys), T.StructField("us", T.LongType()), T.StructField("cyc", T.IntegerType()), *(T.StructField(k, T._parse_datatype_string(v)) for k, v in outputs.items())])
-    processor = FoldProcessor(folding, scalars, keys, list(inputs), list(outputs))
+    processor = processor_of(folding, scalars, keys, list(inputs), list(outputs))
     done = fed.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=outs, outputMode="append", timeMode="eventtime")
     return done.select(*keys, F.timestamp_micros("us").alias("t"), "cyc", *outputs)
 
