@@ -98,12 +98,50 @@ def test_thresholds_add_up():
     groups = simhash.group_bits(np.abs(rng.normal(size=(64, 64))), 5)
     assert sorted(b for g in groups for b in g) == list(range(64))
     # the first partition's values are crowded: it is skipped, and another has a wider threshold
-    near = [simhash.near_counts(rng.integers(0, 50, 1 << len(g)) * (1 if i else 10_000), len(g), 2) for i, g in enumerate(groups)]
+    near = [[simhash.coded(x) for x in simhash.near_counts(rng.integers(0, 50, 1 << len(g)) * (1 if i else 10_000), len(g), 2)] for i, g in enumerate(groups)]
     fp = rng.integers(0, 2**63, 200).astype(np.uint64)
     t = simhash.Plan(groups, near, 4).thresholds(simhash.part_values(fp, groups))
     assert (t.sum(axis=1) == 4 - 5 + 1).all() and (t[:, 0] == -1).any() and len(set(map(tuple, t))) > 1
 
 
+def test_counts_in_a_byte():
+    counts = np.concatenate([np.arange(5000), 10 ** np.arange(18)])
+    found = simhash.MOST[simhash.coded(counts)]
+    assert (found[:3] == [0, 1, 2]).all() and (found >= counts).all() and (found <= np.maximum(2, counts * simhash.GROWTH)).all()
+    assert all(simhash.plan_bytes(m) <= simhash.PLAN_BYTES for m in (3, 4, 5)) and simhash.number_of_partitions(10**10) == 3
+
+
+def test_counts_of_a_plan(spark):
+    """What the executors count and send is no less than what is there, and exact up to 2."""
+    rng = random.Random(11)
+    fps = [rng.getrandbits(64) for _ in range(300)] + [rng.getrandbits(64) & 0xFF for _ in range(200)]
+    fps = list({x - 2**64 if x >= 2**63 else x for x in fps})
+    plan = simhash.plan_for(spark.createDataFrame([(f,) for f in fps], "_tm_fp long"), len(fps), 4, 5)
+    values = simhash.part_values(np.array(fps, np.int64).view(np.uint64), plan.groups)
+    for i, v in enumerate(values):
+        count = Counter(v.tolist())
+        want = np.array([count[x] for x in range(1 << len(plan.groups[i]))])
+        for radius, near in enumerate(simhash.near_counts(want, len(plan.groups[i]), 2)):
+            got = plan.count(i, radius, np.arange(len(near)))
+            assert (got >= near).all() and ((got == near) | (near > 1)).all() and (got <= near * simhash.GROWTH**2 + 1).all()
+
+
+def test_a_heavy_group_is_not_gathered(spark):
+    """With most rows in one group, no task of the join reads more than its share."""
+    from tidemark.llm import graph
+
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id") % 5000).alias("k"), F.col("id").alias("x"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = graph.with_group(rows, "k", 60_000, least=F.min("x"), n=F.count("x"))
+        sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    got = {r.k: (r.least, r.n) for r in out.select("k", "least", "n").distinct().collect()}
+    assert out.count() == 60_000 and got[7][1] > 40_000 and got[7][0] == 1 and len(got) == rows.select("k").distinct().count()
+    assert max(sizes) < 20_000
+
+
 def test_near_counts():
     hist = np.random.default_rng(1).integers(0, 9, 1 << 6)
     for r, got in enumerate(simhash.near_counts(hist, 6, 2)):
@@ -115,9 +153,10 @@ def test_components_of_paths_and_stars(spark):
     for a, b in ((0, 200), (1000, 1500)):
         edges += [(i + 1, i) for i in range(a, b)]
     edges += [(5000 + i, 3000) for i in range(300)]
+    edges += [(100_000 + i, 50_000) for i in range(25_000)]  # a hub beyond what is joined by key
     rng.shuffle(edges)
     got = {r.u: r.v for r in components(spark.createDataFrame(edges + edges[:9], "u long, v long")).collect()}
-    assert all(got[i] == 0 for i in range(1, 201)) and all(got[i] == 1000 for i in range(1001, 1501)) and all(got[5000 + i] == 3000 for i in range(300))
+    assert all(got[i] == 0 for i in range(1, 201)) and all(got[i] == 1000 for i in range(1001, 1501)) and all(got[5000 + i] == 3000 for i in range(300)) and all(got[100_000 + i] == 50_000 for i in range(25_000))
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 

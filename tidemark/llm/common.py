@@ -26,15 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of its own only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the driver and all executors share, from `spark.checkpoint.dir`; only where all is one machine, and none is set, one of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -68,6 +68,15 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, df._tm_path)
 
 
+#: Rows of keys that may be broadcast, at some 60 bytes each.
+BROADCAST_ROWS = 500_000
+
+
+def checked(small: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has so few rows; else Spark shuffles both sides."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also where body's lambdas use it for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,31 +1,47 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every round is a written table, so lineage stays short; a node's neighbours are never gathered, only
-their minimum, which is summed before the shuffle, and joined back.
+Every round is a written table, so lineage stays short; a node's neighbours are never gathered, only their minimum,
+which is summed before the shuffle, and given back to them. A hub may have a third of all edges: `with_group` gives
+large groups their value by a broadcast of `MOST_HEAVY` rows at most, so that only small groups are shuffled by key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import P, discard, written
+
+#: A group is heavy from so many rows on, and from a share of all rows by which there are at most `MOST_HEAVY` such groups.
+LEAST_HEAVY, MOST_HEAVY = 10_000, 10_000
+
+
+def with_group(rows: DataFrame, key: str, total: int, **values: Column) -> DataFrame:
+    """Rows with aggregates of their group, as columns of these names; total: how many rows there are, or more. A null key's rows are dropped."""
+    n, limit = f"{P}group_rows", max(LEAST_HEAVY, -(-total // MOST_HEAVY))
+    found = rows.groupBy(key).agg(F.count(F.lit(1)).alias(n), *(v.alias(k) for k, v in values.items()))
+    heavy = found.filter(F.col(n) > limit).drop(n)
+    if total <= limit:
+        return rows.join(found.drop(n), key)
+    marked = rows.join(F.broadcast(heavy.select(F.col(key).alias(f"{P}heavy"), *(F.col(k).alias(f"{P}heavy_{k}") for k in values))), F.col(key) == F.col(f"{P}heavy"), "left")
+    large = marked.filter(F.col(f"{P}heavy").isNotNull()).select(*rows.columns, *(F.col(f"{P}heavy_{k}").alias(k) for k in values))
+    small = marked.filter(F.col(f"{P}heavy").isNull()).select(*rows.columns).join(found.filter(F.col(n) <= limit).drop(n), key)
+    return large.unionByName(small)
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return with_group(both, "u", 2 * n, m=F.least("u", F.min("v"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = with_group(down, "u", n, m=F.min("v"))
+    return moved.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v"))))).filter("u != v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,8 +49,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("u", "v").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        last, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        last, half = edges, written(_large_star(edges, state[0]), "edges")
+        edges = written(_small_star(half, 2 * state[0]), "edges")
         discard(last)
+        discard(half)
         was, state = state, _state(edges)
         if was == state:
             break

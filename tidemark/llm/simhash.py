@@ -9,8 +9,8 @@ on all bits.
 
 Equal fingerprints are one node. A bucket returns a spanning forest of its links, not its pairs. Buckets
 above `BLOCK` rows are split into blocks of index rows and probes that meet pairwise, so a task holds one
-block of index rows at most. Histograms have 2^width numbers for each partition, whatever the input; m comes
-from the number of fingerprints by a cost model.
+block of index rows at most. m comes from the number of fingerprints by a cost model, within `PLAN_BYTES` for the
+histograms, whatever the input: counts are kept in a byte each, rounded up, which is all that costs and blocks need.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero, and links like any other;
 repeated rows get equal components; null doc_ids count as no id (a component of only such has none); an
@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, written
-from .graph import components
+from .common import P, checked, written
+from .graph import components, with_group
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Rows of a bucket's block; bounds a task's memory.
@@ -42,6 +42,14 @@ ROW_COST, CANDIDATE_COST = 100.0, 1.0
 #: Fingerprints whose bits are correlated, at most about.
 SAMPLE = 200_000
 _MAX_T = 2
+#: Bytes of a plan's counts, which every worker has: one for each value of a partition and threshold.
+PLAN_BYTES = 48 << 20
+#: A count's byte: 0, 1 and 2 as they are, then the least k with 2 * GROWTH^(k - 2) or more.
+GROWTH = 1.19
+#: The most that each byte stands for.
+MOST = np.concatenate([[0, 1], np.minimum(2 * GROWTH ** np.arange(254), 2.0**62)]).astype(np.int64)
+#: Values of a partition whose counts come to the driver as one row.
+RUN = 1 << 12
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -97,7 +105,11 @@ def number_of_partitions(n: int, distance: int = DISTANCE) -> int:
                 total += ball(round(width), t) * (ROW_COST + CANDIDATE_COST * n / 2**width)
         return total
 
-    return min((m for m in range(3, distance + 2)), key=cost)
+    return min((m for m in range(3, distance + 2) if plan_bytes(m) <= PLAN_BYTES), key=cost)
+
+
+def plan_bytes(m: int) -> int:
+    return sum((_MAX_T + 1) << (64 // m + (i < 64 % m)) for i in range(m))
 
 
 def correlation(fps: DataFrame, n: int) -> np.ndarray:
@@ -153,12 +165,23 @@ def near_counts(hist: np.ndarray, width: int, radius: int) -> list[np.ndarray]:
     return list(np.cumsum(exact, axis=0))
 
 
+def coded(counts: np.ndarray) -> np.ndarray:
+    """Each count's byte."""
+    return np.searchsorted(MOST, counts).astype(np.uint8)
+
+
 @dataclass
 class Plan:
+    """near: for each partition and threshold, the byte of the count of fingerprints with a value within it of each value."""
+
     groups: list[list[int]]
     near: list[list[np.ndarray]]
     distance: int
 
+    def count(self, part: int, radius: int, values: np.ndarray) -> np.ndarray:
+        """At least so many fingerprints as are there; 0 and 1 are exact."""
+        return MOST[self.near[part][radius][values]]
+
     def thresholds(self, values: list[np.ndarray]) -> np.ndarray:
         """For each fingerprint and partition, the threshold of least total cost; a dynamic program over the partitions."""
         m, n = len(self.groups), len(values[0])
@@ -170,7 +193,7 @@ class Plan:
         for i, (g, v) in enumerate(zip(self.groups, values)):
             now = np.full((states, n), np.inf)
             for t in range(-1, _MAX_T + 1):
-                cost = 0.0 if t < 0 else ROW_COST * ball(len(g), t) + CANDIDATE_COST * self.near[i][t][v]
+                cost = 0.0 if t < 0 else ROW_COST * ball(len(g), t) + CANDIDATE_COST * self.count(i, t, v)
                 for s in range(t + 1, states):
                     new = best[s - t - 1] + cost
                     better = new < now[s]
@@ -189,14 +212,17 @@ def plan_for(fps: DataFrame, n: int, distance: int = DISTANCE, m: int | None = N
     groups = group_bits(correlation(fps, n), m)
     value = lambda g: sum((F.shiftleft(F.shiftrightunsigned(f"{P}fp", b).bitwiseAND(F.lit(1)), k) for k, b in enumerate(g)), F.lit(0)).cast("int")
     rows = fps.select(F.explode(F.array(*(F.struct(F.lit(i).alias("part"), value(g).alias("value")) for i, g in enumerate(groups)))).alias("x")).groupBy("x.part", "x.value").count()
-    # at most 2^width rows for each partition
-    found = rows.toArrow()
-    part, val, num = (found.column(k).to_numpy() for k in range(3))
+    # a value and its count's byte as one number, runs of values as one row: four bytes for each of at most 2^width values of each partition
+    byte = F.when(F.col("count") <= 2, F.col("count")).otherwise(2 + F.ceil(F.log(F.col("count") / 2) / F.lit(float(np.log(GROWTH))) - 1e-9)).cast("int")
+    runs = rows.groupBy("part", F.floor(F.col("value") / RUN).cast("int").alias("run")).agg(F.collect_list((F.col("value") * 256 + byte)).alias("coded"))
+    hists = [np.zeros(1 << len(g), np.uint8) for g in groups]
+    for batch in runs.select("part", F.col("coded").cast("array<long>")).toArrow().to_batches():
+        for part, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            x = x.values.to_numpy()
+            hists[part][x >> 8] = x & 255
     near = []
-    for i, g in enumerate(groups):
-        hist = np.zeros(1 << len(g), np.int64)
-        hist[val[part == i]] = num[part == i]
-        near.append([x.astype(np.int32) for x in near_counts(hist, len(g), _MAX_T)])
+    for h in hists:
+        near.append([coded(x) for x in near_counts(MOST[h], len(h).bit_length() - 1, _MAX_T)])
     return Plan(groups, near, distance)
 
 
@@ -216,25 +242,36 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def links_within(index: np.ndarray, probes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links between index rows and probes; cells in strips, so memory is bounded."""
+def links_within(index: np.ndarray, probes: np.ndarray, distance: int, forest: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between index rows and probes, or (forest False) of each probe's links the nearest and the least;
+    cells in strips, so memory is bounded."""
     us, vs = [], []
     step = max(1, CELLS // max(1, len(index)))
     for k in range(0, len(probes), step):
         q = probes[k:k + step]
         d = np.bitwise_count(q[:, None] ^ index[None, :])
-        i, j = np.nonzero((d <= distance) & (d > 0))
+        linked = (d <= distance) & (d > 0)
+        if not forest:
+            who = np.flatnonzero(linked.any(axis=1))
+            near = np.where(linked[who], d[who], 99).argmin(axis=1)
+            least = np.where(linked[who], index[None, :], np.uint64(2**64 - 1)).argmin(axis=1)
+            us.append(np.concatenate([q[who], q[who]]))
+            vs.append(np.concatenate([index[near], index[least]]))
+            continue
+        i, j = np.nonzero(linked)
         if len(i):
             u, v = (q[i], index[j]) if len(i) <= 2 * (len(q) + len(index)) else local_forest(q[i], index[j])
             us.append(u)
             vs.append(v)
     if not us:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return local_forest(np.concatenate(us), np.concatenate(vs))
+    return local_forest(np.concatenate(us), np.concatenate(vs)) if forest else (np.concatenate(us), np.concatenate(vs))
+
 
+def links(fps: DataFrame, plan: Plan, forest: bool = True) -> DataFrame:
+    """Edges u, v whose components are those of all links within the distance; fps has distinct fingerprints.
 
-def links(fps: DataFrame, plan: Plan) -> DataFrame:
-    """Edges u, v whose components are those of all links within the distance; fps has distinct fingerprints."""
+    forest False: edges that are links themselves, of each bucket's for a fingerprint the nearest and the least."""
     spark = fps.sparkSession
     shared = spark.sparkContext.broadcast(plan)
     names = [f"{P}part", f"{P}value", f"{P}block", f"{P}kind", f"{P}fp"]
@@ -249,16 +286,14 @@ def links(fps: DataFrame, plan: Plan) -> DataFrame:
             t = plan.thresholds(values)
             mixed = ((fp ^ (fp >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)
             for i, v in enumerate(values):
-                near, width = plan.near[i], len(plan.groups[i])
-                # a bucket's index rows are in `rows` blocks, its probes in `cols`
-                rows, cols = 1 + near[0] // BLOCK, 1 + near[_MAX_T] // (BLOCK * 64)
+                width = len(plan.groups[i])
 
                 def out(value, block, kind, who):
                     return pa.record_batch([pa.array(np.full(len(who), i, np.int32)), pa.array(value.astype(np.int32)), pa.array(block.astype(np.int64)), pa.array(np.full(len(who), kind, np.int32)), pa.array(who.view(np.int64))], names=names)
 
                 def dealt(value, who, mix, kind):
-                    # index rows go to their row of blocks, probes to their column
-                    a, b = rows[value], cols[value]
+                    # a bucket's index rows are in `a` blocks, its probes in `b`; index rows go to their row of blocks, probes to their column
+                    a, b = 1 + plan.count(i, 0, value) // BLOCK, 1 + plan.count(i, _MAX_T, value) // (BLOCK * 64)
                     copies = b if kind == 0 else a
                     at = np.repeat(np.arange(len(who)), copies)
                     k = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
@@ -267,19 +302,19 @@ def links(fps: DataFrame, plan: Plan) -> DataFrame:
                     return out(value[at], block, kind, who[at])
 
                 # nobody else is near: nobody probes it
-                seen = near[_MAX_T][v] > 1
+                seen = plan.count(i, _MAX_T, v) > 1
                 yield dealt(v[seen], fp[seen], mixed[seen], 0)
                 for radius in range(_MAX_T + 1):
                     who = np.flatnonzero((t[:, i] >= radius) & seen)
                     if not len(who):
                         break
                     if radius == 0:
-                        alone = near[0][v[who]] > 1
+                        alone = plan.count(i, 0, v[who]) > 1
                         yield dealt(v[who][alone], fp[who][alone], mixed[who][alone], 1)
                         continue
                     for mask in masks[i][ball(width, radius - 1) - 1:ball(width, radius) - 1]:
                         other = v[who] ^ mask
-                        there = near[0][other] > 0
+                        there = plan.near[i][0][other] > 0
                         if there.any():
                             yield dealt(other[there], fp[who][there], mixed[who][there], 1)
 
@@ -304,12 +339,14 @@ def links(fps: DataFrame, plan: Plan) -> DataFrame:
                 elif parts:
                     if ready is None:
                         ready = np.concatenate(parts)
-                    u, v = links_within(ready, fp[a:b], plan_distance)
+                    u, v = links_within(ready, fp[a:b], plan_distance, forest)
                     if len(u):
                         us.append(u)
                         vs.append(v)
             if us:
-                u, v = local_forest(np.concatenate(us), np.concatenate(vs))
+                u, v = np.concatenate(us), np.concatenate(vs)
+                if forest:
+                    u, v = local_forest(u, v)
                 yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     plan_distance = plan.distance
@@ -332,8 +369,7 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
     if n > 1:
         found = components(links(fps, plan_for(fps, n, distance)))
         nodes = fps.join(found.select(F.col("u").alias(fp), F.col("v").alias(root)), fp, "left").withColumn(root, F.coalesce(root, fp))
-        least = nodes.groupBy(root).agg(F.min(one).alias("component_id"))
-        fps = nodes.join(least, root).select(fp, "component_id", root)
+        fps = with_group(nodes, root, n, component_id=F.min(one)).select(fp, "component_id", root)
     else:
         fps = fps.select(fp, F.col(one).alias("component_id"), F.col(fp).alias(root))
     return docs_fp.join(fps, fp).select("doc_id", hex_of(fp).alias("fingerprint"), "component_id", hex_of(root).alias("cluster"))
@@ -349,7 +385,7 @@ def one_of_each(docs: DataFrame, found: DataFrame, name_of: Callable[[str], str]
     of_id, rows, least = f"{P}id", f"{P}rows", f"{P}least"
     counted = found.groupBy(F.col("doc_id").alias(of_id)).agg(F.count(F.lit(1)).alias(rows), F.min("component_id").alias(least))
     plain = F.col(of_id).isNotNull() & (F.col(rows) == 1)
-    gone = counted.filter(~plain | (F.col(of_id) != F.col(least))).select(of_id)
+    gone = checked(written(counted.filter(~plain | (F.col(of_id) != F.col(least))).select(of_id), "gone"))
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(of_id)), "left_anti")
     # a doc_id on several rows, or null, doesn't name a row: of those in a component that it would stand for, the row of the least text stays
     shared = counted.filter(~plain).select(of_id)
