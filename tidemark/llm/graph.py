@@ -18,14 +18,21 @@ LEAST_HEAVY, MOST_HEAVY = 10_000, 10_000
 
 def with_group(rows: DataFrame, key: str, total: int, **values: Column) -> DataFrame:
     """Rows with aggregates of their group, as columns of these names; total: how many rows there are, or more. A null key's rows are dropped."""
-    n, limit = f"{P}group_rows", max(LEAST_HEAVY, -(-total // MOST_HEAVY))
+    n = f"{P}group_rows"
     found = rows.groupBy(key).agg(F.count(F.lit(1)).alias(n), *(v.alias(k) for k, v in values.items()))
-    heavy = found.filter(F.col(n) > limit).drop(n)
+    return joined(rows, found, key, n, total).drop(n)
+
+
+def joined(rows: DataFrame, known: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Rows with the columns of `known`, one row for each key, whose column n says how many of the `total` rows have the key."""
+    limit = max(LEAST_HEAVY, -(-total // MOST_HEAVY))
     if total <= limit:
-        return rows.join(found.drop(n), key)
-    marked = rows.join(F.broadcast(heavy.select(F.col(key).alias(f"{P}heavy"), *(F.col(k).alias(f"{P}heavy_{k}") for k in values))), F.col(key) == F.col(f"{P}heavy"), "left")
-    large = marked.filter(F.col(f"{P}heavy").isNotNull()).select(*rows.columns, *(F.col(f"{P}heavy_{k}").alias(k) for k in values))
-    small = marked.filter(F.col(f"{P}heavy").isNull()).select(*rows.columns).join(found.filter(F.col(n) <= limit).drop(n), key)
+        return rows.join(known, key)
+    rest = [c for c in known.columns if c != key]
+    heavy = known.filter(F.col(n) > limit).select(F.col(key).alias(f"{P}heavy"), *(F.col(c).alias(f"{P}heavy_{c}") for c in rest))
+    marked = rows.join(F.broadcast(heavy), F.col(key) == F.col(f"{P}heavy"), "left")
+    large = marked.filter(F.col(f"{P}heavy").isNotNull()).select(*rows.columns, *(F.col(f"{P}heavy_{c}").alias(c) for c in rest))
+    small = marked.filter(F.col(f"{P}heavy").isNull()).select(*rows.columns).join(known.filter(F.col(n) <= limit), key)
     return large.unionByName(small)
 
 

@@ -1,13 +1,16 @@
-"""Near-duplicates by Jaccard similarity of word shingles, found exactly: prefix filter, then verification.
+"""Near-duplicates by SimHash, verified by the Jaccard similarity of word shingles, and completed to be exact.
 
-A text is the set of its 5-word shingles' hashes; equal sets are one node. In one order of all hashes, two sets
-of similarity `SIMILAR` or more share one of the first n - ceil(SIMILAR * n) + 1 of each, its prefix. Rows of
-equal prefix hashes meet; sizes and positions rule out most pairs, and whole sets decide the others. Hashes that
-a sample of texts shows often come last in the order, so common passages make no crowds; any sample is right.
+A text is the set of its 5-word shingles' hashes; equal sets are one node. The SimHash operator gives candidates: equal
+fingerprints, and links found by its generalised pigeonhole probes. Candidates are verified on whole texts, few at a time:
+in each round, of every component found so far, the candidate that looks nearest and the one that leads to the least
+other component. So large groups of copies are linked by about as many pairs as they have members.
 
-First each row of a crowd meets the crowd's first and the one before it, in one of `ORDERS` orders, so that it has
-several partners over its prefix. Only rows that those links leave in different components all meet each other, so
-that a large group of near copies costs no square.
+Sets of similarity `SIMILAR` can differ in more bits than any probing radius reaches (at 0.8 about 10 of 64), so SimHash alone
+would lose links. What it leaves in different components is searched by a prefix filter, which is exact: in one order of
+all hashes, two similar sets share one of the first n - ceil(SIMILAR * n) + 1 of each. Rows of equal prefix hashes meet;
+sizes, positions, a sketch of 1024 bits and at last the whole texts decide. Hashes that a sample of texts shows often come
+last in the order, so common passages make no crowds; any sample is right. Crowds around a hash that the sample shows too
+often are dealt in blocks, in which only rows outside the crowd's largest component are probes.
 
 Defined results: texts without words are equal; a text of fewer words than a shingle is one shingle; repeated
 rows and null doc_ids are treated as in simhash; an empty table gives no rows; other columns are not read.
@@ -23,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, discard, written
-from .graph import components
-from .simhash import hex_of, one_of_each, shingle_hashes
+from .common import P, checked, discard, written
+from .graph import components, joined, with_group
+from .simhash import DISTANCE, hex_of, links, majority, one_of_each, plan_for, shingle_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Texts that hashes are counted in, at most about; the counts below which a hash is rare; hashes broadcast.
 SAMPLE, OFTEN, MOST_OFTEN = 30_000, 5, 100_000
-#: Orders that rows of a crowd may have when they first meet.
-ORDERS = 8
+#: Rows of a crowd that are dealt to one task, as the sample estimates them.
+BLOCK = 8_192
+#: Rounds in which each component's best candidates are verified, before all that are left.
+ROUNDS = 4
 #: Pairs compared in one go.
 CELLS = 1 << 20
 #: Bits that a set's hashes are folded to; a power of 2.
@@ -80,41 +85,46 @@ def often(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray
 
 
 def prefixes(docs: DataFrame, n: int, shingle: int, similar: float) -> DataFrame:
-    """Rows doc_id, key of the set, row (a number of its own), text (its hash), size of the set, its folded bits and prefix."""
+    """Rows doc_id, key of the set, text (its hash), fp (SimHash of the shingles), size of the set, its folded bits, prefix, and for each hash of it the blocks of its crowd, 0 for one that is not dealt."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(often(docs, n, shingle))
+    scale = max(1.0, n / SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         known, counts = shared.value
-        row = TaskContext.get().partitionId() << 40
+        blocks = np.ceil(counts * scale / BLOCK).astype(np.int64)
+        blocks[blocks < 2] = 0
         for batch in batches:
-            keys, sizes, bits, heads = [], [], [], []
+            keys, fps, sizes, bits, heads, dealt = [], [], [], [], [], []
             for t in batch.column(1):
-                s = shingle_set(t.as_py(), shingle)
+                hashes = shingle_hashes(t.as_py(), shingle)
+                s = np.unique(hashes)
                 keys.append(key_of(s))
+                fps.append(majority(hashes))
                 bits.append(folded(s))
+                far = np.zeros(len(s), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
+                    found = known[at] == s
+                    order = np.argsort(np.where(found, counts[at], 0), kind="stable")
+                    s, far = s[order], np.where(found, blocks[at], 0)[order]
                 sizes.append(len(s))
-                heads.append(s[:prefix_length(len(s), similar)].view(np.int64))
-            rows = np.arange(row, row + len(keys))
-            row += len(keys)
-            yield pa.record_batch([batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(rows), batch.column(2), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
-                                  names=["doc_id", f"{P}key", f"{P}row", f"{P}text", f"{P}size", f"{P}bits", f"{P}prefix"])
+                m = prefix_length(len(s), similar)
+                heads.append(s[:m].view(np.int64))
+                dealt.append(far[:m])
+            yield pa.record_batch([batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()),
+                                   pa.array(heads, pa.list_(pa.int64())), pa.array(dealt, pa.list_(pa.int32()))], names=["doc_id", *(f"{P}{c}" for c in ("key", "text", "fp", "size", "bits", "prefix", "blocks"))])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", text_hash()).mapInArrow(run, f"doc_id {kind}, {P}key long, {P}row long, {P}text long, {P}size int, {P}bits binary, {P}prefix array<long>")
+    return docs.select("doc_id", "text", text_hash()).mapInArrow(run, f"doc_id {kind}, {P}key long, {P}text long, {P}fp long, {P}size int, {P}bits binary, {P}prefix array<long>, {P}blocks array<int>")
 
 
 def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias(f"{P}text")
 
 
-def crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of batches sorted by the first, cut only where that changes."""
+def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first n, cut only where those change."""
     kept = None
     for batch in batches:
         if not batch.num_rows:
@@ -122,7 +132,8 @@ def crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if kept is not None:
             columns = [np.concatenate(x) for x in zip(kept, columns)]
-        cut = np.searchsorted(columns[0], columns[0][-1])
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:n]], axis=0)) + 1
+        cut = int(new[-1]) if len(new) else 0
         kept = [c[cut:] for c in columns]
         if cut:
             yield [c[:cut] for c in columns]
@@ -130,129 +141,179 @@ def crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield kept
 
 
-def not_alone(entries: DataFrame) -> DataFrame:
-    """The rows whose hash another row has too: few, as most shingles are one text's."""
-
-    def run(batches):
-        for columns in crowds(batches):
-            h = columns[0]
-            same = h[1:] == h[:-1]
-            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            if keep.any():
-                yield pa.record_batch([pa.array(c[keep]) for c in columns], names=names)
-
-    names = [f"{P}{c}" for c in ("h", "key", "size", "at")]
-    return entries.select(*names).repartition(f"{P}h").sortWithinPartitions(f"{P}h").mapInArrow(run, f"{P}h long, {P}key long, {P}size int, {P}at int")
-
-
 def pairs_out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     uv = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
     return pa.record_batch([pa.array(np.ascontiguousarray(uv[:, k])) for k in range(2)], names=["u", "v"])
 
 
-def first_pairs(entries: DataFrame, similar: float) -> DataFrame:
-    """Candidates u, v: each row with the one before it and the first of its crowd."""
+def simhash_candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs u < v of sets with one fingerprint, or with fingerprints that the pigeonhole probes find."""
+    key, fp, head = f"{P}key", f"{P}fp", f"{P}head"
+    n = nodes.count()
+    heads = written(nodes.groupBy(fp).agg(F.min(key).alias(head)), "heads")
+    distinct = heads.count()
+    equal = with_group(nodes.select(key, fp), fp, n, **{head: F.min(key)}).filter(F.col(key) != F.col(head)).select(F.col(head).alias("u"), F.col(key).alias("v"))
+    if distinct < 2:
+        return equal
+    found = written(links(heads, plan_for(heads, distinct, DISTANCE), forest=False).distinct(), "near")
+    a, b = (heads.select(F.col(fp).alias(c), F.col(head).alias(f"{P}{c}")) for c in "uv")
+    near = found.join(a, "u").join(b, "v").select(F.least(f"{P}u", f"{P}v").alias("u"), F.greatest(f"{P}u", f"{P}v").alias("v")).distinct()
+    return equal.unionByName(near)
+
+
+def prefix_candidates(nodes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+    """Pairs u < v in different components that share a prefix hash and, by sizes and positions, can be similar."""
+    names = ["h", "size", "at", "key", "root"]
+
+    def compared(s, p, k, r, probe) -> Iterator[pa.RecordBatch]:
+        """Rows of one crowd, sorted by size; pairs of which one is a probe at least."""
+        step = max(1, CELLS // len(s))
+        for c in range(0, len(s), step):
+            # partners come later, and are at most so much larger
+            last = int(np.searchsorted(s, s[min(c + step, len(s)) - 1] / similar + 1e-9, "right"))
+            x, y = slice(c, c + step), slice(c, last)
+            good = may_reach(s[x, None], p[x, None], s[None, y], p[None, y], similar) & (r[x, None] != r[None, y])
+            if probe is not None:
+                good &= probe[x, None] | probe[None, y]
+            i, j = np.nonzero(good)
+            if len(i):
+                yield pairs_out(k[x][i], k[y][j])
 
     def meet(batches):
-        for h, size, at, key in crowds(batches):
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            i = np.flatnonzero(~new)
-            i, j = np.concatenate([i, i]), np.concatenate([i - 1, start[i]])
-            good = may_reach(size[i], at[i], size[j], at[j], similar)
-            yield pairs_out(key[i[good]], key[j[good]])
-
-    rows = entries.select(*(f"{P}{c}" for c in ("h", "size", "at", "key")))
-    return rows.repartition(f"{P}h").sortWithinPartitions(f"{P}h", F.xxhash64(F.pmod(f"{P}h", F.lit(ORDERS)), f"{P}key")).mapInArrow(meet, "u long, v long").distinct()
-
-
-def other_pairs(entries: DataFrame, similar: float) -> DataFrame:
-    """Candidates u, v: all rows of a crowd that are in different components."""
-
-    def meet(batches):
-        for h, size, at, key, root in crowds(batches):
+        for h, size, at, key, root in runs(batches, 1):
             edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
             mixed = np.flatnonzero((h[1:] == h[:-1]) & (root[1:] != root[:-1]))
             for g in np.unique(np.searchsorted(edges, mixed, "right") - 1).tolist():
-                a, b = edges[g], edges[g + 1]
-                s, p, k, r = size[a:b], at[a:b], key[a:b], root[a:b]
-                step = max(1, CELLS // len(s))
-                for c in range(0, len(s), step):
-                    # sorted by size: partners come later, and are at most so much larger
-                    last = np.searchsorted(s, s[min(c + step, len(s)) - 1] / similar + 1e-9, "right")
-                    x, y = slice(c, c + step), slice(c, last)
-                    good = may_reach(s[x, None], p[x, None], s[None, y], p[None, y], similar) & (r[x, None] != r[None, y])
-                    i, j = np.nonzero(good)
-                    if len(i):
-                        yield pairs_out(k[x][i], k[y][j])
+                x = slice(edges[g], edges[g + 1])
+                yield from compared(size[x], at[x], key[x], root[x], None)
+
+    def meet_blocks(batches):
+        for h, block, size, at, key, root, probe in runs(batches, 2):
+            edges = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (block[1:] != block[:-1]), [True]]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                x = slice(a, b)
+                if probe[x].any():
+                    yield from compared(size[x], at[x], key[x], root[x], probe[x].astype(bool))
+
+    cols = [f"{P}{c}" for c in names]
+    placed = nodes.join(roots.select(F.col("u").alias(f"{P}key"), F.col("v").alias(f"{P}root")), f"{P}key", "left").withColumn(f"{P}root", F.coalesce(f"{P}root", f"{P}key"))
+    entries = placed.select(f"{P}key", f"{P}root", f"{P}size", f"{P}blocks", F.posexplode(f"{P}prefix").alias(f"{P}at", f"{P}h")).withColumn(f"{P}n", F.get(f"{P}blocks", F.col(f"{P}at")))
+    plain = entries.filter(F.col(f"{P}n") == 0).select(*cols).repartition(f"{P}h").sortWithinPartitions(f"{P}h", f"{P}size", f"{P}key").mapInArrow(meet, "u long, v long")
+    crowded = written(entries.filter(F.col(f"{P}n") > 0).select(*cols, f"{P}n"), "crowds")
+    total = crowded.count()
+    if not total:
+        return plain.distinct()
+    # of each crowd the component with most rows: its rows are in one block each, and all others are in every block
+    each = crowded.groupBy(f"{P}h", f"{P}root").agg(F.count(F.lit(1)).alias(f"{P}rows")).groupBy(f"{P}h").agg(F.max_by(f"{P}root", F.struct(f"{P}rows", f"{P}root")).alias(f"{P}main"))
+    main = checked(written(each, "crowd-roots"))
+    probe = F.col(f"{P}root") != F.col(f"{P}main")
+    own = F.pmod(F.xxhash64(f"{P}key"), F.col(f"{P}n")).cast("int")
+    blocks = F.when(probe, F.sequence(F.lit(0), F.col(f"{P}n") - 1)).otherwise(F.array(own))
+    dealt = crowded.join(main, f"{P}h").select(f"{P}h", F.explode(blocks).alias(f"{P}block"), f"{P}size", f"{P}at", f"{P}key", f"{P}root", probe.cast("int").alias(f"{P}probe"))
+    wide = dealt.repartition(f"{P}h", f"{P}block").sortWithinPartitions(f"{P}h", f"{P}block", f"{P}size", f"{P}key").mapInArrow(meet_blocks, "u long, v long")
+    return plain.unionByName(wide).distinct()
+
+
+def close(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
+    """Pairs whose sketches don't rule similarity out, and `apart`, the share of hashes in which they differ at least."""
+    def can_be(batches):
+        for batch in batches:
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BITS // 8) for k in (3, 5))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            good = pa.array((a + b - apart) / 2 >= similar / (1 + similar) * (a + b) - 1e-9)
+            share = pa.array((apart / np.maximum(1, a + b)).astype(np.float32))
+            yield pa.record_batch([c.filter(good) for c in (*batch.columns[:2], share)], names=["u", "v", "apart"])
 
-    return entries.select(*(f"{P}{c}" for c in ("h", "size", "at", "key", "root"))).repartition(f"{P}h").sortWithinPartitions(f"{P}h", f"{P}size", f"{P}key").mapInArrow(meet, "u long, v long").distinct()
+    a, b = (nodes.select(F.col(f"{P}key").alias(c), F.col(f"{P}size").alias(f"{P}n{c}"), F.col(f"{P}bits").alias(f"{P}b{c}")) for c in "uv")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", f"{P}nu", f"{P}bu", f"{P}nv", f"{P}bv").mapInArrow(can_be, "u long, v long, apart float")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, of_docs: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """Those pairs whose whole sets are similar. A written table."""
+def texts_of(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text of each set that is in a pair, read again: sets of all texts would be larger than the texts."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias(f"{P}key")).distinct()
+    named = checked(written(nodes.select(f"{P}key", f"{P}text").join(ends, f"{P}key", "left_semi"), "ends"))
+    found = docs.select(text_hash(), F.coalesce("text", F.lit("")).alias(f"{P}t")).join(named, f"{P}text")
+    return written(found.groupBy(f"{P}key").agg(F.min(f"{P}t").alias(f"{P}t")), "texts")
 
-    def shingled(batches):
-        for batch in batches:
-            found = pa.array([shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), found], names=[f"{P}key", f"{P}set"])
 
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Those pairs whose whole sets are similar. Texts move, not sets: they are half as large, and compress."""
     def check(batches):
+        last = {}
+
+        def of(side, key, text):
+            if last.get(side, (None,))[0] != key:
+                last[side] = (key, shingle_set(text, shingle))
+            return last[side][1]
+
         for batch in batches:
+            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = []
-            x, y = batch.column(2), batch.column(3)
             for k in range(batch.num_rows):
-                both = np.sort(np.concatenate([x[k].values.to_numpy(), y[k].values.to_numpy()]))
+                x, y = of(0, u[k], batch.column(2)[k].as_py()), of(1, v[k], batch.column(3)[k].as_py())
+                both = np.sort(np.concatenate([x, y]))
                 same = int((both[1:] == both[:-1]).sum())
                 good.append(same >= similar * (len(both) - same) - 1e-9)
             yield pa.record_batch([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
 
-    def can_be(batches):
-        for batch in batches:
-            a, b = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 4))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BITS // 8) for k in (3, 5))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            good = (a + b - apart) / 2 >= similar / (1 + similar) * (a + b) - 1e-9
-            yield pa.record_batch([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["u", "v"])
-
-    ends = lambda x: x.select(F.explode(F.array("u", "v")).alias(f"{P}key")).distinct()
-    # folded bits first: whole sets of all pairs would be many times the input
-    of_rows = nodes.join(ends(pairs), f"{P}key", "left_semi").select(f"{P}key", f"{P}row", f"{P}text")
-    known = written(of_rows.join(of_docs.select(f"{P}row", f"{P}size", f"{P}bits"), f"{P}row"), "ends")
-    a, b = (known.select(F.col(f"{P}key").alias(c), F.col(f"{P}size").alias(f"{P}n{c}"), F.col(f"{P}bits").alias(f"{P}b{c}")) for c in "uv")
-    pairs = written(pairs.join(a, "u").join(b, "v").select("u", "v", f"{P}nu", f"{P}bu", f"{P}nv", f"{P}bv").mapInArrow(can_be, "u long, v long"), "close")
-    # one text of each set that is in a pair, read again: sets of all texts would be larger than the texts
-    named = known.select(f"{P}key", f"{P}text").join(ends(pairs), f"{P}key", "left_semi")
-    texts = docs.select(text_hash(), F.coalesce("text", F.lit("")).alias(f"{P}t")).join(named, f"{P}text").groupBy(f"{P}key").agg(F.min(f"{P}t").alias(f"{P}t"))
-    whole = written(texts.mapInArrow(shingled, f"{P}key long, {P}set array<long>"), "sets")
-    a, b = (whole.select(F.col(f"{P}key").alias(c), F.col(f"{P}set").alias(f"{P}{c}")) for c in "uv")
-    out = written(pairs.join(a, "u").join(b, "v").select("u", "v", f"{P}u", f"{P}v").mapInArrow(check, "u long, v long"), "links")
-    for x in (known, pairs, whole):
-        discard(x)
-    return out
+    a, b = (texts.select(F.col(f"{P}key").alias(c), F.col(f"{P}t").alias(f"{P}{c}")) for c in "uv")
+    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", f"{P}u", f"{P}v").mapInArrow(check, "u long, v long")
+
+
+def linked(found: DataFrame, candidates: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """A written table: the links `found` and, of the candidates, as many that are similar as give the components of all of them."""
+    left = written(close(candidates, nodes, similar), "candidates")
+    if left.isEmpty():
+        discard(left)
+        return found
+    texts = texts_of(left, docs, nodes)
+    for k in range(ROUNDS + 1):
+        roots = components(found)
+        a, b = (roots.select(F.col("u").alias(c), F.col("v").alias(f"r{c}")) for c in "uv")
+        across = left.join(a, "u", "left").join(b, "v", "left").select("u", "v", "apart", F.coalesce("ru", "u").alias("ru"), F.coalesce("rv", "v").alias("rv")).filter("ru != rv")
+        now, old = written(across, "candidates"), left
+        discard(old)
+        if now.isEmpty():
+            discard(now)
+            break
+        if k < ROUNDS:
+            # of each component the nearest, and that to the least other one
+            sides = now.select("u", "v", "apart", F.inline(F.array(F.struct(F.col("ru").alias("own"), F.col("rv").alias("other")), F.struct(F.col("rv").alias("own"), F.col("ru").alias("other")))))
+            best = sides.groupBy("own").agg(F.min(F.struct("apart", "u", "v")).alias("a"), F.min(F.struct("other", "apart", "u", "v")).alias("b"))
+            chosen = written(best.select(F.inline(F.array(F.struct("a.u", "a.v"), F.struct("b.u", "b.v")))).distinct(), "chosen")
+            left = written(now.select("u", "v", "apart").join(chosen, ["u", "v"], "left_anti"), "candidates")
+            discard(now)
+        else:
+            chosen, left = now, now
+        new = written(verified(chosen, texts, shingle, similar), "verified")
+        last, found = found, written(found.unionByName(new), "links")
+        for x in (new, last, roots) + ((chosen,) if chosen is not left else ()):
+            discard(x)
+    discard(left)
+    discard(texts)
+    return found
 
 
 def clustered(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """Rows doc_id, fingerprint (hex, names the text's set), component_id, the least doc_id of all that are linked, over any
     number of steps, and cluster, a fingerprint that names the component. A written table."""
-    key, one, root = f"{P}key", f"{P}one", f"{P}root"
+    key, one, root, rows = f"{P}key", f"{P}one", f"{P}root", f"{P}rows"
     of_docs = written(prefixes(docs, docs.count(), shingle, similar), "prefixes")
-    nodes = written(of_docs.groupBy(key).agg(F.min("doc_id").alias(one), F.min(f"{P}row").alias(f"{P}row"), F.min(f"{P}text").alias(f"{P}text")), "distinct")
     # one row of each set
-    entries = of_docs.select(key, f"{P}row", f"{P}size", f"{P}prefix").join(nodes.select(f"{P}row"), f"{P}row", "left_semi").select(key, f"{P}size", F.posexplode(f"{P}prefix").alias(f"{P}at", f"{P}h"))
-    entries = written(not_alone(entries), "crowds")
-    first = written(first_pairs(entries, similar), "pairs")
-    links = verified(first, docs, nodes, of_docs, shingle, similar)
-    linked = components(links)
-    named = lambda x, roots: x.join(roots.select(F.col("u").alias(key), F.col("v").alias(root)), key, "left").withColumn(root, F.coalesce(root, key))
-    others = written(other_pairs(named(entries, linked), similar), "pairs")
-    discard(entries)
-    more = verified(others, docs, nodes, of_docs, shingle, similar)
-    both = components(links.unionByName(more))
-    nodes_in = named(nodes.select(key, one), both)
-    placed = nodes_in.join(nodes_in.groupBy(root).agg(F.min(one).alias("component_id")), root).select(key, "component_id", root)
-    out = written(of_docs.select("doc_id", key).join(placed, key).select("doc_id", hex_of(key).alias("fingerprint"), "component_id", hex_of(root).alias("cluster")), "clusters")
-    for x in (of_docs, nodes, first, links, linked, others, more, both):
+    rest = [f"{P}{c}" for c in ("text", "fp", "size", "bits", "prefix", "blocks")]
+    nodes = written(of_docs.groupBy(key).agg(F.min("doc_id").alias(one), F.count(F.lit(1)).alias(rows), F.min_by(F.struct(*rest), F.struct(f"{P}text", f"{P}fp")).alias(f"{P}x")).select(key, one, rows, *(F.col(f"{P}x.{c}").alias(c) for c in rest)), "sets")
+    placed = written(of_docs.select("doc_id", key), "keys")
+    discard(of_docs)
+    n = nodes.count()
+    none = written(docs.sparkSession.createDataFrame([], "u long, v long"), "links")
+    found = linked(none, simhash_candidates(nodes), docs, nodes, shingle, similar)
+    found = linked(found, prefix_candidates(nodes, components(found), similar), docs, nodes, shingle, similar)
+    roots = components(found).select(F.col("u").alias(key), F.col("v").alias(root))
+    named = nodes.select(key, one, rows).join(roots, key, "left").withColumn(root, F.coalesce(root, key))
+    known = with_group(named, root, n, component_id=F.min(one)).select(key, "component_id", root, rows)
+    out = written(joined(placed, known, key, rows, placed.count()).select("doc_id", hex_of(key).alias("fingerprint"), "component_id", hex_of(root).alias("cluster")), "clusters")
+    for x in (nodes, placed, found):
         discard(x)
     return out
 

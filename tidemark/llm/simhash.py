@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import P, checked, written
-from .graph import components, with_group
+from .graph import components, joined, with_group
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Rows of a bucket's block; bounds a task's memory.
@@ -68,14 +68,17 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1:].tolist())), "<u8", n)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit b is 1 if set in over half the hashes of the shingles, repeats included. 0 without words."""
-    h = shingle_hashes(text, shingle)
-    n = len(h)
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is 1 if set in over half the hashes. 0 without any."""
     counts = np.zeros(64, np.int64)
-    for a in range(0, n, 4096):
-        counts += np.unpackbits(h[a:a + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    for a in range(0, len(hashes), 4096):
+        counts += np.unpackbits(hashes[a:a + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The majority of the shingles' hashes, repeats included."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -361,18 +364,18 @@ def hex_of(fp: str) -> Column:
 def clustered(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """Rows doc_id, fingerprint (hex), component_id, the least doc_id of all that are linked, over any number of steps, and
     cluster, a fingerprint that names the component."""
-    fp, one, root = f"{P}fp", f"{P}one", f"{P}root"
+    fp, one, root, rows = f"{P}fp", f"{P}one", f"{P}root", f"{P}rows"
     docs_fp = written(fingerprints(docs, shingle), "fingerprints")
     # equal fingerprints are one node
-    fps = written(docs_fp.groupBy(fp).agg(F.min("doc_id").alias(one)), "distinct")
+    fps = written(docs_fp.groupBy(fp).agg(F.min("doc_id").alias(one), F.count(F.lit(1)).alias(rows)), "distinct")
     n = fps.count()
     if n > 1:
         found = components(links(fps, plan_for(fps, n, distance)))
         nodes = fps.join(found.select(F.col("u").alias(fp), F.col("v").alias(root)), fp, "left").withColumn(root, F.coalesce(root, fp))
-        fps = with_group(nodes, root, n, component_id=F.min(one)).select(fp, "component_id", root)
+        fps = with_group(nodes, root, n, component_id=F.min(one)).select(fp, "component_id", root, rows)
     else:
-        fps = fps.select(fp, F.col(one).alias("component_id"), F.col(fp).alias(root))
-    return docs_fp.join(fps, fp).select("doc_id", hex_of(fp).alias("fingerprint"), "component_id", hex_of(root).alias("cluster"))
+        fps = fps.select(fp, F.col(one).alias("component_id"), F.col(fp).alias(root), rows)
+    return joined(docs_fp, fps, fp, rows, docs_fp.count()).select("doc_id", hex_of(fp).alias("fingerprint"), "component_id", hex_of(root).alias("cluster"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
