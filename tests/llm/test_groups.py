@@ -219,7 +219,7 @@ def test_escapes(spark):
 
 
 def test_chats(spark):
-    turns = [(i % 40, i // 40, ["user", "assistant", None, "sys\ntem|"][i % 4 if i % 7 else 1], t) for i, t in enumerate(HARD[:8] * 30)] + [(3, 0, "user", "again"), (3, 0, "user", "again"), (None, 1, "assistant", "x"), (50, None, "assistant", "<|im_end|>\n<|im_start|>user")]
+    turns = [(i % 40, i // 40, ["user", "assistant", None, "sys\ntem|"][i % 4 if i % 7 else 1], t) for i, t in enumerate(HARD[:8] * 30)] + [(3, 0, "user", "again"), (3, 0, "user", "again"), (None, 1, "assistant", "x"), (50, None, "assistant", "<|im_end|>\n<|im_start|>user"), (60, 0, "user", "<|a"), (60, 0, "user", "<a"), (60, 0, "user", "|"), (60, 0, "user", "z")]
     df = spark.createDataFrame([(*t, "clash", 1) for t in turns], "conv_id long, turn long, role string, text string, formatted string, n_turns int")
     out = chat_format.formatted(df.withColumn("parts", chat_format.text_parts(F.col("text"))))
     got = {r.conv_id: r for r in chat_format.digested(out).collect()}
@@ -231,9 +231,7 @@ def test_chats(spark):
         said = [x[2:] for x in sorted(xs)]
         r, loss = got[c], "".join(t for role, t in said if role == "assistant")
         assert r.n_turns == len(said) and r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-        # equal turns are ordered by role and escaped text; digests of both orders are one where turns are distinct
-        if len({x[:2] for x in xs}) == len(xs):
-            assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in said).encode()).hexdigest()
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in said).encode()).hexdigest()
     for r in out.collect():
         assert all(r.formatted[s.base:].startswith(chat_format.START) for s in r.loss_spans)
     assert chat_format.formatted(df.limit(0).withColumn("parts", chat_format.text_parts(F.col("text")))).count() == 0

@@ -81,6 +81,82 @@ def test_ranking(spark, hard, empty):
     assert {r.score for r in quality_rank.scored(hard, none).collect()} == {0.5}
 
 
+def test_ranking_against_brute_force(spark):
+    """Measures by plain loops, the gradient by all pairs, the threshold by the quantile of the sample's scores."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["Alpha", "beta", "7", "#x", "é", "line\n", "same same"]) for _ in range(rng.randint(1, 60))) for _ in range(120)] + ["", None, "\n\n", "one"]
+    for t in texts:
+        got = dict(zip(quality_rank.MEASURES, quality_rank.measures(t)))
+        raw, words = (t or "").encode(), (t or "").split()
+        share = lambda chars: sum(c in chars for c in raw) / len(raw) if raw else 0.0
+        windows = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
+        covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)}
+        lines = [x for x in (t or "").split("\n") if x.strip()]
+        assert got["upper"] == pytest.approx(share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")) and got["digit"] == pytest.approx(share(b"0123456789")) and got["symbol"] == pytest.approx(share(b"#*$%&|<>"))
+        assert got["high"] == pytest.approx(share(bytes(range(128, 256)))) and got["log_words"] == pytest.approx(np.log1p(len(words)))
+        if words:
+            assert got["repeated_words"] == pytest.approx(len(covered) / len(words)) and got["repeated_lines"] == pytest.approx(1 - len(set(lines)) / len(lines))
+            assert got["distinct"] == pytest.approx(len(set(words)) / len(words)) and got["top_word"] == pytest.approx(max(Counter(words).values()) / len(words))
+    a, b = np.random.default_rng(1).normal(1, 2, 200), np.random.default_rng(2).normal(-1, 2, 150)
+    for mine, other, sign in ((a, b, 1), (b, a, -1)):
+        want = [np.mean([1 / (1 + np.exp(sign * (x - y))) for y in other]) for x in mine]
+        assert quality_rank.pull(mine, other, sign) == pytest.approx(want, abs=1e-4)
+    assert quality_rank.pull(np.zeros(3), np.zeros(2), 1) == pytest.approx([0.5] * 3)
+    x = np.array([quality_rank.measures(t) for t in texts], float)
+    label = np.array([int(i % 3 > 0 or m[0] > 3) for i, m in enumerate(x)])
+    ranker = quality_rank.fit_pairs(x, label)
+    raw = [sum(ranker.weights[k][int((v >= ranker.edges[k]).sum())] for k, v in enumerate(row)) for row in x]
+    assert ranker.raw(x) == pytest.approx(raw)
+    low = round((1 - label.mean()) * len(x))
+    assert ranker.zero == pytest.approx((sorted(raw)[low - 1] + sorted(raw)[low]) / 2, abs=1e-4)
+    assert ((ranker.score(x) >= quality_rank.CUT) == (np.array(raw) >= ranker.zero)).all()
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "another text of this id")]
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(label)], "doc_id long, quality int")
+    one, two = (quality_rank.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, F.lit(True)) for r, n in ((rows, 3), (rows[::-1], 5)))
+    assert (one.weights == two.weights).all() and one.zero == two.zero
+
+
+def plain_buckets(text):
+    """Buckets of the 1- to 3-grams of a lowered text with three spaces in front, each by hand."""
+    out, padded = [], [*(" " * 3 + text.lower()), " ", " ", " "]
+    for i in range(len(padded) - 3):
+        key = 0
+        for c in padded[i:i + 3]:
+            key = ((key ^ ord(c)) * 0x9E3779B1) % 2**32
+            key ^= key >> 15
+            out.append(((key * 0x85EBCA6B) % 2**32) >> 16)
+    return out
+
+
+def test_languages_against_brute_force(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, lang, rng.randint(1, 40)), lang) for i, lang in enumerate(["de", "en", "es", "fr"] * 20)] + [(900, "²½ ① Ⅷ 12", "de"), (901, "", "en"), (902, None, "en"), (903, "ⅷ", None), (904, "ª", None), (905, "漢", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs = ["de", "en", "es", "fr"]
+    counts = np.full((4, language_id.BUCKETS), 0.5)
+    for i, t, lang in rows:
+        if lang and t is not None and i % 5:
+            np.add.at(counts[langs.index(lang)], plain_buckets(t), 1)
+    logs = np.log(counts / counts.sum(axis=1, keepdims=True))
+    got = {r.doc_id: r for r in language_id.identified(df, F.col("doc_id") % 5 != 0).collect()}
+    for i, t, _ in rows:
+        if not t or not re.search(r"[a-zA-Zäöüßéèêñáíóúçàâîôûœª漢]", t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0), t
+            continue
+        each = logs[:, plain_buckets(t)].sum(axis=1)
+        assert got[i].lang_pred == langs[int(each.argmax())] and got[i].score == pytest.approx(1 / np.exp(each - each.max()).sum(), rel=1e-3)
+
+
+def test_learning_from_many_rows_of_one_id(spark):
+    """Rows share a doc_id that the sample's hash doesn't draw: all of them are learned from."""
+    for i in range(20):
+        df = spark.createDataFrame([(i, f"der hund und die katze {k}", "de") for k in range(40)], "doc_id long, text string, lang string")
+        langs, _ = language_id.fit(df, F.lit(True), fit_docs=1)
+        assert langs == ["de"]
+        if i > 2:
+            break
+
+
 def test_languages(spark, hard, empty):
     rng = random.Random(4)
     rows = [(i, prose(rng, lang, 40), lang) for i, lang in enumerate(["de", "en", "es", "fr"] * 60)] + [(1000, "nolang here", None)]
@@ -107,14 +183,71 @@ def test_language_scores_do_not_depend_on_the_batch():
 SECRETS = st.text("AKIA0Z9abcdef tokensecrtpwi_:='\"\n İſK.=-", max_size=80)
 
 
-@settings(max_examples=300, deadline=None)
-@given(parts=st.lists(st.one_of(SECRETS, st.sampled_from(["token = ", "api_key=", "APIKEY: '", "passwd:", "AKIA" + "X" * 16, "f" * 24, "secret", "password = hunter2x", "ghp_", "x" * 6])), max_size=8))
+def plain_spans(text):
+    """Base spans by trying every start of each kind, without the automaton or the operator's expressions."""
+    word = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+    lowered = "".join(c.lower() if c.isascii() else c for c in text)
+
+    def run(at, allowed):
+        while at < len(text) and text[at] in allowed:
+            at += 1
+        return at
+
+    def assign(at):
+        """Where an assignment that begins here ends, and its value's length; None without one."""
+        for key in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lowered.startswith(key, at):
+                p = at + len(key)
+                for quoted in ((p + 1, p) if text[p:p + 1] in ("'", '"') and p < len(text) else (p,)):
+                    q = run(quoted, " ")
+                    if text[q:q + 1] in (":", "=") and q < len(text):
+                        q = run(q + 1, " ")
+                        q += text[q:q + 1] in ("'", '"') and q < len(text)
+                        end = run(q, word)
+                        if end > q:
+                            return end, end - q
+        return None
+
+    found, at = [], 0
+    while at < len(text):
+        hit = assign(at)
+        if hit and hit[1] >= 6:
+            found.append(("assign", at, hit[0]))
+        at = hit[0] if hit else at + 1
+    at = 0
+    while at < len(text):
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", at) else at
+        if end > at + 4:
+            if end - at >= 20:
+                found.append(("access", at, end))
+            at = end
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        end = run(at, set("0123456789abcdef"))
+        if end - at >= 24:
+            found.append(("hex", at, end))
+        at = max(end, at + 1)
+    return sorted(found, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+@settings(max_examples=400, deadline=None)
+@given(parts=st.lists(st.one_of(SECRETS, st.sampled_from(["token = ", "api_key=", "APIKEY: '", "passwd:", 'Secret" = "', "AKIA" + "X" * 16, "AKIAAKIA" + "0" * 15, "f" * 24, "secret", "password = hunter2x", "token=token=abcdefg", "ghp_", "x" * 6])), max_size=8))
 def test_secrets_against_brute_force(parts):
     text = "".join(parts)
-    found = secret_scan.spans(text)
-    base_only = [x for x in found if x[0] in secret_scan.BASE]
-    want = secret_scan.brute_force(text)
-    assert {f"n_{k}": sum(x[0] == k for x in base_only) for k in secret_scan.BASE} == {k: want[k] for k in ("n_assign", "n_access", "n_hex")}
+    assert [x for x in secret_scan.spans(text) if x[0] in secret_scan.BASE] == plain_spans(text)
+
+
+def test_digests_of_secrets(spark):
+    import hashlib
+
+    texts = ["é token=abcdefgh and AKIA" + "A" * 16, "0" * 30 + " password: 'xyzxyz1'", "none"]
+    rows = secret_scan.digested(secret_scan.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
+    for r, t in zip(rows, texts):
+        said = ",".join(f"{k}:{s}:{e}" for k, s, e in plain_spans(t))
+        assert r.spans == said and r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[0] == k for x in plain_spans(t)) for k in ("assign", "access", "hex"))
 
 
 def test_checksums_and_masks():

@@ -9,8 +9,8 @@ The loss mask lists the contents of assistant turns as (turn, base, start, end):
 string, base being where the turn begins.
 
 Defined results: a null text is empty, a null role too; a conversation without rows doesn't exist, so an
-empty table gives no rows; turns are ordered by turn, then role and text, so ties and repeated rows have
-one order; a null conv_id is a conversation of its own; other columns are not read.
+empty table gives no rows; turns are ordered by turn, then role and text as given, so ties and repeated rows have
+one order; very long texts stay whole, and a conversation is one string, so one of more than 2 GB fails; a null conv_id is a conversation of its own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -52,15 +52,16 @@ def _by_type(kind: Column, values: dict, other) -> Column:
 def formatted(turns: DataFrame) -> DataFrame:
     """Rows conv_id, turn, role, parts to rows conv_id, n_turns, formatted, loss_spans, attachments, expanded_tokens."""
     visit = lambda p: F.when(p.type == "text", escaped(F.coalesce(p.text, F.lit("")))).otherwise(_by_type(p.type, PLACEHOLDERS, PLACEHOLDERS["document"]))
+    plain = lambda p: F.when(p.type == "text", F.coalesce(p.text, F.lit(""))).otherwise(F.lit(""))
     role = F.coalesce(F.col("role"), F.lit(""))
     attached = F.transform(F.filter(F.col("parts"), lambda p: F.coalesce(p.type, F.lit("document")) != "text"), lambda p: F.struct(
         F.coalesce(p.type, F.lit("document")).alias("type"), p.ref.alias("ref"), F.coalesce(p.tokens, _by_type(p.type, DEFAULT_TOKENS, DEFAULT_TOKENS["document"]).cast("long")).alias("tokens")))
     rows = turns.select(
         "conv_id", F.col("turn").alias(f"{P}turn"), role.alias(f"{P}role"), attached.alias(f"{P}attached"),
         F.concat(F.lit(START), F.replace(escaped(role), F.lit("\n"), F.lit("\\n")), F.lit("\n")).alias(f"{P}head"),
-        F.array_join(F.transform(F.col("parts"), visit), "").alias(f"{P}body"))
+        F.array_join(F.transform(F.col("parts"), plain), "").alias(f"{P}plain"), F.array_join(F.transform(F.col("parts"), visit), "").alias(f"{P}body"))
     rows = rows.select("*", F.concat(f"{P}head", f"{P}body", F.lit(END)).alias(f"{P}said"), F.char_length(f"{P}head").alias(f"{P}h"), F.char_length(f"{P}body").alias(f"{P}b"))
-    w = Window.partitionBy("conv_id").orderBy(f"{P}turn", f"{P}role", f"{P}body")
+    w = Window.partitionBy("conv_id").orderBy(f"{P}turn", f"{P}role", f"{P}plain", f"{P}body")
     length = F.char_length(f"{P}said").cast("long")
     rows = rows.select("*", (F.row_number().over(w) - 1).alias(f"{P}n"), (F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0)) - length).alias(f"{P}base"))
     span = F.when(F.col(f"{P}role") == "assistant", F.struct(

@@ -5,14 +5,14 @@ doc_id; all of them where there are fewer) on the executors. The matrix of log-p
 languages, is of fixed height and is broadcast. Scoring takes a batch's n-grams as a sparse row of bucket
 hits for each document and adds up their matrix rows in numpy.
 
-Defined results: a null text, or one without a letter, is `und` with score 0; so is every text where no
-labelled row can be learned from; ties go to the language first in alphabetical order; each input row
+Defined results: a null text, or one without a letter (category L), is `und` with score 0; so is every text where no
+labelled row can be learned from; where more rows than the bound share the few doc_ids, and the hash draws none, all
+are learned from; very long texts are hashed whole, in a worker's memory one text at a time; ties go to the language first in alphabetical order; each input row
 gives one row, repeated or not; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 FIT_DOCS = 10_000
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -28,7 +27,13 @@ ORDERS = (1, 2, 3)
 FIT_TASKS = 12
 #: Characters hashed in one go; bounds a worker's memory beside a single text.
 STEP_CHARS = 1_000_000
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """A character of a category that begins with L; numbers such as a half or a circled one are none."""
+    import regex
+
+    return regex.search(r"\p{L}", text) is not None
 
 
 def ngram_buckets(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -84,6 +89,8 @@ def fit(docs: DataFrame, learn: Column, fit_docs: int = FIT_DOCS) -> tuple[list[
     schema = "lang string, counts binary"
     counted = sample.select("lang", "text").repartition(FIT_TASKS).mapInArrow(count, schema)
     found = sorted(counted.groupBy("lang").applyInPandas(add, schema).collect(), key=lambda r: r.lang)
+    if not found:  # the hash drew no row: rows of few doc_ids
+        return fit(docs, learn, n) if share < 1 else ([], np.zeros((BUCKETS, 0), np.float32))
     counts = np.stack([np.frombuffer(r.counts, "<i8") for r in found], axis=1) + 0.5
     return [r.lang for r in found], np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
@@ -96,7 +103,7 @@ def predicted(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFram
         langs, matrix = model.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            at = [i for i, t in enumerate(texts) if t and langs and _LETTER.search(t)]
+            at = [i for i, t in enumerate(texts) if t and langs and has_letter(t)]
             pred, prob = np.full(len(texts), "und", object), np.zeros(len(texts))
             if at:
                 total = np.zeros((len(at), len(langs)))

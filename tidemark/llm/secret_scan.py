@@ -7,13 +7,14 @@ hit; the expression of a hit's kind is then matched at that place only. Kinds:
 - github, npm: tokens whose last six characters are the base-62 CRC32 of those before; kept only if it holds.
 
 Defined results: a null or empty text has no spans; rows keep their number and order within a
-partition, repeated or not; an empty table gives no rows; input columns beside doc_id and text are not
+partition, repeated or not; spans of different kinds may overlap, and at one start come in the order of `KINDS`; a very long
+text is searched whole; `redacted` keeps every row and order, a null text stays null, overlapping spans are masked as one; an
+empty table gives no rows; input columns beside doc_id and text are not
 read by `scanned` and are passed on by `redacted`, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -128,13 +129,3 @@ def redacted(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
-
-
-def brute_force(text: str | None) -> dict:
-    """Base columns by plain searches of the whole text, for tests."""
-    t = text or ""
-    found = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 6]
-    found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(t) if len(m[0]) >= 20]
-    found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
-    found.sort(key=lambda x: (x[1], BASE.index(x[0])))
-    return {f"n_{k}": sum(x[0] == k for x in found) for k in BASE} | {"base_sha256": hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in found).encode()).hexdigest()}
