@@ -204,8 +204,29 @@ def test_map_versions(spark):
     assert moved < 0.3 * len(sizes) and more.version == 2 and all(b >= 16 for a, b in zip(one.shard_of, more.shard_of) if a != b)
     assert all(a >= 12 or a == b for a, b in zip(one.shard_of, less.shard_of))
     folder = shared_path(spark, "maps")
-    more.save(spark, folder)
-    assert sharding.SlotMap.load(spark, folder, 2) == more
+    more.save(spark, folder, [3] * 4096)
+    assert sharding.SlotMap.load(spark, folder, 2) == more == sharding.SlotMap.newest(spark, folder)
+
+
+def test_a_folder_is_sharded_again(spark, hard):
+    """The second call edits the first one's map; each version places all rows without gaps."""
+    rng = random.Random(10)
+    ids = [None] * 400 + [7] * 400 + list(range(3000))
+    docs = spark.createDataFrame([(i, "x" * rng.randint(0, 900)) for i in ids], "doc_id long, text string")
+    folder = shared_path(spark, "again")
+    found = []
+    for n in (4, 5, 5):
+        rows = sharding.sharded(docs, n, 512, folder).collect()
+        places = {}
+        for r in rows:
+            places.setdefault(r.shard, []).append(r.slot)
+        assert len(rows) == len(ids) and set(places) == set(range(n)) and all(sorted(x) == list(range(len(x))) for x in places.values())
+        assert len({(r.virtual_slot, r.shard) for r in rows}) == len({r.virtual_slot for r in rows})
+        found.append({r.virtual_slot: r.shard for r in rows})
+    assert sharding.SlotMap.newest(spark, folder).version == 3 and found[1] == found[2]
+    moved = [k for k in found[0] if found[0][k] != found[1][k]]
+    assert 0 < len(moved) < 0.3 * len(found[0]) and all(found[1][k] == 4 for k in moved)
+    assert sharding.resharded(docs, 3, 5, 512).select("shard").distinct().count() == 5
 
 
 CHAT = st.text("ab\\|<>-n\nim_end é", max_size=30)

@@ -305,7 +305,7 @@ def test_decontamination(spark, hard, empty):
     exact = {k for k, m in want.items() if m == len(tokens(items[k[1]][1]))}
     assert all(want.get(k) == m for k, m in got.items()) and exact <= set(got)
     assert len(got) >= 0.95 * len(want)  # seeds tolerate substitutions, but a scattered few can hide an overlap
-    assert decontamination.clean(df, bench).filter(F.col("doc_id").isin([k[0] for k in got])).count() == 0
+    assert decontamination.clean(df, bench).filter(F.col("doc_id").isin([d for d, i in got if len(tokens(items[i][1])) >= decontamination.LEAST_ITEM])).count() == 0
     assert decontamination.clean(hard, bench).columns == hard.columns
     assert decontamination.overlaps(hard, bench).count() == 0 and decontamination.overlaps(empty, bench).count() == 0 and decontamination.overlaps(df, bench.limit(0)).count() == 0
 
@@ -314,10 +314,32 @@ def test_a_benchmark_in_blocks(spark, monkeypatch):
     items = [(i, " ".join(f"q{i}x{k}" for k in range(20))) for i in range(12)]
     docs = spark.createDataFrame([(i, "before " + t + " after") for i, t in items], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontamination, "BLOCK_HASHES", 100)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 4_000)
+    parts = decontamination.blocks_of(*decontamination._items(bench, decontamination.MASKS, decontamination.OVERLAP, 1))
+    keys = [({r[0] for r in own.select("_tm_key").collect()}, {r[0] for r in seeded.select("_tm_key").distinct().collect()}) for own, seeded in parts]
+    assert len(parts) > 3 and all(a == b for a, b in keys) and sum(len(a) for a, _ in keys) == 12
     assert sorted((r.doc_id, r.item_id, r.start) for r in decontamination.overlaps(docs, bench).collect()) == [(i, i, 1) for i in range(12)]
 
 
+def test_places_are_verified_once_and_short_items_bring_none_of_others(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(40)]
+    long = " ".join(rng.choice(words) for _ in range(200))
+    docs = spark.createDataFrame([(d, " ".join(rng.choice(words) for _ in range(300)) + " " + long) for d in range(20)], "doc_id long, text string")
+
+    def verified(items):
+        items, serves = decontamination._items(spark.createDataFrame(items, "item_id long, text string"), decontamination.MASKS, decontamination.OVERLAP, 1)
+        ((own, seeded),) = decontamination.blocks_of(items, serves)
+        found = decontamination.places(docs, seeded, list(serves)).join(own, "_tm_key")
+        assert found.count() == found.select("doc_id", "item_id", "_tm_start").distinct().count()
+        return Counter(r.item_id for r in found.collect())
+
+    alone, both = verified([(0, long)]), verified([(0, long), (1, "w7")])
+    assert both[0] == alone[0] and both[1] > 0
+    item = spark.createDataFrame([(1, "w7")], "item_id long, text string")
+    assert decontamination.overlaps(docs, item).count() == 20 and decontamination.clean(docs, item).count() == 20
+
+
 def test_clean_drops_parts_of_items(spark):
     item, own = [f"q{k}" for k in range(59)], [f"o{k}" for k in range(60)]
     texts = [own, own + item[:45] + own, own + item[:30] + ["more"] + item[30:] + own, own + item[:30] + item[31:], own + item[:12] + own, own + item[20:29] + ["x"] + item[30:38]]

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import packing, token_files
 from tidemark.llm.common import shared_path
@@ -46,9 +47,9 @@ def test_hard_texts(words, library):
 
 
 def test_files_round_trip(hard, tokenizer, library):
-    rows = hard.select("doc_id", "text").collect()
+    rows = hard.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
     got = token_files.round_trip(hard, tokenizer, 2).collect()
-    want = sorted(((r.doc_id is not None, r.doc_id, r.text is not None, r.text or "") for r in rows), key=lambda x: (x[0], x[1] or 0, x[2], x[3]))
+    want = sorted(((r.doc_id is not None, r.doc_id, r.h, r.text or "") for r in rows), key=lambda x: (x[0], x[1] or 0, x[2], x[3]))
     got.sort(key=lambda r: r.start)
     start = 0
     for g, (_, doc_id, _, text) in zip(got, want, strict=True):
@@ -94,6 +95,19 @@ def test_packing(hard, tokenizer, library, capacity):
     assert len(loads) < 2 or loads[0] + loads[1] > capacity  # no two sequences would fit in one
 
 
+def test_bins_handed_up(spark, tokenizer):
+    """A bound on what a node hands up costs next to nothing: 8 bins of a node, or all."""
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, "a " * int(n)) for i, n in enumerate(rng.integers(1, 90, 1200))], "doc_id long, text string").repartition(40)
+    counts = []
+    for forward in (None, 8):
+        got = packing.packed(docs, tokenizer, 128, 1, forward=forward).collect()
+        assert len({r.doc_id for r in got}) == 1200
+        counts.append(len({r.sequence_id for r in got}))
+    least = -(-sum(r.length for r in got) // 128)
+    assert least <= counts[0] <= counts[1] <= 1.01 * counts[0] + 1 and counts[0] < 1.06 * least
+
+
 @settings(max_examples=100, deadline=None)
 @given(lengths=st.lists(st.integers(1, 50), max_size=80))
 def test_best_fit(lengths):

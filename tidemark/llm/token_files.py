@@ -7,8 +7,8 @@ at (i % BATCH_SEQS) * SEQ_LEN. Beside it lies a file of the documents (doc_id, s
 n_tokens). Shards follow ascending doc_id; a manifest lists the files of the tasks that succeeded, so a
 task that ran twice or was lost leaves nothing that is read.
 
-Defined results: a null or empty text is its end id alone; equal doc_ids keep one entry each, ordered by
-text; an empty table gives no shards and no rows; null doc_ids come first; other columns are not read.
+Defined results: a null or empty text is its end id alone; a very long one is whole, over as many sequences as it
+needs; equal doc_ids keep one entry each, ordered by a hash of the text and the text; an empty table gives no shards and no rows; null doc_ids come first; other columns are not read.
 """
 
 from __future__ import annotations
@@ -138,8 +138,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, seq_le
                 s.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "tokens_path": [paths[0]], "docs_path": [paths[1]], "n_docs": [n_docs], "n_tokens": [start]})
 
-    # ranges of doc_id, so that no task holds more than its share; the text breaks ties
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # ranges of doc_id, and of equal or null ones of the text's hash, so that no task holds more than its share
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return written(dealt.mapInArrow(shard, _MANIFEST), "manifest")
 
 
