@@ -41,9 +41,13 @@ def test_quality_rules_against_brute_force(spark, hard):
         assert not (r.q_base_failed and r.q_kept)
 
 
+#: Common words of the made-up prose below, in falling order.
+COMMON = {"de": "der die und in den von zu das mit sich", "en": "the of and to a in is that it for", "es": "de la que el en y los se las del", "fr": "de la le et les des en un du une"}
+
+
 def prose(rng, lang, n):
-    common = list(quality_rules.WORD_SHARES[lang])
-    shares = list(quality_rules.WORD_SHARES[lang].values())
+    common = COMMON[lang].split()
+    shares = [1 / k for k in range(1, 11)]
     out = []
     for i in range(n):
         w = rng.choices(common, shares)[0] if rng.random() < 0.2 else "".join(rng.choice("aeinorstlhd") for _ in range(rng.randint(4, 8)))
@@ -51,13 +55,87 @@ def prose(rng, lang, n):
     return " ".join(out)
 
 
+def test_references_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(i, prose(rng, lang, 20 + i % 40), lang) for i, lang in enumerate(["de", "en"] * 30 + ["fr"] * 19)] + [(500, "short one", "en"), (501, None, "en"), (502, prose(rng, "es", 30), None)]
+    refs = quality_rules.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(refs.classes) == {"de", "en"}  # too few of fr
+    for lang in refs.classes:
+        texts = [t for _, t, k in rows if k == lang and t and len(t.split()) >= 20]
+        words = Counter(w.lower() for t in texts for w in t.split())
+        total = sum(words.values())
+        only = [(w, n) for w, n in words.items() if w.isalpha()]
+        assert list(refs.words[lang]) == [(w, n / total) for w, n in sorted(only, key=lambda x: (-x[1], x[0]))[:10]]
+        middle = []
+        for kind in (str.islower, str.isupper, str.isdigit, str.isspace, lambda c: c in "#*$%&|<>", lambda c: c == ".", lambda c: ord(c) > 127):
+            shares = sorted(int(1000 * sum(map(kind, t)) / len(t) + 1e-9) for t in texts)
+            middle.append(shares[(len(shares) - 1) // 2])
+        assert refs.classes[lang] == pytest.approx([m / sum(middle) for m in middle])
+
+
+def distance(p, q):
+    """Jensen-Shannon distance, base 2, by its definition."""
+    def kl(a, b):
+        return sum(x * np.log2(x / y) for x, y in zip(a, b) if x > 0)
+
+    mid = [(x + y) / 2 for x, y in zip(p, q)]
+    return np.sqrt(max(0, (kl(p, mid) + kl(q, mid)) / 2))
+
+
+def test_distances_against_brute_force(spark):
+    rng = random.Random(22)
+    refs = quality_rules.References({"a": (0.7, 0.05, 0.0, 0.2, 0.0, 0.05, 0.0), "b": (0.5, 0.1, 0.1, 0.1, 0.1, 0.1, 0.1)}, {"a": (("the", 0.1), ("of", 0.05)), "b": (("der", 0.2),)})
+    texts = [" ".join(rng.choice(["the", "Of", "DER", "der", "xyz", "4#", "é.", "Qq"]) for _ in range(rng.randint(1, 90))) for _ in range(80)]
+    got = quality_rules.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), references=refs).orderBy("doc_id").collect()
+    for t, r in zip(texts, got):
+        words = [w.lower() for w in t.split()]
+        kinds = [lambda c: "a" <= c <= "z", lambda c: "A" <= c <= "Z", lambda c: "0" <= c <= "9", str.isspace, lambda c: c in "#*$%&|<>", lambda c: c == ".", lambda c: ord(c) > 127]
+        p = [sum(map(k, t)) / len(t) for k in kinds]
+        by_class = min(distance(p, q) for q in refs.classes.values())
+        by_word = []
+        for x in refs.words.values():
+            own = [words.count(w) / len(words) for w, _ in x]
+            by_word.append((distance([*own, 1 - sum(own)], [*(s for _, s in x), 1 - sum(s for _, s in x)]), sum(own) / sum(s for _, s in x)))
+        assert r.class_distance == pytest.approx(by_class) and r.word_distance == pytest.approx(min(by_word)[0])
+        n = len(words)
+        far = p[6] <= 0.2 and by_class > 0.14 + 0.47 / n**0.5 or n >= 50 and min(by_word)[1] >= 0.25 and min(by_word)[0] > 0.2 + 1.35 / n**0.5
+        assert r.kept == (not r.base_failed and not far)
+
+
+#: Plain prose, written for this test.
+PROSE = {
+    "en": "The house at the end of the lane had been empty since the spring, and nobody in the village could say with certainty who held the key. In the evenings the children dared each other to climb the wall, to look through the dusty windows and to run back before the dog of the neighbour heard them. It was said that a captain had lived there, that he had brought strange birds from the south, and that one of them still sang in the garden when it was about to rain.",
+    "de": "Das Haus am Ende der Gasse stand seit dem Frühling leer, und niemand im Dorf konnte mit Sicherheit sagen, wer den Schlüssel hatte. Am Abend forderten sich die Kinder heraus, über die Mauer zu klettern, durch die staubigen Fenster zu sehen und zurück zu laufen, bevor der Hund des Nachbarn sie hörte. Man erzählte sich, dass ein Kapitän dort gewohnt und seltsame Vögel aus dem Süden mitgebracht hatte und dass einer von ihnen noch immer in dem Garten sang, wenn es zu regnen begann.",
+    "fr": "La maison au bout de la ruelle était vide depuis le printemps, et personne dans le village ne pouvait dire avec certitude qui en avait la clé. Le soir, les enfants se mettaient au défi de grimper sur le mur, de regarder par les fenêtres poussiéreuses et de revenir en courant avant que le chien du voisin ne les entende. On disait qu'un capitaine y avait vécu, qu'il avait ramené des oiseaux étranges du sud, et que l'un d'eux chantait encore dans le jardin quand la pluie allait tomber.",
+    "es": "La casa al final de la calle estaba vacía desde la primavera, y nadie en el pueblo podía decir con certeza quién tenía la llave. Por las tardes los niños se retaban a trepar el muro, a mirar por las ventanas llenas de polvo y a volver corriendo antes de que el perro del vecino los oyera. Se decía que un capitán había vivido allí, que había traído pájaros extraños del sur y que uno de ellos cantaba todavía en el jardín cuando iba a llover.",
+    "it": "La casa in fondo al vicolo era vuota dalla primavera, e nessuno nel paese poteva dire con certezza chi avesse la chiave. La sera i bambini si sfidavano ad arrampicarsi sul muro, a guardare dalle finestre piene di polvere e a tornare di corsa prima che il cane del vicino li sentisse. Si diceva che un capitano ci avesse vissuto, che avesse portato strani uccelli dal sud e che uno di loro cantasse ancora nel giardino quando stava per piovere.",
+    "ru": "Дом в конце переулка стоял пустым с самой весны, и никто в деревне не мог сказать наверняка, у кого хранится ключ. По вечерам дети подбивали друг друга залезть на стену, заглянуть в пыльные окна и убежать назад, пока их не услышала собака соседа. Говорили, что там жил капитан, что он привёз с юга странных птиц и что одна из них всё ещё поёт в саду, когда собирается дождь.",
+    "notes": "Build notes, version 2.4 (March 2021). Install the tool with one command and run it in the folder of your project; the first run takes about 30 seconds. Options: -v prints more, -q prints less, --out FILE writes the report to a file. If a test fails, the tool stops and shows the line where it went wrong. Please report bugs by mail, and add the output of the last run. This software is free: you may copy it, change it and pass it on, as long as this notice stays in place.",
+}
+
+
+def test_plain_prose_is_kept(spark):
+    """By references of the corpus: prose of its languages, of a language and a script without a reference, and a technical text; not junk of the same words."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no tables")
+    refs = quality_rules.learned(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert set(refs.classes) == {"de", "en", "es", "fr"}
+    junk = {"symbols": "$$$ ".join(PROSE["en"].split()), "bars": " | ".join(PROSE["de"].split()), "digits": " 8 ".join(PROSE["fr"].split()), "capitals": PROSE["en"].upper(), "stuffed": " ".join(f"{w} the the" for w in PROSE["en"].split())}
+    texts = [*PROSE.values(), *junk.values()]
+    got = quality_rules.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), references=refs).orderBy("doc_id").collect()
+    assert {k: r.kept for k, r in zip([*PROSE, *junk], got)} == {**dict.fromkeys(PROSE, True), **dict.fromkeys(junk, False)}
+
+
 def test_divergence_keeps_prose_and_rejects_junk(spark):
     rng = random.Random(2)
+    refs = quality_rules.learned(spark.createDataFrame([(i, prose(rng, "en", 200), "en") for i in range(30)], "doc_id long, text string, lang string"))
     clean = [prose(rng, "en", n) for n in (30, 80, 150, 600)]
     junk = ["$$$ ".join(prose(rng, "en", 300).split()), prose(rng, "en", 300).upper() + "!!", " ".join("| " + "".join(rng.choice("aeinorst") for _ in range(7)) for _ in range(300))]
     df = spark.createDataFrame(list(enumerate(clean + junk)), "doc_id long, text string")
-    assert [r.kept for r in quality_rules.judged(df).orderBy("doc_id").collect()] == [True] * 4 + [False] * 3
-    assert quality_rules.kept(df).columns == ["doc_id", "text"]
+    assert [r.kept for r in quality_rules.judged(df, references=refs).orderBy("doc_id").collect()] == [True] * 4 + [False] * 3
+    assert quality_rules.kept(df, refs).columns == ["doc_id", "text"] and quality_rules.kept(df).count() == 7
 
 
 def test_quality_rules_without_rows(empty):
