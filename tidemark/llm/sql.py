@@ -50,10 +50,10 @@ by_class AS (SELECT doc_id, min(d) AS d FROM (SELECT doc_id, shares.lang, sqrt(g
     FROM (SELECT doc_id, i, n / chars::DOUBLE AS p FROM c WHERE n_words > 0) JOIN shares USING (i) GROUP BY ALL) GROUP BY doc_id),
 own AS (SELECT doc_id, common.lang, word, q, n_words, len(list_filter(ws, lambda x: lower(x) = word)) AS k FROM m, common WHERE n_words > 0),
 per AS (SELECT doc_id, lang, k / n_words::DOUBLE AS p, q FROM own UNION ALL SELECT doc_id, lang, (any_value(n_words) - sum(k)) / any_value(n_words)::DOUBLE, 1 - sum(q) FROM own GROUP BY ALL),
-by_word AS (SELECT doc_id, min(d) AS d, arg_min(known, (d, known)) AS known FROM (
-    SELECT doc_id, lang, d, known FROM (SELECT doc_id, lang, sqrt(greatest(sum({js}) / 2, 0)) AS d FROM per GROUP BY ALL) JOIN (SELECT doc_id, lang, sum(k) / any_value(n_words)::DOUBLE / sum(q) AS known FROM own GROUP BY ALL) USING (doc_id, lang)) GROUP BY doc_id),
+by_word AS (SELECT doc_id, min(d) AS d FROM (
+    SELECT doc_id, lang, d, known FROM (SELECT doc_id, lang, sqrt(greatest(sum({js}) / 2, 0)) AS d FROM per GROUP BY ALL) JOIN (SELECT doc_id, lang, sum(k) / any_value(n_words)::DOUBLE / sum(q) AS known FROM own GROUP BY ALL) USING (doc_id, lang)) WHERE known >= {r.KNOWN} GROUP BY doc_id),
 v AS (SELECT j.*, n_words < {r.MIN_WORDS} OR 100 * n_repeat_words > {r.MAX_REPEATED_PERCENT} * n_words AS base_failed,
-    coalesce(c_high <= {r.SCRIPT} * chars AND by_class.d > {r.CLASS_LIMIT[0]} + {r.CLASS_LIMIT[1]} / sqrt(n_words), false) OR coalesce(n_words >= {r.WORD_WORDS} AND known >= {r.KNOWN} AND by_word.d > {r.WORD_LIMIT[0]} + {r.WORD_LIMIT[1]} / sqrt(n_words), false) AS far
+    coalesce(c_high <= {r.SCRIPT} * chars AND by_class.d > {r.CLASS_LIMIT[0]} + {r.CLASS_LIMIT[1]} / sqrt(n_words), false) OR coalesce(n_words >= {r.WORD_WORDS} AND by_word.d > {r.WORD_LIMIT[0]} + {r.WORD_LIMIT[1]} / sqrt(n_words), false) AS far
     FROM j LEFT JOIN by_class USING (doc_id) LEFT JOIN by_word USING (doc_id))
 SELECT doc_id, n_words, word_chars, c_symbol::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM v
 """
