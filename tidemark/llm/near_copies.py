@@ -1,16 +1,17 @@
 """Near-duplicates by SimHash, verified by the Jaccard similarity of word shingles, and completed to be exact.
 
 A text is the set of its 5-word shingles' hashes; equal sets are one node. The SimHash operator gives candidates: equal
-fingerprints, and links found by its generalised pigeonhole probes. Candidates are verified on whole texts, few at a time:
-in each round, of every component found so far, the candidate that looks nearest and the one that leads to the least
-other component. So large groups of copies are linked by about as many pairs as they have members.
-
-Sets of similarity `SIMILAR` can differ in more bits than any probing radius reaches (at 0.8 about 10 of 64), so SimHash alone
-would lose links. What it leaves in different components is searched by a prefix filter, which is exact: in one order of
-all hashes, two similar sets share one of the first n - ceil(SIMILAR * n) + 1 of each. Rows of equal prefix hashes meet;
-sizes, positions, a sketch of 1024 bits and at last the whole texts decide. Hashes that a sample of texts shows often come
-last in the order, so common passages make no crowds; any sample is right. Crowds around a hash that the sample shows too
-often are dealt in blocks, in which only rows outside the crowd's largest component are probes.
+fingerprints, and links found by its generalised pigeonhole probes. Sets of similarity `SIMILAR` can differ in more bits than
+any probing radius reaches (at 0.8 about 10 of 64), so SimHash alone would lose links, and a prefix filter, which is exact,
+completes it: in one order of all hashes, two similar sets share one of the first n - ceil(SIMILAR * n) + 1 of each. Rows of
+equal prefix hashes are a crowd; sizes, positions, a sketch of 1024 bits and at last the whole texts decide on its pairs.
+Hashes that a sample of texts shows often come last in the order, so common passages make no crowds; any sample is right.
+
+Large groups of copies must not cost a square. So first come SimHash's candidates and, of each crowd, the pairs of a row with
+the one before it and with the first; they are verified few at a time, in each round of every component found so
+far the candidate that looks nearest and the one that leads to the least other component. Only rows that are still in
+different components then all meet in their crowds. A crowd around a hash that the sample shows too often is dealt
+in blocks, in which only rows outside the crowd's largest component are probes.
 
 Defined results: texts without words are equal; a text of fewer words than a shingle is one shingle; repeated
 rows and null doc_ids are treated as in simhash; an empty table gives no rows; other columns are not read.
@@ -26,17 +27,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import P, checked, discard, written
 from .graph import components, joined, with_group
-from .simhash import DISTANCE, hex_of, links, majority, one_of_each, plan_for, shingle_hashes
+from .simhash import hex_of, majority, one_of_each, shingle_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Texts that hashes are counted in, at most about; the counts below which a hash is rare; hashes broadcast.
 SAMPLE, OFTEN, MOST_OFTEN = 30_000, 5, 100_000
 #: Rows of a crowd that are dealt to one task, as the sample estimates them.
 BLOCK = 8_192
-#: Rounds in which each component's best candidates are verified, before all that are left.
-ROUNDS = 4
+#: Rounds in which each component's best candidates are verified.
+ROUNDS = 2
+#: Orders that rows of a crowd may have when they first meet.
+ORDERS = 8
 #: Pairs compared in one go.
 CELLS = 1 << 20
 #: Bits that a set's hashes are folded to; a power of 2.
@@ -129,7 +133,7 @@ def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[np.ndarray]
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        columns = [sketches(c) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if kept is not None:
             columns = [np.concatenate(x) for x in zip(kept, columns)]
         new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:n]], axis=0)) + 1
@@ -141,11 +145,6 @@ def runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[np.ndarray]
         yield kept
 
 
-def pairs_out(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    uv = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-    return pa.record_batch([pa.array(np.ascontiguousarray(uv[:, k])) for k in range(2)], names=["u", "v"])
-
-
 def simhash_candidates(nodes: DataFrame) -> DataFrame:
     """Pairs u < v of sets with one fingerprint, or with fingerprints that the pigeonhole probes find."""
     key, fp, head = f"{P}key", f"{P}fp", f"{P}head"
@@ -155,78 +154,161 @@ def simhash_candidates(nodes: DataFrame) -> DataFrame:
     equal = with_group(nodes.select(key, fp), fp, n, **{head: F.min(key)}).filter(F.col(key) != F.col(head)).select(F.col(head).alias("u"), F.col(key).alias("v"))
     if distinct < 2:
         return equal
-    found = written(links(heads, plan_for(heads, distinct, DISTANCE), forest=False).distinct(), "near")
+    found = written(simhash.links(heads, simhash.plan_for(heads, distinct), forest=False).distinct(), "near")
     a, b = (heads.select(F.col(fp).alias(c), F.col(head).alias(f"{P}{c}")) for c in "uv")
     near = found.join(a, "u").join(b, "v").select(F.least(f"{P}u", f"{P}v").alias("u"), F.greatest(f"{P}u", f"{P}v").alias("v")).distinct()
     return equal.unionByName(near)
 
 
-def prefix_candidates(nodes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
-    """Pairs u < v in different components that share a prefix hash and, by sizes and positions, can be similar."""
-    names = ["h", "size", "at", "key", "root"]
+def apart(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of sizes a and b with sketches x and y: the share of hashes in which they differ at least, and whether they can be similar."""
+    bits = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    both = a.astype(np.int64) + b
+    return (bits / np.maximum(1, both)).astype(np.float32), (both - bits) / 2 >= similar / (1 + similar) * both - 1e-9
+
+
+def sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+class Pairs:
+    """Pairs of rows that can be similar, each once, as record batches u, v, apart."""
+
+    def __init__(self, similar: float):
+        self.similar, self.held, self.n = similar, [], 0
+
+    def add(self, key, size, sketch, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for c in range(0, len(i), CELLS // 16):
+            x, y = i[c:c + CELLS // 16], j[c:c + CELLS // 16]
+            far, good = apart(size[x], sketch[x], size[y], sketch[y], self.similar)
+            x, y = key[x[good]], key[y[good]]
+            self.held.append((np.minimum(x, y), np.maximum(x, y), far[good]))
+            self.n += len(x)
+            if self.n >= CELLS // 16:
+                yield self.batch()
+
+    def batch(self) -> pa.RecordBatch:
+        u, v, far = (np.concatenate(x) for x in zip(*self.held)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        self.held, self.n = [], 0
+        _, first = np.unique(np.stack([u, v], axis=1), axis=0, return_index=True)
+        return pa.record_batch([pa.array(u[first]), pa.array(v[first]), pa.array(far[first])], names=["u", "v", "apart"])
+
+
+_PAIRS = "u long, v long, apart float"
+
+
+def once(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("u", "v").agg(F.min("apart").alias("apart"))
 
-    def compared(s, p, k, r, probe) -> Iterator[pa.RecordBatch]:
+
+def crowds(nodes: DataFrame) -> DataFrame:
+    """Rows h, key, size, at, n (blocks) of prefix hashes that several sets have: few, as most shingles are one text's. A written table."""
+    names = [f"{P}{c}" for c in ("h", "key", "size", "at")]
+
+    def run(batches):
+        # rows arrive sorted by hash; one that is alone so far waits for the next
+        last, waits = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            h = columns[0]
+            before = np.concatenate([[last is not None and last == h[0]], h[1:] == h[:-1]])
+            keep = before.copy()
+            keep[:-1] |= h[1:] == h[:-1]
+            if waits is not None and before[0]:
+                yield waits
+            alone = not keep[-1]
+            last, waits = h[-1], pa.record_batch([c[-1:] for c in batch.columns], names=names) if alone else None
+            if keep.any():
+                yield pa.record_batch([pa.array(c[keep]) for c in columns], names=names)
+
+    entries = nodes.select(f"{P}key", f"{P}size", f"{P}blocks", F.posexplode(f"{P}prefix").alias(f"{P}at", f"{P}h")).withColumn(f"{P}n", F.get(f"{P}blocks", F.col(f"{P}at")))
+    rare = entries.filter(F.col(f"{P}n") == 0).select(*names).repartition(f"{P}h").sortWithinPartitions(f"{P}h").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(names, ("long", "long", "int", "int"))))
+    return written(rare.withColumn(f"{P}n", F.lit(0)).unionByName(entries.filter(F.col(f"{P}n") > 0).select(*names, f"{P}n")), "crowds")
+
+
+def with_sketch(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    return rows.join(nodes.select(f"{P}key", f"{P}bits"), f"{P}key")
+
+
+def first_pairs(entries: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
+    """Candidates: each row with the one before it and the first of its crowd, or of its block of the crowd."""
+    names = [f"{P}{c}" for c in ("h", "own", "size", "at", "key", "bits")]
+
+    def meet(batches):
+        out, first, last = Pairs(similar), None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, own, size, at, key = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
+            sketch = sketches(batch.column(5))
+            # the first of the crowd that goes on, and its last row, stand before the batch's rows
+            kept = [x for x in (first, last) if x is not None]
+            h, own, size, at, key, sketch = (np.concatenate([*(k[c] for k in kept), x]) for c, x in enumerate((h, own, size, at, key, sketch)))
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            i = np.flatnonzero(~new)
+            i = i[i >= len(kept)]
+            i, j = np.concatenate([i, i]), np.concatenate([i - 1, start[i]])
+            good = (key[i] != key[j]) & may_reach(size[i], at[i], size[j], at[j], similar)
+            yield from out.add(key, size, sketch, i[good], j[good])
+            first, last = ([x[k:k + 1] for x in (h, own, size, at, key, sketch)] for k in (int(start[-1]), len(h) - 1))
+        yield out.batch()
+
+    own = F.when(F.col(f"{P}n") > 0, F.pmod(F.xxhash64(f"{P}key"), F.greatest(f"{P}n", F.lit(1)))).otherwise(F.lit(0)).cast("int").alias(f"{P}own")
+    rows = with_sketch(entries.select(f"{P}h", own, f"{P}size", f"{P}at", f"{P}key"), nodes).select(*names)
+    return rows.repartition(f"{P}h", f"{P}own").sortWithinPartitions(f"{P}h", f"{P}own", F.xxhash64(F.pmod(f"{P}h", F.lit(ORDERS)), f"{P}key")).mapInArrow(meet, _PAIRS)
+
+
+def other_pairs(entries: DataFrame, nodes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
+    """Candidates: all rows of a crowd that are in different components."""
+    names = [f"{P}{c}" for c in ("h", "block", "size", "at", "key", "root", "probe", "bits")]
+
+    def compared(s, p, k, r, probe, sketch, out) -> Iterator[pa.RecordBatch]:
         """Rows of one crowd, sorted by size; pairs of which one is a probe at least."""
         step = max(1, CELLS // len(s))
         for c in range(0, len(s), step):
             # partners come later, and are at most so much larger
             last = int(np.searchsorted(s, s[min(c + step, len(s)) - 1] / similar + 1e-9, "right"))
             x, y = slice(c, c + step), slice(c, last)
-            good = may_reach(s[x, None], p[x, None], s[None, y], p[None, y], similar) & (r[x, None] != r[None, y])
-            if probe is not None:
-                good &= probe[x, None] | probe[None, y]
+            good = may_reach(s[x, None], p[x, None], s[None, y], p[None, y], similar) & (r[x, None] != r[None, y]) & (probe[x, None] | probe[None, y])
             i, j = np.nonzero(good)
-            if len(i):
-                yield pairs_out(k[x][i], k[y][j])
+            yield from out.add(k, s, sketch, i + c, j + c)
 
     def meet(batches):
-        for h, size, at, key, root in runs(batches, 1):
-            edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-            mixed = np.flatnonzero((h[1:] == h[:-1]) & (root[1:] != root[:-1]))
-            for g in np.unique(np.searchsorted(edges, mixed, "right") - 1).tolist():
-                x = slice(edges[g], edges[g + 1])
-                yield from compared(size[x], at[x], key[x], root[x], None)
-
-    def meet_blocks(batches):
-        for h, block, size, at, key, root, probe in runs(batches, 2):
+        out = Pairs(similar)
+        for h, block, size, at, key, root, probe, sketch in runs(batches, 2):
             edges = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (block[1:] != block[:-1]), [True]]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 x = slice(a, b)
-                if probe[x].any():
-                    yield from compared(size[x], at[x], key[x], root[x], probe[x].astype(bool))
-
-    cols = [f"{P}{c}" for c in names]
-    placed = nodes.join(roots.select(F.col("u").alias(f"{P}key"), F.col("v").alias(f"{P}root")), f"{P}key", "left").withColumn(f"{P}root", F.coalesce(f"{P}root", f"{P}key"))
-    entries = placed.select(f"{P}key", f"{P}root", f"{P}size", f"{P}blocks", F.posexplode(f"{P}prefix").alias(f"{P}at", f"{P}h")).withColumn(f"{P}n", F.get(f"{P}blocks", F.col(f"{P}at")))
-    plain = entries.filter(F.col(f"{P}n") == 0).select(*cols).repartition(f"{P}h").sortWithinPartitions(f"{P}h", f"{P}size", f"{P}key").mapInArrow(meet, "u long, v long")
-    crowded = written(entries.filter(F.col(f"{P}n") > 0).select(*cols, f"{P}n"), "crowds")
-    total = crowded.count()
-    if not total:
-        return plain.distinct()
-    # of each crowd the component with most rows: its rows are in one block each, and all others are in every block
-    each = crowded.groupBy(f"{P}h", f"{P}root").agg(F.count(F.lit(1)).alias(f"{P}rows")).groupBy(f"{P}h").agg(F.max_by(f"{P}root", F.struct(f"{P}rows", f"{P}root")).alias(f"{P}main"))
-    main = checked(written(each, "crowd-roots"))
-    probe = F.col(f"{P}root") != F.col(f"{P}main")
-    own = F.pmod(F.xxhash64(f"{P}key"), F.col(f"{P}n")).cast("int")
-    blocks = F.when(probe, F.sequence(F.lit(0), F.col(f"{P}n") - 1)).otherwise(F.array(own))
-    dealt = crowded.join(main, f"{P}h").select(f"{P}h", F.explode(blocks).alias(f"{P}block"), f"{P}size", f"{P}at", f"{P}key", f"{P}root", probe.cast("int").alias(f"{P}probe"))
-    wide = dealt.repartition(f"{P}h", f"{P}block").sortWithinPartitions(f"{P}h", f"{P}block", f"{P}size", f"{P}key").mapInArrow(meet_blocks, "u long, v long")
-    return plain.unionByName(wide).distinct()
+                if b - a > 1 and probe[x].any():
+                    yield from compared(size[x], at[x], key[x], root[x], probe[x].astype(bool), sketch[x], out)
+        yield out.batch()
+
+    placed = entries.join(roots.select(F.col("u").alias(f"{P}key"), F.col("v").alias(f"{P}root")), f"{P}key", "left").withColumn(f"{P}root", F.coalesce(f"{P}root", f"{P}key"))
+    placed = written(placed, "crowds")
+    each = placed.groupBy(f"{P}h", f"{P}root").agg(F.count(F.lit(1)).alias(f"{P}rows")).groupBy(f"{P}h")
+    # crowds with several components, and the largest of each
+    main = written(each.agg(F.count(F.lit(1)).alias(f"{P}roots"), F.sum(f"{P}rows").alias(f"{P}rows"), F.max_by(f"{P}root", F.struct(f"{P}rows", f"{P}root")).alias(f"{P}main")).filter(F.col(f"{P}roots") > 1), "mixed")
+    mixed = joined(placed, main, f"{P}h", f"{P}rows", placed.count())
+    # in blocks: rows of the largest component are in one block each, and all others, the probes, in every block
+    probe = (F.col(f"{P}n") == 0) | (F.col(f"{P}root") != F.col(f"{P}main"))
+    block = F.when(F.col(f"{P}n") == 0, F.array(F.lit(0))).when(probe, F.sequence(F.lit(0), F.greatest(F.col(f"{P}n"), F.lit(1)) - 1)).otherwise(F.array(F.pmod(F.xxhash64(f"{P}key"), F.greatest(F.col(f"{P}n"), F.lit(1))).cast("int")))
+    dealt = with_sketch(mixed.select(f"{P}h", F.explode(block).alias(f"{P}block"), f"{P}size", f"{P}at", f"{P}key", f"{P}root", probe.cast("int").alias(f"{P}probe")), nodes).select(*names)
+    return dealt.repartition(f"{P}h", f"{P}block").sortWithinPartitions(f"{P}h", f"{P}block", f"{P}size", f"{P}key").mapInArrow(meet, _PAIRS)
 
 
 def close(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
-    """Pairs whose sketches don't rule similarity out, and `apart`, the share of hashes in which they differ at least."""
+    """Pairs u, v whose sketches don't rule similarity out, with `apart`."""
     def can_be(batches):
         for batch in batches:
-            a, b = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 4))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BITS // 8) for k in (3, 5))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            good = pa.array((a + b - apart) / 2 >= similar / (1 + similar) * (a + b) - 1e-9)
-            share = pa.array((apart / np.maximum(1, a + b)).astype(np.float32))
-            yield pa.record_batch([c.filter(good) for c in (*batch.columns[:2], share)], names=["u", "v", "apart"])
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+            far, good = apart(a, sketches(batch.column(3)), b, sketches(batch.column(5)), similar)
+            yield pa.record_batch([c.filter(pa.array(good)) for c in (*batch.columns[:2], pa.array(far))], names=["u", "v", "apart"])
 
     a, b = (nodes.select(F.col(f"{P}key").alias(c), F.col(f"{P}size").alias(f"{P}n{c}"), F.col(f"{P}bits").alias(f"{P}b{c}")) for c in "uv")
-    return pairs.join(a, "u").join(b, "v").select("u", "v", f"{P}nu", f"{P}bu", f"{P}nv", f"{P}bv").mapInArrow(can_be, "u long, v long, apart float")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", f"{P}nu", f"{P}bu", f"{P}nv", f"{P}bv").mapInArrow(can_be, _PAIRS)
 
 
 def texts_of(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -261,37 +343,26 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float) -
     return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", f"{P}u", f"{P}v").mapInArrow(check, "u long, v long")
 
 
-def linked(found: DataFrame, candidates: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """A written table: the links `found` and, of the candidates, as many that are similar as give the components of all of them."""
-    left = written(close(candidates, nodes, similar), "candidates")
-    if left.isEmpty():
-        discard(left)
-        return found
-    texts = texts_of(left, docs, nodes)
-    for k in range(ROUNDS + 1):
-        roots = components(found)
-        a, b = (roots.select(F.col("u").alias(c), F.col("v").alias(f"r{c}")) for c in "uv")
-        across = left.join(a, "u", "left").join(b, "v", "left").select("u", "v", "apart", F.coalesce("ru", "u").alias("ru"), F.coalesce("rv", "v").alias("rv")).filter("ru != rv")
-        now, old = written(across, "candidates"), left
-        discard(old)
-        if now.isEmpty():
-            discard(now)
-            break
-        if k < ROUNDS:
-            # of each component the nearest, and that to the least other one
-            sides = now.select("u", "v", "apart", F.inline(F.array(F.struct(F.col("ru").alias("own"), F.col("rv").alias("other")), F.struct(F.col("rv").alias("own"), F.col("ru").alias("other")))))
-            best = sides.groupBy("own").agg(F.min(F.struct("apart", "u", "v")).alias("a"), F.min(F.struct("other", "apart", "u", "v")).alias("b"))
-            chosen = written(best.select(F.inline(F.array(F.struct("a.u", "a.v"), F.struct("b.u", "b.v")))).distinct(), "chosen")
-            left = written(now.select("u", "v", "apart").join(chosen, ["u", "v"], "left_anti"), "candidates")
-            discard(now)
+def grown(candidates: DataFrame, texts: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """A written table: of the candidates u, v, apart some that are similar, chosen round by round from what each component has."""
+    found, left = None, candidates
+    for _ in range(ROUNDS):
+        if found is None:
+            now = left.select("u", "v", "apart", F.col("u").alias("ru"), F.col("v").alias("rv"))
         else:
-            chosen, left = now, now
-        new = written(verified(chosen, texts, shingle, similar), "verified")
-        last, found = found, written(found.unionByName(new), "links")
-        for x in (new, last, roots) + ((chosen,) if chosen is not left else ()):
-            discard(x)
-    discard(left)
-    discard(texts)
+            roots = components(found)
+            a, b = (roots.select(F.col("u").alias(c), F.col("v").alias(f"r{c}")) for c in "uv")
+            now = left.join(a, "u", "left").join(b, "v", "left").select("u", "v", "apart", F.coalesce("ru", "u").alias("ru"), F.coalesce("rv", "v").alias("rv")).filter("ru != rv")
+        # of each component the nearest, and that to the least other one
+        sides = now.select("u", "v", "apart", F.inline(F.array(F.struct(F.col("ru").alias("own"), F.col("rv").alias("other")), F.struct(F.col("rv").alias("own"), F.col("ru").alias("other")))))
+        best = sides.groupBy("own").agg(F.min(F.struct("apart", "u", "v")).alias("a"), F.min(F.struct("other", "apart", "u", "v")).alias("b"))
+        chosen = written(best.select(F.inline(F.array(F.struct("a.u", "a.v"), F.struct("b.u", "b.v")))).distinct(), "chosen")
+        new = verified(chosen, texts, shingle, similar)
+        last, found = found, written(new if found is None else found.unionByName(new), "links")
+        if last is not None:
+            discard(last)
+            discard(roots)
+        left = left.join(chosen, ["u", "v"], "left_anti")
     return found
 
 
@@ -306,9 +377,17 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR)
     placed = written(of_docs.select("doc_id", key), "keys")
     discard(of_docs)
     n = nodes.count()
-    none = written(docs.sparkSession.createDataFrame([], "u long, v long"), "links")
-    found = linked(none, simhash_candidates(nodes), docs, nodes, shingle, similar)
-    found = linked(found, prefix_candidates(nodes, components(found), similar), docs, nodes, shingle, similar)
+    rows_of = crowds(nodes)
+    pool = written(once(close(simhash_candidates(nodes), nodes, similar).unionByName(first_pairs(rows_of, nodes, similar))), "candidates")
+    texts = texts_of(pool, docs, nodes)
+    links = grown(pool, texts, shingle, similar)
+    more = written(once(other_pairs(rows_of, nodes, components(links), similar)), "candidates")
+    for x in (pool, texts, rows_of):
+        discard(x)
+    texts = texts_of(more, docs, nodes)
+    found = written(links.unionByName(verified(more, texts, shingle, similar)), "links")
+    for x in (more, texts, links):
+        discard(x)
     roots = components(found).select(F.col("u").alias(key), F.col("v").alias(root))
     named = nodes.select(key, one, rows).join(roots, key, "left").withColumn(root, F.coalesce(root, key))
     known = with_group(named, root, n, component_id=F.min(one)).select(key, "component_id", root, rows)

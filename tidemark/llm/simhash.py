@@ -245,6 +245,28 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links a-b some with the same components, as few as that takes."""
+    nodes, ab = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ab[:len(a)], ab[len(a):]
+    label, took = np.arange(len(nodes)), []
+    while True:
+        lx, ly = label[x], label[y]
+        low, high = np.minimum(lx, ly), np.maximum(lx, ly)
+        e = np.flatnonzero(low != high)
+        if not len(e):
+            break
+        # each higher label joins the least one that it is linked to: no circles, as labels only fall
+        e = e[np.lexsort((low[e], high[e]))]
+        e = e[np.concatenate([[True], high[e][1:] != high[e][:-1]])]
+        took.append(e)
+        label[high[e]] = low[e]
+        while (label[label] != label).any():
+            label = label[label]
+    at = np.concatenate([np.zeros(0, np.int64), *took])
+    return a[at], b[at]
+
+
 def links_within(index: np.ndarray, probes: np.ndarray, distance: int, forest: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links between index rows and probes, or (forest False) of each probe's links the nearest and the least;
     cells in strips, so memory is bounded."""
@@ -274,14 +296,15 @@ def links_within(index: np.ndarray, probes: np.ndarray, distance: int, forest: b
 def links(fps: DataFrame, plan: Plan, forest: bool = True) -> DataFrame:
     """Edges u, v whose components are those of all links within the distance; fps has distinct fingerprints.
 
-    forest False: edges that are links themselves, of each bucket's for a fingerprint the nearest and the least."""
+    forest False: edges that are links themselves, from each fingerprint's nearest and least in each bucket."""
     spark = fps.sparkSession
-    shared = spark.sparkContext.broadcast(plan)
+    # plain values: a broadcast's classes are looked up by name, and workers need not have this package
+    shared = spark.sparkContext.broadcast((plan.groups, plan.near, plan.distance))
     names = [f"{P}part", f"{P}value", f"{P}block", f"{P}kind", f"{P}fp"]
     keys = names[:3]
 
     def deal(batches):
-        plan = shared.value
+        plan = Plan(*shared.value)
         masks = [[sum(1 << k for k in c) for r in range(1, _MAX_T + 1) for c in combinations(range(len(g)), r)] for g in plan.groups]
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -348,8 +371,7 @@ def links(fps: DataFrame, plan: Plan, forest: bool = True) -> DataFrame:
                         vs.append(v)
             if us:
                 u, v = np.concatenate(us), np.concatenate(vs)
-                if forest:
-                    u, v = local_forest(u, v)
+                u, v = local_forest(u, v) if forest else spanning(u, v)
                 yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     plan_distance = plan.distance
