@@ -136,8 +136,8 @@ def placed(records: DataFrame, path: str) -> DataFrame:
     dealt = records.withColumn(run, F.pmod("text_crc32", F.lit(RUNS)).cast("int"))
     runs = dealt.groupBy(f"{P}slot", run).agg(F.count(F.lit(1)).alias(n))
     before = F.sum(n).over(Window.partitionBy(f"{P}slot").orderBy(run).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
-    # slots times runs, whatever the input
-    starts = F.broadcast(runs.withColumn(f"{P}before", before).drop(n))
+    # slots times runs, whatever the input; joined by the keys that the rows are numbered by
+    starts = runs.withColumn(f"{P}before", before).drop(n)
     within = Window.partitionBy(f"{P}slot", run).orderBy("doc_id", "text_crc32", "size")
     found = dealt.withColumn(n, F.row_number().over(within) - 1).join(starts, [f"{P}slot", run]).join(F.broadcast(records.sparkSession.read.parquet(path).drop(f"{P}rows")), f"{P}slot")
     return found.select("doc_id", "size", "text_crc32", F.col(f"{P}shard").alias("shard"), (F.col(f"{P}base") + F.col(f"{P}before") + F.col(n)).alias("slot"), F.col(f"{P}slot").alias("virtual_slot"))
