@@ -46,7 +46,7 @@ def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = table(spark, DATA, "documents")
     bench = table(spark, DATA, "benchmark")
-    kept = {r.doc_id for r in quality_rules.judged(docs.select("doc_id", "text")).filter("kept").collect()}
+    kept = {r.doc_id for r in quality_rules.judged(docs.select("doc_id", "text"), references=quality_rules.learned(docs)).filter("kept").collect()}
     found = docs
     left = []
     for name, stage in pipeline.STAGES[:-1]:
