@@ -43,9 +43,11 @@ def copies(rng):
     return [" ".join(x) for x in out]
 
 
-@pytest.mark.parametrize("often", [5, 2])
-def test_near_copies_against_all_pairs(spark, monkeypatch, often):
+@pytest.mark.parametrize("often, block", [(5, 8192), (2, 8192), (10**6, 3), (5, 2)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, often, block):
+    """With a sample that misses all hashes crowds are counted; small blocks deal most of them."""
     monkeypatch.setattr(near_copies, "OFTEN", often)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     texts = copies(random.Random(often))
     want = least_of_components(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -53,6 +55,13 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, often):
     assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(texts)
 
 
+def test_crowds_that_the_sample_missed_are_dealt_by_their_count(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    rows = [(k, 8, [7, 100 + k], [0, 0]) for k in range(11)] + [(k, 8, [9], [0]) for k in range(4)]
+    nodes = spark.createDataFrame(rows, "_tm_key long, _tm_size int, _tm_prefix array<long>, _tm_blocks array<int>")
+    assert {(r._tm_h, r._tm_n) for r in near_copies.crowds(nodes).collect()} == {(7, 3), (9, 0)}
+
+
 def test_the_stage_takes_a_near_copy_beyond_four_bits(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(3)

@@ -10,7 +10,7 @@ Hashes that a sample of texts shows often come last in the order, so common pass
 Large groups of copies must not cost a square. So first come SimHash's candidates and, of each crowd, the pairs of a row with
 the one before it and with the first; they are verified few at a time, in each round of every component found so
 far the candidate that looks nearest and the one that leads to the least other component. Only rows that are still in
-different components then all meet in their crowds. A crowd around a hash that the sample shows too often is dealt
+different components then all meet in their crowds. A crowd of more than `BLOCK` rows, by the sample's guess or by count, is dealt
 in blocks, in which only rows outside the crowd's largest component are probes.
 
 Defined results: texts without words are equal; a text of fewer words than a shingle is one shingle; repeated
@@ -35,7 +35,7 @@ from .simhash import hex_of, majority, one_of_each, shingle_hashes
 SHINGLE, SIMILAR = 5, 0.8
 #: Texts that hashes are counted in, at most about; the counts below which a hash is rare; hashes broadcast.
 SAMPLE, OFTEN, MOST_OFTEN = 30_000, 5, 100_000
-#: Rows of a crowd that are dealt to one task, as the sample estimates them.
+#: Rows of a crowd that are dealt to one task.
 BLOCK = 8_192
 #: Rounds in which each component's best candidates are verified.
 ROUNDS = 2
@@ -225,7 +225,16 @@ def crowds(nodes: DataFrame) -> DataFrame:
 
     entries = nodes.select(f"{P}key", f"{P}size", f"{P}blocks", F.posexplode(f"{P}prefix").alias(f"{P}at", f"{P}h")).withColumn(f"{P}n", F.get(f"{P}blocks", F.col(f"{P}at")))
     rare = entries.filter(F.col(f"{P}n") == 0).select(*names).repartition(f"{P}h").sortWithinPartitions(f"{P}h").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(names, ("long", "long", "int", "int"))))
-    return written(rare.withColumn(f"{P}n", F.lit(0)).unionByName(entries.filter(F.col(f"{P}n") > 0).select(*names, f"{P}n")), "crowds")
+    found = written(rare.withColumn(f"{P}n", F.lit(0)).unionByName(entries.filter(F.col(f"{P}n") > 0).select(*names, f"{P}n")), "crowds")
+    # the sample only guesses: crowds that are larger than their blocks are counted here, whatever the input's size
+    counted = found.groupBy(f"{P}h").agg(F.count(F.lit(1)).alias(f"{P}rows"), F.max(f"{P}n").alias(f"{P}guess")).filter(F.col(f"{P}rows") > BLOCK * F.greatest(f"{P}guess", F.lit(1)))
+    large = written(counted.select(f"{P}h", F.ceil(F.col(f"{P}rows") / BLOCK).cast("int").alias(f"{P}blocks")), "large")
+    if large.isEmpty():
+        return found
+    out = written(found.join(checked(large), f"{P}h", "left").select(*names, F.coalesce(f"{P}blocks", f"{P}n").alias(f"{P}n")), "crowds")
+    for x in (found, large):
+        discard(x)
+    return out
 
 
 def with_sketch(rows: DataFrame, nodes: DataFrame) -> DataFrame:
