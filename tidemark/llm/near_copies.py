@@ -11,7 +11,7 @@ Large groups of copies must not cost a square. So first come SimHash's candidate
 the one before it and with the first; they are verified few at a time, in each round of every component found so
 far the candidate that looks nearest and the one that leads to the least other component. Only rows that are still in
 different components then all meet in their crowds. A crowd of more than `BLOCK` rows, by the sample's guess or by count, is dealt
-in blocks, in which only rows outside the crowd's largest component are probes.
+in blocks, in which only rows outside the crowd's largest component are probes; two blocks at most meet in a task.
 
 Defined results: texts without words are equal; a text of fewer words than a shingle is one shingle; repeated
 rows and null doc_ids are treated as in simhash; an empty table gives no rows; other columns are not read.
@@ -272,39 +272,50 @@ def first_pairs(entries: DataFrame, nodes: DataFrame, similar: float) -> DataFra
 
 def other_pairs(entries: DataFrame, nodes: DataFrame, roots: DataFrame, similar: float) -> DataFrame:
     """Candidates: all rows of a crowd that are in different components."""
-    names = [f"{P}{c}" for c in ("h", "block", "size", "at", "key", "root", "probe", "bits")]
+    names = [f"{P}{c}" for c in ("h", "block", "size", "at", "key", "root", "side", "bits")]
 
-    def compared(s, p, k, r, probe, sketch, out) -> Iterator[pa.RecordBatch]:
-        """Rows of one crowd, sorted by size; pairs of which one is a probe at least."""
+    def compared(s, p, k, r, side, sketch, out) -> Iterator[pa.RecordBatch]:
+        """Rows of one crowd's block, sorted by size; pairs of different sides, or all where there are no sides (0)."""
         step = max(1, CELLS // len(s))
         for c in range(0, len(s), step):
             # partners come later, and are at most so much larger
             last = int(np.searchsorted(s, s[min(c + step, len(s)) - 1] / similar + 1e-9, "right"))
             x, y = slice(c, c + step), slice(c, last)
-            good = may_reach(s[x, None], p[x, None], s[None, y], p[None, y], similar) & (r[x, None] != r[None, y]) & (probe[x, None] | probe[None, y])
+            good = may_reach(s[x, None], p[x, None], s[None, y], p[None, y], similar) & (r[x, None] != r[None, y]) & ((side[x, None] != side[None, y]) | (side[x, None] == 0))
             i, j = np.nonzero(good)
             yield from out.add(k, s, sketch, i + c, j + c)
 
     def meet(batches):
         out = Pairs(similar)
-        for h, block, size, at, key, root, probe, sketch in runs(batches, 2):
+        for h, block, size, at, key, root, side, sketch in runs(batches, 2):
             edges = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (block[1:] != block[:-1]), [True]]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 x = slice(a, b)
-                if b - a > 1 and probe[x].any():
-                    yield from compared(size[x], at[x], key[x], root[x], probe[x].astype(bool), sketch[x], out)
+                if b - a > 1:
+                    yield from compared(size[x], at[x], key[x], root[x], side[x], sketch[x], out)
         yield out.batch()
 
     placed = entries.join(roots.select(F.col("u").alias(f"{P}key"), F.col("v").alias(f"{P}root")), f"{P}key", "left").withColumn(f"{P}root", F.coalesce(f"{P}root", f"{P}key"))
     placed = written(placed, "crowds")
     each = placed.groupBy(f"{P}h", f"{P}root").agg(F.count(F.lit(1)).alias(f"{P}rows")).groupBy(f"{P}h")
     # crowds with several components, and the largest of each
-    main = written(each.agg(F.count(F.lit(1)).alias(f"{P}roots"), F.sum(f"{P}rows").alias(f"{P}rows"), F.max_by(f"{P}root", F.struct(f"{P}rows", f"{P}root")).alias(f"{P}main")).filter(F.col(f"{P}roots") > 1), "mixed")
+    own = F.max(f"{P}rows").alias(f"{P}own")
+    main = written(each.agg(F.count(F.lit(1)).alias(f"{P}roots"), F.sum(f"{P}rows").alias(f"{P}rows"), own, F.max_by(f"{P}root", F.struct(f"{P}rows", f"{P}root")).alias(f"{P}main")).filter(F.col(f"{P}roots") > 1), "mixed")
     mixed = joined(placed, main, f"{P}h", f"{P}rows", placed.count())
-    # in blocks: rows of the largest component are in one block each, and all others, the probes, in every block
-    probe = (F.col(f"{P}n") == 0) | (F.col(f"{P}root") != F.col(f"{P}main"))
-    block = F.when(F.col(f"{P}n") == 0, F.array(F.lit(0))).when(probe, F.sequence(F.lit(0), F.greatest(F.col(f"{P}n"), F.lit(1)) - 1)).otherwise(F.array(F.pmod(F.xxhash64(f"{P}key"), F.greatest(F.col(f"{P}n"), F.lit(1))).cast("int")))
-    dealt = with_sketch(mixed.select(f"{P}h", F.explode(block).alias(f"{P}block"), f"{P}size", f"{P}at", f"{P}key", f"{P}root", probe.cast("int").alias(f"{P}probe")), nodes).select(*names)
+    # in a dealt crowd, rows of the largest component are in n blocks, and all others, the probes, in some of their own; each
+    # block of probes meets itself, the later ones, and the n others, so that a task holds two blocks at most
+    n, probes, hashed = F.greatest(f"{P}n", F.lit(1)), F.greatest(F.ceil((F.col(f"{P}rows") - F.col(f"{P}own")) / BLOCK), F.lit(1)).cast("int"), F.xxhash64(f"{P}key")
+    mine, place = F.pmod(hashed, probes).cast("int"), F.pmod(hashed, n).cast("int")
+
+    def meeting(i, j, side):
+        return F.struct((i * (probes + n) + j).cast("int").alias("block"), side.cast("int").alias("side"))
+
+    of_probe = F.concat(F.transform(F.sequence(F.lit(0), probes - 1), lambda j: meeting(F.least(mine, j), F.greatest(mine, j), F.when(j == mine, 0).when(j > mine, 1).otherwise(2))),
+                        F.transform(F.sequence(F.lit(0), n - 1), lambda k: meeting(mine, probes + k, F.lit(1))))
+    of_main = F.transform(F.sequence(F.lit(0), probes - 1), lambda i: meeting(i, probes + place, F.lit(2)))
+    block = F.when(F.col(f"{P}n") == 0, F.array(meeting(F.lit(0), F.lit(0), F.lit(0)))).when(F.col(f"{P}root") != F.col(f"{P}main"), of_probe).otherwise(of_main)
+    spread = mixed.select(f"{P}h", F.explode(block).alias(f"{P}x"), f"{P}size", f"{P}at", f"{P}key", f"{P}root")
+    dealt = with_sketch(spread.select("*", F.col(f"{P}x.block").alias(f"{P}block"), F.col(f"{P}x.side").alias(f"{P}side")), nodes).select(*names)
     return dealt.repartition(f"{P}h", f"{P}block").sortWithinPartitions(f"{P}h", f"{P}block", f"{P}size", f"{P}key").mapInArrow(meet, _PAIRS)
 
 
