@@ -40,6 +40,21 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def against_sql(spark, folder, name: str) -> None:
+    """A query on a table of events of its own."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS FROM '{folder}/events.parquet'")
+    got, want = catalog.queries()[name](spark, str(folder)).toPandas(), c.sql(catalog.oracle_sql()[name]).df()
+    assert len(want) and rows(got) == rows(want)
+
+
+def test_purchases_of_one_time_all_tick(spark, duck, tmp_path):
+    duck.sql(f"COPY (SELECT event_id + 1000000 * k AS event_id, ts, user_id + 100000 * k AS user_id, event_type, value, props FROM events, range(3) t(k)) TO '{tmp_path}/events.parquet'")
+    against_sql(spark, tmp_path, "src_adapter_subscribe")
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

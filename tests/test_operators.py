@@ -16,7 +16,7 @@ from tidemark.operators.dynamic import dynamic
 from tidemark.operators.feedback import feedback
 from tidemark.plans.run import PythonInPlan, begin, run
 from tidemark.sinks.tables import add_graph_output
-from tidemark.sources.batch import CsvAdapterManager, ReplayAdapterManager, const, curve, read_frame, timer
+from tidemark.sources.batch import AdapterManager, CsvAdapterManager, ReplayAdapterManager, const, curve, read_frame, timer
 
 START, SEC = datetime(2021, 6, 1, 8), timedelta(seconds=1)
 SPAN = 40
@@ -382,6 +382,26 @@ def test_keyed_replay(spark):
     assert got == {k: [(v, v) for _, n, v in rows if n == k] for k in "xyzw"}
 
 
+@pytest.mark.parametrize("keyed", [False, True])
+def test_adapter_rows_of_one_time_are_cycles_of_their_own(spark, keyed):
+    """In order of `seq`, past rows at the start too."""
+    rng = random.Random(52)
+    rows = [(START + rng.choice([-2, 0, 3, 3, 5]) * SEC, rng.choice("xy"), i, float(rng.randint(0, 3))) for i in range(40)]
+    df = spark.createDataFrame(rows, "time timestamp, key string, seq long, value double")
+
+    def graph():
+        m = AdapterManager(df, seq="seq", each=True)
+        series = m.all() if keyed else m.subscribe("x")
+        add_graph_output("rows", series)
+        add_graph_output("n", op.count(series))
+
+    found = run(graph, starttime=START, endtime=SPAN * SEC, spark=spark)
+    for name, value in (("rows", lambda i, v: v), ("n", lambda i, v: i + 1)):
+        got = found[name].filter("key = 'x'") if keyed else found[name]
+        want = sorted((t, i, v) for t, k, i, v in rows if k == "x")
+        assert [(r.t, r.value) for r in got.orderBy("t", "cyc").collect()] == [(max(START, t), value(i, v)) for i, (t, _, v) in enumerate(want)]
+
+
 def test_native_guard(spark):
     with pytest.raises(PythonInPlan):
         run(lambda: add_graph_output("x", tide(replayed([(1, 1.0)]), still=0.0).ebb), starttime=START, endtime=SEC, spark=spark, native=True)

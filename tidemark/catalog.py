@@ -147,7 +147,8 @@ def src_read_frame_ties(spark, d):
 
 @query("SELECT ts, value FROM events WHERE event_type = 'purchase'")
 def src_adapter_subscribe(spark, d):
-    return shown(source.AdapterManager(table(spark, d, "events"), "ts", "event_type", "value").subscribe("purchase"))
+    """Every purchase ticks, several at one time in cycles of their own."""
+    return shown(source.AdapterManager(table(spark, d, "events"), "ts", "event_type", "value", seq="event_id", each=True).subscribe("purchase"))
 
 
 @query("SELECT event_type, date_trunc('day', ts) AS ts, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")

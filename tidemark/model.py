@@ -210,6 +210,13 @@ def last_of_cycle(rows: DataFrame, keys: tuple[str, ...], cells: list[str], orde
     return dealt.groupBy(*keys, "t", "cyc").agg(best).select(*keys, "t", "cyc", *(F.col(f"_last.{c}").alias(c) for c in cells))
 
 
+def own_cycles(rows: DataFrame, keys: tuple[str, ...], cells: list[str], order: Column | str) -> DataFrame:
+    """All rows: those that share a key and cycle follow one another, by `order`, in cycles from that one on. Dealt as by `last_of_cycle`."""
+    dealt = rows.repartition(*keys) if keys else rows
+    place = F.row_number().over(Window.partitionBy(*keys, "t", "cyc").orderBy(order))
+    return dealt.select(*keys, "t", (F.col("cyc") + place - 1).alias("cyc"), *cells)
+
+
 def align(*series: Series) -> list[Series]:
     """The same series on one frame. Those that share a frame already cost nothing."""
     frames = list(dict.fromkeys(x.frame for x in series))

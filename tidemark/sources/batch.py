@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import ONE, Frame, Node, Series, _ids, last_of_cycle, micros, moment, running, series_of, utc
+from ..model import MANY, ONE, Frame, Node, Series, _ids, last_of_cycle, micros, moment, own_cycles, running, series_of, utc
 
 
 def _live():
@@ -38,10 +38,11 @@ def timer(interval: timedelta, value=True) -> Series:
     return series_of(df, "v", op="timer")
 
 
-def placed(df: DataFrame, t: str, cells: dict, keys: tuple[str, ...], seq: str | None) -> Frame:
+def placed(df: DataFrame, t: str, cells: dict, keys: tuple[str, ...], seq: str | None, each: bool = False) -> Frame:
     """Cells (name: value) as a frame. Points in the past come now; those at the start or before are in the cycle after the
     constants; beyond the end none. Of a key's points in one cycle the last by `seq` stays; without one, that of the latest
-    own time and then the greatest values as text, so that every run takes the same.
+    own time and then the greatest values as text, so that every run takes the same. With `each` all stay, in that order
+    in cycles of their own.
     """
     run = running()
     if run.live is not None:
@@ -51,15 +52,18 @@ def placed(df: DataFrame, t: str, cells: dict, keys: tuple[str, ...], seq: str |
     order = [F.col(seq)] if seq else [F.unix_micros(when), *(F.to_json(F.struct(v.alias("v"))) for v in cells.values())]
     rows = df.select(*keys, F.greatest(when, start).alias("t"), (when <= start).cast("int").alias("cyc"), *(F.struct(v.alias("v")).alias(n) for n, v in cells.items()), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("_order"), when.alias("_when"))
     rows = rows.filter(F.col("_when").isNotNull() & (F.col("t") <= end))
-    frame = Frame(last_of_cycle(rows, keys, list(cells), "_order"), keys, ONE)
+    if each:
+        frame = Frame(own_cycles(rows, keys, list(cells), F.struct("_when", "_order")), keys, MANY)
+    else:
+        frame = Frame(last_of_cycle(rows, keys, list(cells), "_order"), keys, ONE)
     frame.dense |= set(cells)
     return frame
 
 
-def clamped(df: DataFrame, t: str, value, keys: tuple[str, ...], seq: str | None, op: str) -> Series:
+def clamped(df: DataFrame, t: str, value, keys: tuple[str, ...], seq: str | None, op: str, each: bool = False) -> Series:
     """One series of `placed` points."""
     name = f"s{next(_ids)}"
-    return Series(placed(df, t, {name: value}, keys, seq), name, Node(op))
+    return Series(placed(df, t, {name: value}, keys, seq, each), name, Node(op))
 
 
 def curve(kind: str, data: Iterable[tuple[timedelta | datetime, object]]) -> Series:
@@ -99,10 +103,11 @@ def read_csv(path: str, time_col: str, value_cols: list[str] | None = None, keys
 
 
 class AdapterManager:
-    """Rows (time, key, value) as keyed series. `subscribe(key)` gives the same series each time; an unknown key's never ticks."""
+    """Rows (time, key, value) as keyed series. `subscribe(key)` gives the same series each time; an unknown key's never ticks.
+    Of a key's rows at one time the last ticks; with `each` all do, by `seq`, in cycles of their own."""
 
-    def __init__(self, df: DataFrame, time_col: str = "time", key_col: str = "key", value_col: str = "value", seq: str | None = None):
-        self.df, self.key = df, key_col
+    def __init__(self, df: DataFrame, time_col: str = "time", key_col: str = "key", value_col: str = "value", seq: str | None = None, each: bool = False):
+        self.df, self.key, self.each = df, key_col, each
         self.columns = (time_col, value_col, seq)
         self._made: dict = {}
 
@@ -112,12 +117,12 @@ class AdapterManager:
     def all(self) -> Series:
         """All keys at once, the key a column: what scales."""
         t, v, seq = self.columns
-        return self._made.setdefault(None, clamped(self.df, t, F.col(v), (self.key,), seq, "adapter"))
+        return self._made.setdefault(None, clamped(self.df, t, F.col(v), (self.key,), seq, "adapter", self.each))
 
     def subscribe(self, key) -> Series:
         t, v, seq = self.columns
         if key not in self._made:
-            self._made[key] = clamped(self.df.filter(F.col(self.key) == F.lit(key)), t, F.col(v), (), seq, f"adapter[{key}]")
+            self._made[key] = clamped(self.df.filter(F.col(self.key) == F.lit(key)), t, F.col(v), (), seq, f"adapter[{key}]", self.each)
         return self._made[key]
 
 
