@@ -55,6 +55,15 @@ def test_purchases_of_one_time_all_tick(spark, duck, tmp_path):
     against_sql(spark, tmp_path, "src_adapter_subscribe")
 
 
+def test_division_by_zero_and_large_quotients(spark, tmp_path):
+    import duckdb
+
+    pairs = [(3.0, 50.0), (-3.0, 50.0), (0.0, 50.0), (9e15, 50.001), (-9e15, 50.001), (7.0, 50.0000000000001), (4503599627.370497, 51.0), (1.0, 53.0), (1e308, 50.0001)]
+    listed = ", ".join(f"({2 * k + i}, TIMESTAMP '2024-01-01' + INTERVAL {2 * k + i} SECOND, {k}, '{kind}', {v!r}::DOUBLE)" for k, pair in enumerate(pairs) for i, (kind, v) in enumerate(zip(("click", "view"), pair)))
+    duckdb.connect().sql(f"COPY (SELECT * FROM (VALUES {listed}) t(event_id, ts, user_id, event_type, value)) TO '{tmp_path}/events.parquet'")
+    against_sql(spark, tmp_path, "op_div")
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -33,7 +33,9 @@ _SQL: dict[str, str] = {}
 def settled(x, digits: int):
     """x rounded half up, where what is within a millionth of a unit below a half counts as one: sums in another order round alike."""
     unit = 10.0**digits
-    return F.floor(x * unit + 0.500001) / unit
+    moved = x * unit + 0.500001
+    # a floor is a long; from 2**52 on doubles are whole, and infinities and NaN have no floor
+    return F.when(F.abs(moved) < 2.0**52, F.floor(moved).cast("double")).otherwise(moved) / unit
 
 
 def _settled_sql(sql: str) -> str:
