@@ -115,6 +115,18 @@ PROSE = {
 }
 
 
+def test_references_learn_from_every_document(spark):
+    """12,000 documents, of which one in 6,000 has a word or a character that no other has."""
+    rng = random.Random(22)
+    rows = [(i, " ".join(rng.choice("abcdefghij") for _ in range(19)) + (" rare" if i % 6000 == 0 else " x"), "en") for i in range(12_000)]
+    rows += [(20_000 + i, "word " * 20 + "9" * (i % 40), f"lang{i % 30:02}") for i in range(30 * 25)]
+    refs = quality_rules.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    words = Counter(w for _, t, k in rows if k == "en" for w in t.split())
+    want = sorted(words.items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert refs.words["en"] == tuple((w, n / 240_000) for w, n in want)
+    assert list(refs.classes) == ["en", *(f"lang{i:02}" for i in range(19))]  # by documents, then by name
+
+
 def test_plain_prose_is_kept(spark):
     """By references of the corpus: prose of its languages, of a language and a script without a reference, and a technical text; not junk of the same words."""
     import os

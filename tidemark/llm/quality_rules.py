@@ -1,9 +1,9 @@
-"""Quality rules by distribution divergence, with DataFrame functions only: one scan for the verdicts, no shuffle.
+"""Quality rules by distribution divergence, with DataFrame functions only: two scans for the references, one for the verdicts.
 
 References are learned from the corpus, for each language of `lang`: the median share of each character class and the most
-common words with their shares, from about `FIT_DOCS` documents at most (whole texts, chosen by a hash of doc_id; all where
-there are fewer). A document's histograms of character classes and of common words are compared with each reference
-by Jensen-Shannon distance (base 2, 0 to 1); the nearest language counts, so a wrong or missing `lang` doesn't matter.
+common words with their shares, counted in all its documents of `MIN_WORDS` words or more. A document's histograms of
+character classes and of common words are compared with each reference by Jensen-Shannon distance (base 2, 0 to 1); the
+nearest language counts, so a wrong or missing `lang` doesn't matter.
 Either distance is held against a document on its own, where it is over what a text of that length scatters by
 chance from a reference, and a margin. Guards: below `MIN_WORDS` words (classes) and `WORD_WORDS` (words) nothing is; nor are
 classes of a document written mostly in another script than the references; and words are held against those references
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import P, ascii_words, let
 
 WINDOW, MIN_WORDS, MAX_REPEATED_PERCENT = 8, 20, 30
-#: Documents that references are learned from, at most about; the least of a language; the languages kept; common words of each.
-FIT_DOCS, LEAST_DOCS, MOST_LANGS, COMMON = 5_000, 20, 20, 10
+#: The least documents of a language with a reference; the languages kept; common words of each.
+LEAST_DOCS, MOST_LANGS, COMMON = 20, 20, 10
 #: Parts of a share in which medians are found.
 PARTS = 1_000
 #: Most distance of a text of n words: the first number and the second over the root of n. The second is what sampling 7
@@ -56,32 +56,30 @@ def with_classes(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(f"{P}c_high", F.char_length(rest)).drop(*(f"{P}less_{k}" for k in CLASSES))
 
 
-def learned(docs: DataFrame, fit_docs: int = FIT_DOCS) -> References:
-    """References of the documents' languages; none where there is no column `lang`."""
+def learned(docs: DataFrame) -> References:
+    """References of the documents' languages, from all documents; none where there is no column `lang`."""
     if "lang" not in docs.columns:
         return References({}, {})
-    n = docs.count()
-    number = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double")
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (number * n < float(fit_docs) * 2.0**32)).select(F.col("lang").cast("string").alias("lang"), "text", ascii_words(F.col("text")).alias("words")).filter(F.size("words") >= MIN_WORDS)
-    known = {r.lang: r.words for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("words")).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
+    # of a language at most classes x parts
+    part = F.explode(F.when(F.col("words") >= MIN_WORDS, F.array(*(F.struct(F.lit(i).alias("i"), F.floor(PARTS * F.col(f"{P}c_{k}") / F.char_length("text")).alias("part")) for i, k in enumerate(CLASSES))))).alias("x")
+    parts = with_classes(rows.withColumn("words", F.size(ascii_words(F.col("text")))), "text").select("lang", "words", part).groupBy("lang", "x.i", "x.part").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
+    # each document is counted once in the first class
+    first = lambda c: F.sum(F.when(F.col("i") == 0, F.col(c)).otherwise(0)).alias(c)
+    known = parts.groupBy("lang").agg(first("n"), first("words"), F.sort_array(F.collect_list(F.struct("i", "part", F.col("n").alias("docs")))).alias("parts")).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
     if not known:
         return References({}, {})
-    rows = rows.filter(F.col("lang").isin(sorted(known)))
-    counted = rows.select("lang", F.explode(F.transform("words", lambda w: F.lower(w))).alias("word")).filter(F.col("word").rlike(r"^\p{L}+$")).groupBy("lang", "word").count()
+    total, classes = {r.lang: r.words for r in known}, {}
+    for r in sorted(known, key=lambda r: r.lang):
+        middle = [_median([(x.part, x.docs) for x in r.parts if x.i == i]) for i in range(len(CLASSES))]
+        classes[r.lang] = tuple(m / sum(middle) for m in middle)
+    long_enough = let(ascii_words(F.col("text")), lambda w: F.when(F.size(w) >= MIN_WORDS, w))
+    counted = rows.filter(F.col("lang").isin(sorted(total))).select("lang", F.explode(long_enough).alias("word")).select("lang", F.lower("word").alias("word")).groupBy("lang", "word").count().filter(F.col("word").rlike(r"^\p{L}+$"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
-    words: dict[str, list] = {k: [] for k in known}
+    words: dict[str, list] = {k: [] for k in sorted(total)}
     for r in counted.withColumn("place", place).filter(F.col("place") <= COMMON).orderBy("lang", "place").collect():
-        words[r.lang].append((r.word, r["count"] / known[r.lang]))
-    part = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(PARTS * F.col(f"{P}c_{k}") / F.char_length("text")).alias("part")) for i, k in enumerate(CLASSES)))).alias("x")
-    parts: dict[tuple, list] = {}
-    # at most languages x classes x parts
-    for r in with_classes(rows.select("lang", "text"), "text").select("lang", part).groupBy("lang", "x.i", "x.part").count().orderBy("lang", "i", "part").collect():
-        parts.setdefault((r.lang, r.i), []).append((r.part, r["count"]))
-    classes = {}
-    for lang in sorted(known):
-        middle = [_median(parts[lang, i]) for i in range(len(CLASSES))]
-        classes[lang] = tuple(m / sum(middle) for m in middle)
-    return References(classes, {k: tuple(words[k]) for k in sorted(known)})
+        words[r.lang].append((r.word, r["count"] / total[r.lang]))
+    return References(classes, {k: tuple(v) for k, v in words.items()})
 
 
 def _median(parts: list[tuple[int, int]]) -> int:
