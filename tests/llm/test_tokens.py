@@ -117,3 +117,32 @@ def test_best_fit(lengths):
         own = sorted((offsets[i], lengths[i]) for i in range(len(lengths)) if bins[i] == b)
         assert sum(n for _, n in own) == loads[b] and [o for o, _ in own] == np.concatenate([[0], np.cumsum([n for _, n in own])[:-1]]).tolist()
     assert sum(2 * n <= 50 for n in loads) <= 1  # at most one bin is half empty
+
+
+@settings(max_examples=200, deadline=None)
+@given(lengths=st.lists(st.integers(1, 50), max_size=120))
+def test_counts_are_packed_as_items_are(lengths):
+    """Each item is in one run, its sequence has no gap, and there are as many sequences as best fit decreasing opens."""
+    runs = packing.fit_counts(np.bincount(np.array(lengths, np.int64), minlength=51), 50)
+    items = Counter()
+    by = {}
+    for n, rank, many, sequence, offset in runs.tolist():
+        for i in range(many):
+            items[n, rank + i] += 1
+            by.setdefault(sequence + i, []).append((offset, n))
+    assert items == Counter((n, i) for n, many in Counter(lengths).items() for i in range(many))
+    for own in by.values():
+        own.sort()
+        assert sum(n for _, n in own) <= 50 and [o for o, _ in own] == np.concatenate([[0], np.cumsum([n for _, n in own])[:-1]]).tolist()
+    assert sorted(sum(n for _, n in own) for own in by.values()) == sorted(packing.best_fit(np.array(lengths, np.int64), 50)[2])
+
+
+def test_every_bin_takes_part(spark, tokenizer, monkeypatch):
+    """1,600 bins of some 60 of 64 tokens in 16 partitions, more than a node of a tree would hand up, and 600 small ones in another that fit into their room."""
+    monkeypatch.setattr(packing, "CHUNK", 1)
+    monkeypatch.setattr(packing, "BATCH", 1)
+    docs = spark.createDataFrame([(i, "a " * (60 if i < 1600 else 2)) for i in range(2200)], "doc_id long, text string")
+    got = packing.packed(docs.filter("doc_id < 1600").repartition(16).union(docs.filter("doc_id >= 1600").coalesce(1)), tokenizer, 64, 1).collect()
+    lengths = {r.length for r in got}
+    assert len(got) == 2200 and max(lengths) + min(lengths) <= 64
+    assert len({r.sequence_id for r in got}) == 1600

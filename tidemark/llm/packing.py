@@ -1,13 +1,11 @@
 """Best-fit packing: hierarchical residual packing.
 
 Each partition tokenizes its documents, cuts only those longer than a sequence, and packs the pieces by
-best-fit decreasing. Bins that are nearly full are done. Underfull bins become items of the next round:
-partitions merge as a tree of a fixed fan-in, and each node packs its children's bins best-fit again. Only
-bins move in the tree (an id, a load, the places of the bins inside); the pieces stay where they were
-written. A node hands up at most `forward` of its underfull bins, those with the most room, so that no task holds all; the
-others are done as they are, which loses no row. Of bins packed together one at most is under half full, and only such a
-bin fits into another's room: what goes up beyond it are places for the few such bins of other nodes. `forward=None` hands
-up all of them; `test_bins_handed_up` and the README compare both.
+best-fit decreasing. Its bins become items of a second round, which packs those of all partitions best-fit
+again. No task holds them: bins of one load are alike, so the round needs only how many there are of each load,
+`capacity` numbers at most. Its plan is made of runs: bins of one load, from some rank on, each go to the next sequence of a
+row of sequences, at one offset. A bin's rank is its place among the bins of its load in its partition and the number of
+such bins in the partitions before; so each piece finds its run on its own. All bins take part, full ones too.
 
 Defined results: a null or empty text is its end id alone, one piece of length 1; a very long one is cut into pieces of a
 whole sequence, and a last one; an empty table gives no rows; repeated rows and equal doc_ids are packed one by one, each
@@ -23,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import P, written
@@ -33,14 +31,10 @@ from .tokenize import word_ids
 CHUNK = 100_000
 #: Documents tokenized in one go.
 BATCH = 1_000
-FAN_IN = 16
-#: Bins that a node hands up at most.
-FORWARD = 512
-#: A bin with less room than this, as a share of a sequence, is done.
-NEARLY_FULL = 0.005
+#: Bits of a rank.
+RANK = 40
 
-_PIECES = f"doc_id long, piece int, start long, length long, ids_crc32 long, {P}bin long, {P}off long, {P}load long, {P}node int"
-_BINS = f"{P}node int, {P}bin long, {P}load long, {P}inside array<struct<bin:long,off:long>>"
+_PIECES = f"doc_id long, piece int, start long, length long, ids_crc32 long, {P}off long, {P}node int, {P}load int, {P}rank long"
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -70,6 +64,45 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, loads
 
 
+def fit_counts(counts: np.ndarray, capacity: int) -> np.ndarray:
+    """Best-fit decreasing of counts[n] items of each length n: runs (length, rank, items, sequence, offset), by length and rank.
+    Item rank + i of the length goes to sequence + i.
+
+    Sequences of the same room are taken together: each is filled with as many items as fit before the next, as one after another would be.
+    """
+    runs, opened, mask = [], 0, 0
+    alike: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+
+    def left_with(room: int, first: int, many: int) -> None:
+        nonlocal mask
+        if room and many:
+            alike[room].append((first, many))
+            mask |= 1 << room
+
+    for n in range(capacity, 0, -1):
+        left, rank = int(counts[n]), 0
+        while left:
+            fits = mask >> n
+            if fits:
+                room = n + (fits & -fits).bit_length() - 1
+                first, many = alike[room].pop()
+                if not alike[room]:
+                    mask &= ~(1 << room)
+            else:
+                room, first, many = capacity, opened, -(-left // (capacity // n))
+                opened += many
+            # of them some take as many as fit, one what is left, the others none
+            for items, used in ((room // n, min(many, left // (room // n))), (left % (room // n), 1)):
+                if not items or not used or not many or not left:
+                    continue
+                runs += [(n, rank + k * used, used, first, capacity - room + k * n) for k in range(items)]
+                left_with(room - items * n, first, used)
+                rank, left, first, many = rank + items * used, left - items * used, first + used, many - used
+            left_with(room, first, many)
+    out = np.array(runs, np.int64).reshape(-1, 5)
+    return out[np.lexsort((out[:, 1], out[:, 0]))]
+
+
 def pieces_of(at: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts whose ids start at `at`: each piece's text, number and length."""
     sizes = np.diff(at)
@@ -79,28 +112,30 @@ def pieces_of(at: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np
     return text, piece, np.minimum(capacity, sizes[text] - piece * capacity)
 
 
-def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, forward: int | None = FORWARD) -> DataFrame:
-    """Rows doc_id, piece, start, length, ids_crc32, sequence_id, offset. forward: bins that a node hands up at most; None for all."""
-    room = max(1, int(capacity * NEARLY_FULL))
+def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, forward: int | None = None) -> DataFrame:
+    """Rows doc_id, piece, start, length, ids_crc32, sequence_id, offset. forward: bins of a pack that take part in the second
+    round at most, the emptiest; None, as the queries have it, for all."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, chunk, held, n_held = TaskContext.get().partitionId(), 0, [], 0
-        words = word_ids(tokenizer_path)
+        node, held, n_held = TaskContext.get().partitionId(), [], 0
+        words, seen = word_ids(tokenizer_path), np.zeros(capacity + 1, np.int64)
 
         def flush() -> pa.RecordBatch:
             doc, piece, length, crc = (np.concatenate(x) for x in zip(*held))
             bins, offsets, loads = best_fit(length, capacity)
             loads = np.array(loads, np.int64)
-            load = loads[bins]
-            # bins that go up the tree: underfull ones, the emptiest first
-            order = np.argsort(loads, kind="stable")[:forward]
-            up = np.zeros(len(loads), bool)
-            up[order[loads[order] <= capacity - room]] = True
-            ids = (np.int64(node) << 40) + (np.int64(chunk) << 20) + bins
+            order = np.argsort(loads, kind="stable")
+            if forward is not None:
+                loads[order[forward:]] = capacity  # as if full
+                order = np.argsort(loads, kind="stable")
+            count = np.bincount(loads, minlength=capacity + 1)
+            rank = np.zeros(len(loads), np.int64)
+            rank[order] = np.arange(len(loads)) - np.repeat(np.cumsum(count) - count - seen, count)
+            seen[:] += count
             return pa.record_batch([
-                pa.array(doc), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc), pa.array(ids), pa.array(offsets),
-                pa.array(load), pa.array(np.where(up[bins], node, -1).astype(np.int32)),
-            ], names=["doc_id", "piece", "start", "length", "ids_crc32", f"{P}bin", f"{P}off", f"{P}load", f"{P}node"])
+                pa.array(doc), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc), pa.array(offsets),
+                pa.array(np.full(len(bins), node, np.int32)), pa.array(loads[bins].astype(np.int32)), pa.array(rank[bins]),
+            ], names=["doc_id", "piece", "start", "length", "ids_crc32", f"{P}off", f"{P}node", f"{P}load", f"{P}rank"])
 
         for whole in batches:
             for a in range(0, whole.num_rows, BATCH):
@@ -114,46 +149,28 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                 n_held += len(text)
                 if n_held >= CHUNK:
                     yield flush()
-                    held, n_held, chunk = [], 0, chunk + 1
+                    held, n_held = [], 0
         if n_held:
             yield flush()
 
-    def merged(pdf):
-        import pandas as pd
-
-        node = int(pdf[f"{P}node"].iloc[0])
-        pdf = pdf.sort_values(f"{P}bin", kind="stable")
-        bins, offsets, loads = best_fit(pdf[f"{P}load"].to_numpy(np.int64), capacity)
-        inside, first = [[] for _ in loads], [0] * len(loads)
-        for b, off, own, bin_id in zip(bins.tolist(), offsets.tolist(), pdf[f"{P}inside"], pdf[f"{P}bin"].tolist()):
-            if not inside[b]:
-                first[b] = bin_id
-            inside[b] += [{"bin": int(x["bin"]), "off": int(x["off"]) + off} for x in own]
-        loads = np.array(loads, np.int64)
-        order = np.argsort(loads, kind="stable")[:forward]
-        up = np.zeros(len(loads), bool)
-        up[order[loads[order] <= capacity - room]] = True
-        return pd.DataFrame({f"{P}node": np.where(up, node, -1).astype(np.int32), f"{P}bin": first, f"{P}load": loads, f"{P}inside": inside})
-
-    spark = docs.sparkSession
     pieces = written(docs.select("doc_id", "text").mapInArrow(local, _PIECES), "pieces")
-    bins = pieces.filter(F.col(f"{P}node") >= 0).groupBy(f"{P}bin").agg(F.first(f"{P}load").alias(f"{P}load"), F.first(f"{P}node").alias(f"{P}node")).select(
-        f"{P}node", f"{P}bin", f"{P}load", F.array(F.struct(F.col(f"{P}bin").alias("bin"), F.lit(0).cast("long").alias("off"))).alias(f"{P}inside"))
-    top = pieces.agg(F.max(f"{P}node")).first()[0]
-    done, nodes = [], 1 + (-1 if top is None else top)
-    while nodes > 0:
-        # the last round's node is the root; a single partition's bins were packed already
-        nodes = -(-nodes // FAN_IN) if nodes > 1 else 0
-        if nodes:
-            up = bins.withColumn(f"{P}node", F.floor(F.col(f"{P}node") / FAN_IN).cast("int"))
-            bins = written(up.groupBy(f"{P}node").applyInPandas(merged, _BINS), "bins")
-            done.append(bins.filter(F.col(f"{P}node") < 0))
-            bins = bins.filter(F.col(f"{P}node") >= 0)
-    moved = bins
-    for x in done:
-        moved = moved.unionByName(x)
-    moved = moved.select(F.col(f"{P}bin").alias(f"{P}seq"), F.explode(f"{P}inside").alias(f"{P}in")).select(F.col(f"{P}in.bin").alias(f"{P}bin"), F.col(f"{P}in.off").alias(f"{P}base"), f"{P}seq")
-    placed = F.col(f"{P}node") >= 0
-    out = pieces.filter(placed).join(moved, f"{P}bin", "left").select(
-        "doc_id", "piece", "start", "length", "ids_crc32", F.coalesce(f"{P}seq", f"{P}bin").alias("sequence_id"), (F.col(f"{P}off") + F.coalesce(f"{P}base", F.lit(0))).alias("offset"))
-    return out.unionByName(pieces.filter(~placed).select("doc_id", "piece", "start", "length", "ids_crc32", F.col(f"{P}bin").alias("sequence_id"), F.col(f"{P}off").alias("offset")))
+    load, node, rank = (F.col(f"{P}{c}") for c in ("load", "node", "rank"))
+    counts = written(pieces.groupBy(load, node).agg((F.max(rank) + 1).alias(f"{P}n")), "loads")
+    total = np.zeros(capacity + 1, np.int64)
+    for r in counts.groupBy(load).agg(F.sum(f"{P}n").alias("n")).collect():
+        total[r[f"{P}load"]] = r.n
+    plan = docs.sparkSession.sparkContext.broadcast(fit_counts(total, capacity))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length, first, _, sequence, offset = plan.value.T
+        starts = (length << RANK) + first
+        for batch in batches:
+            own = (batch.column(5).to_numpy().astype(np.int64) << RANK) + batch.column(6).to_numpy()
+            at = np.searchsorted(starts, own, side="right") - 1
+            yield pa.record_batch([*batch.columns[:5], pa.array(sequence[at] + own - starts[at]), pa.array(offset[at] + batch.column(7).to_numpy())],
+                                  names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    before = F.sum(f"{P}n").over(Window.partitionBy(load).orderBy(node)) - F.col(f"{P}n")
+    ranked = pieces.join(counts.select(load, node, before.alias(f"{P}before")), [f"{P}load", f"{P}node"])
+    rows = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", load, (rank + F.col(f"{P}before")).alias(f"{P}rank"), f"{P}off")
+    return rows.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
