@@ -207,6 +207,26 @@ def test_ranking_against_brute_force(spark):
     assert (one.weights == two.weights).all() and one.zero == two.zero
 
 
+def test_ranking_learns_from_every_label(spark):
+    """12,000 labelled documents: the share of quality 1, and the quantile bins' edges, are those of all."""
+    texts = [" ".join(["word"] * (1 + i % 997)) for i in range(12_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(12_000)], "doc_id long, quality int")
+    ranker = quality_rank.fit(docs, labels, F.lit(True))
+    assert ranker.base == 8_000 / 12_000
+    want = np.quantile(np.log1p(1 + np.arange(12_000) % 997), np.arange(1, 16) / 16)
+    assert ranker.edges[0] == pytest.approx(want, rel=1e-2)
+    rows = quality_rank.measured(docs.limit(50))
+    same = [{r.doc_id: r.score for r in quality_rank.scored(x, ranker).collect()} for x in (docs, rows)]
+    assert all(same[0][k] == v for k, v in same[1].items()) and len(same[1]) == 50
+    # counted rows are fitted as rows written out are
+    rng = np.random.default_rng(4)
+    bins, label, many = rng.integers(0, 16, (40, 14)).astype(np.uint8), rng.integers(0, 2, 40), rng.integers(1, 4, 40)
+    one = quality_rank.fit_bins(ranker.edges, bins, label, many.astype(float))
+    two = quality_rank.fit_bins(ranker.edges, np.repeat(bins, many, axis=0), np.repeat(label, many), np.ones(many.sum()))
+    assert one.weights == pytest.approx(two.weights, abs=1e-4) and one.zero == pytest.approx(two.zero, abs=1e-3) and one.base == two.base
+
+
 def plain_buckets(text):
     """Buckets of the 1- to 3-grams of a lowered text with three spaces in front, each by hand."""
     out, padded = [], [*(" " * 3 + text.lower()), " ", " ", " "]

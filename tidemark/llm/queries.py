@@ -28,8 +28,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
-    found = quality_rank.scored(docs, quality_rank.fit(docs, table(spark, sf_dir, "labels"), ~held_out))
+    rows, held_out = quality_rank.measured(table(spark, sf_dir, "documents")), remainder(F.col("doc_id"), 4) == 2
+    found = quality_rank.scored(rows, quality_rank.fit(rows, table(spark, sf_dir, "labels"), ~held_out))
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_rank.CUT).cast("int").alias("predicted"))
 
 
