@@ -47,6 +47,22 @@ def plain_components(ids, fps):
     return [least.get(k) for k in label.tolist()]
 
 
+def test_bits_of_all_fingerprints_are_correlated(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 50, raising=False)
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 2**62, 3000).astype(np.uint64) & rng.integers(0, 2**62, 3000).astype(np.uint64)
+    fps |= (fps & np.uint64(0xFF)) << np.uint64(8)
+    bits = (fps[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    df = spark.createDataFrame([(int(f),) for f in fps], "_tm_fp long")
+    asked = []
+    monkeypatch.setattr(simhash, "group_bits", lambda rho, m, to=simhash.group_bits: (asked.append(rho), to(rho, m))[1])
+    simhash.plan_for(df, len(fps), 4, 5)
+    with np.errstate(invalid="ignore"):
+        want = np.nan_to_num(np.abs(np.corrcoef(bits.T.astype(float))))
+    varies = bits.std(axis=0) > 0
+    assert np.allclose(asked[0][np.ix_(varies, varies)], want[np.ix_(varies, varies)], atol=1e-6)
+
+
 @settings(max_examples=100, deadline=None)
 @given(text=st.text("ab C\n\t\x1c éZ", max_size=60))
 def test_fingerprint(text):

@@ -1,6 +1,7 @@
 """The pipeline's near-duplicate stage against brute force."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -82,3 +83,23 @@ def test_hard_rows(hard, empty):
     assert out.columns == hard.columns and len(got) == len(set(label))
     assert {frozenset(shingles(r.text)) for r in got} == {frozenset(shingles(rows[k].text)) for k in set(label)}
     assert near_copies.deduplicated(empty).count() == 0
+
+
+def test_hashes_are_counted_in_every_distinct_text(spark, monkeypatch):
+    """The counts that order hashes and deal crowds are those of a plain loop over all texts, copies once; the most frequent are kept by whole levels."""
+    for limit, value in (("SAMPLE", 20), ("HELD", 500), ("OFTEN", 3)):
+        monkeypatch.setattr(near_copies, limit, value, raising=False)
+    texts = copies(random.Random(9))
+    want = Counter(h for t in set(texts) for h in near_copies.shingle_set(t).tolist())
+    df = spark.createDataFrame([(t,) for t in [*texts, *texts[:40], None, "", ""]], "text string")
+    for broadcast in (near_copies.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(near_copies, "BROADCAST_ROWS", broadcast)
+        h, n = near_copies.often(df, 5)
+        assert dict(zip(h.tolist(), n.tolist())) == {k: c for k, c in want.items() if c >= 3} and (h[1:] > h[:-1]).all()
+    levels = Counter(c for c in want.values() if c >= 3)
+    top = sorted(levels)[-3:]
+    monkeypatch.setattr(near_copies, "MOST_OFTEN", sum(levels[c] for c in top))
+    h, n = near_copies.often(df, 5)
+    assert dict(zip(h.tolist(), n.tolist())) == {k: c for k, c in want.items() if c >= top[0]}
+    monkeypatch.setattr(near_copies, "MOST_OFTEN", 0)
+    assert len(near_copies.often(df, 5)[0]) == 0

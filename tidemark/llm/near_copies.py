@@ -5,12 +5,12 @@ fingerprints, and links found by its generalised pigeonhole probes. Sets of simi
 any probing radius reaches (at 0.8 about 10 of 64), so SimHash alone would lose links, and a prefix filter, which is exact,
 completes it: in one order of all hashes, two similar sets share one of the first n - ceil(SIMILAR * n) + 1 of each. Rows of
 equal prefix hashes are a crowd; sizes, positions, a sketch of 1024 bits and at last the whole texts decide on its pairs.
-Hashes that a sample of texts shows often come last in the order, so common passages make no crowds; any sample is right.
+Hashes are counted in all distinct texts, and the most frequent come last in the order, so common passages make no crowds.
 
 Large groups of copies must not cost a square. So first come SimHash's candidates and, of each crowd, the pairs of a row with
 the one before it and with the first; they are verified few at a time, in each round of every component found so
 far the candidate that looks nearest and the one that leads to the least other component. Only rows that are still in
-different components then all meet in their crowds. A crowd of more than `BLOCK` rows, by the sample's guess or by count, is dealt
+different components then all meet in their crowds. A crowd of more than `BLOCK` rows, by its hash's texts or by its rows, is dealt
 in blocks, in which only rows outside the crowd's largest component are probes; two blocks at most meet in a task.
 
 Defined results: texts without words are equal; a text of fewer words than a shingle is one shingle; repeated
@@ -28,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import P, checked, discard, written
+from .common import BROADCAST_ROWS, P, checked, discard, written
 from .graph import components, joined, with_group
 from .simhash import hex_of, majority, one_of_each, shingle_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Texts that hashes are counted in, at most about; the counts below which a hash is rare; hashes broadcast.
-SAMPLE, OFTEN, MOST_OFTEN = 30_000, 5, 100_000
+#: The count below which a hash is rare; hashes broadcast, at most.
+OFTEN, MOST_OFTEN = 5, 100_000
+#: Parts that the hashes are counted in, by their first bits, a power of 2; hashes that a task counts at once before it deals them.
+PARTS, HELD = 1 << 12, 1 << 20
 #: Rows of a crowd that are dealt to one task.
 BLOCK = 8_192
 #: Rounds in which each component's best candidates are verified.
@@ -72,31 +74,88 @@ def may_reach(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, simila
     return 1 + np.minimum(a - i, b - j) - 1 >= similar / (1 + similar) * (a + b) - 1e-9
 
 
-def often(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that a sample of distinct texts has often, ascending, and their counts."""
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """Each text once; where few texts are repeated, only those are shuffled."""
+    rows = docs.select(text_hash(), F.coalesce("text", F.lit("")).alias("text"))
+    again = written(rows.groupBy(f"{P}text").count().filter("count > 1").select(f"{P}text"), "again")
+    if again.count() > BROADCAST_ROWS:
+        return rows.select("text").distinct()
+    alone, several = (rows.join(F.broadcast(again), f"{P}text", how).select("text") for how in ("left_anti", "left_semi"))
+    return alone.unionByName(several.distinct())
+
+
+def counted(docs: DataFrame, shingle: int) -> DataFrame:
+    """Rows h, n: the hashes that `OFTEN` or more distinct texts have, and how many. All texts are counted. A written table."""
+
+    def deal(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        edges = [*np.searchsorted(h, np.arange(PARTS, dtype=np.uint64) << np.uint64(65 - PARTS.bit_length())).tolist(), len(h)]
+        n = n.astype("<u4")
+        at = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+        return pa.record_batch([pa.array([k for k, _, _ in at], pa.int32()), pa.array([h[a:b].tobytes() for _, a, b in at], pa.binary()), pa.array([n[a:b].tobytes() for _, a, b in at], pa.binary())], names=names)
 
     def run(batches):
+        held, rows = [], 0
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(0)]
-            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, "<u8"), *sets]).view(np.int64))], names=["h"])
-
-    share = min(1.0, SAMPLE / max(1, n))
-    texts = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).distinct()
-    found = texts.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(MOST_OFTEN).toArrow()
-    h, count = (found.column(k).to_numpy() for k in range(2))
+            for t in batch.column(0):
+                held.append(shingle_set(t.as_py(), shingle))
+                rows += len(held[-1])
+                if rows >= HELD:
+                    yield deal(held)
+                    held, rows = [], 0
+        if rows:
+            yield deal(held)
+
+    def total(held):
+        h, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.add.reduceat(n, first)
+        return pa.record_batch([pa.array(h[first][n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], names=["h", "n"])
+
+    def add(batches):
+        # rows arrive sorted by part
+        last, held = None, []
+        for batch in batches:
+            for part, h, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != last and held:
+                    yield total(held)
+                    held = []
+                last = part
+                held.append((np.frombuffer(h, "<u8"), np.frombuffer(n, "<u4")))
+        if held:
+            yield total(held)
+
+    names = [f"{P}{c}" for c in ("part", "h", "n")]
+    dealt = distinct_texts(docs).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(names, ("int", "binary", "binary"))))
+    return written(dealt.repartition(names[0]).sortWithinPartitions(names[0]).mapInArrow(add, "h long, n long"), "often")
+
+
+def often(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent hashes, ascending, and how many distinct texts have each: all from the least count on that at most `MOST_OFTEN` reach."""
+    found = counted(docs, shingle)
+    least, so_far = None, 0
+    for r in sorted(found.groupBy("n").agg(F.count(F.lit(1)).alias("hashes")).collect(), key=lambda r: -r.n):
+        so_far += r.hashes
+        if so_far > MOST_OFTEN:
+            break
+        least = r.n
+    rows = found.filter(F.col("n") >= least if least else F.lit(False)).toArrow()
+    discard(found)
+    h, n = (rows.column(k).to_numpy() for k in range(2))
     at = np.argsort(h.view(np.uint64))
-    return h.view(np.uint64)[at], count[at]
+    return h.view(np.uint64)[at], n[at]
 
 
-def prefixes(docs: DataFrame, n: int, shingle: int, similar: float) -> DataFrame:
+def prefixes(docs: DataFrame, shingle: int, similar: float) -> DataFrame:
     """Rows doc_id, key of the set, text (its hash), fp (SimHash of the shingles), size of the set, its folded bits, prefix, and for each hash of it the blocks of its crowd, 0 for one that is not dealt."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(often(docs, n, shingle))
-    scale = max(1.0, n / SAMPLE)
+    shared = spark.sparkContext.broadcast(often(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
-        blocks = np.ceil(counts * scale / BLOCK).astype(np.int64)
+        blocks = np.ceil(counts / BLOCK).astype(np.int64)
         blocks[blocks < 2] = 0
         for batch in batches:
             keys, fps, sizes, bits, heads, dealt = [], [], [], [], [], []
@@ -226,9 +285,9 @@ def crowds(nodes: DataFrame) -> DataFrame:
     entries = nodes.select(f"{P}key", f"{P}size", f"{P}blocks", F.posexplode(f"{P}prefix").alias(f"{P}at", f"{P}h")).withColumn(f"{P}n", F.get(f"{P}blocks", F.col(f"{P}at")))
     rare = entries.filter(F.col(f"{P}n") == 0).select(*names).repartition(f"{P}h").sortWithinPartitions(f"{P}h").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(names, ("long", "long", "int", "int"))))
     found = written(rare.withColumn(f"{P}n", F.lit(0)).unionByName(entries.filter(F.col(f"{P}n") > 0).select(*names, f"{P}n")), "crowds")
-    # the sample only guesses: crowds that are larger than their blocks are counted here, whatever the input's size
-    counted = found.groupBy(f"{P}h").agg(F.count(F.lit(1)).alias(f"{P}rows"), F.max(f"{P}n").alias(f"{P}guess")).filter(F.col(f"{P}rows") > BLOCK * F.greatest(f"{P}guess", F.lit(1)))
-    large = written(counted.select(f"{P}h", F.ceil(F.col(f"{P}rows") / BLOCK).cast("int").alias(f"{P}blocks")), "large")
+    # crowds of hashes that are not broadcast are counted here, whatever the input's size
+    sizes = found.groupBy(f"{P}h").agg(F.count(F.lit(1)).alias(f"{P}rows"), F.max(f"{P}n").alias(f"{P}guess")).filter(F.col(f"{P}rows") > BLOCK * F.greatest(f"{P}guess", F.lit(1)))
+    large = written(sizes.select(f"{P}h", F.ceil(F.col(f"{P}rows") / BLOCK).cast("int").alias(f"{P}blocks")), "large")
     if large.isEmpty():
         return found
     out = written(found.join(checked(large), f"{P}h", "left").select(*names, F.coalesce(f"{P}blocks", f"{P}n").alias(f"{P}n")), "crowds")
@@ -390,7 +449,7 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR)
     """Rows doc_id, fingerprint (hex, names the text's set), component_id, the least doc_id of all that are linked, over any
     number of steps, and cluster, a fingerprint that names the component. A written table."""
     key, one, root, rows = f"{P}key", f"{P}one", f"{P}root", f"{P}rows"
-    of_docs = written(prefixes(docs, docs.count(), shingle, similar), "prefixes")
+    of_docs = written(prefixes(docs, shingle, similar), "prefixes")
     # one row of each set
     rest = [f"{P}{c}" for c in ("text", "fp", "size", "bits", "prefix", "blocks")]
     nodes = written(of_docs.groupBy(key).agg(F.min("doc_id").alias(one), F.count(F.lit(1)).alias(rows), F.min_by(F.struct(*rest), F.struct(f"{P}text", f"{P}fp")).alias(f"{P}x")).select(key, one, rows, *(F.col(f"{P}x.{c}").alias(c) for c in rest)), "sets")

@@ -39,8 +39,6 @@ BLOCK = 8_192
 CELLS = 1 << 21
 #: Relative costs of a probe row and of a candidate.
 ROW_COST, CANDIDATE_COST = 100.0, 1.0
-#: Fingerprints whose bits are correlated, at most about.
-SAMPLE = 200_000
 _MAX_T = 2
 #: Bytes of a plan's counts, which every worker has: one for each value of a partition and threshold.
 PLAN_BYTES = 48 << 20
@@ -115,22 +113,24 @@ def plan_bytes(m: int) -> int:
     return sum((_MAX_T + 1) << (64 // m + (i < 64 % m)) for i in range(m))
 
 
-def correlation(fps: DataFrame, n: int) -> np.ndarray:
-    """Absolute correlations of the bits, summed up on the executors."""
+def correlation(fps: DataFrame) -> np.ndarray:
+    """Absolute correlations of the bits of all fingerprints, summed up on the executors."""
 
     def count(batches):
         total = np.zeros((65, 65), np.int64)
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-            bits = np.ones((len(fp), 65), np.float32)
-            bits[:, :64] = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            for a in range(0, len(fp), 1 << 20):
-                total += np.rint(bits[a:a + (1 << 20)].T @ bits[a:a + (1 << 20)]).astype(np.int64)
-        yield pa.record_batch([pa.array([total.astype("<i8").tobytes()])], names=["counts"])
-
-    share = min(1.0, SAMPLE / max(1, n))
-    sample = fps.select(f"{P}fp").filter(F.pmod(F.xxhash64(f"{P}fp"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    total = sum(np.frombuffer(r.counts, "<i8").reshape(65, 65).astype(float) for r in sample.repartition(6).mapInArrow(count, "counts binary").collect())
+            for a in range(0, len(fp), 1 << 16):
+                some = fp[a:a + (1 << 16)]
+                bits = np.ones((len(some), 65), np.float32)
+                bits[:, :64] = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                total += np.rint(bits.T @ bits).astype(np.int64)
+        yield pa.record_batch([pa.array(np.arange(65 * 65, dtype=np.int32)), pa.array(total.reshape(-1))], names=["cell", "n"])
+
+    total = np.zeros(65 * 65)
+    for r in fps.select(f"{P}fp").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        total[r.cell] = r.n
+    total = total.reshape(65, 65)
     mean = total[:64, 64] / max(1, total[64, 64])
     cov = total[:64, :64] / max(1, total[64, 64]) - np.outer(mean, mean)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
@@ -212,7 +212,7 @@ class Plan:
 
 def plan_for(fps: DataFrame, n: int, distance: int = DISTANCE, m: int | None = None) -> Plan:
     m = m or number_of_partitions(n, distance)
-    groups = group_bits(correlation(fps, n), m)
+    groups = group_bits(correlation(fps), m)
     value = lambda g: sum((F.shiftleft(F.shiftrightunsigned(f"{P}fp", b).bitwiseAND(F.lit(1)), k) for k, b in enumerate(g)), F.lit(0)).cast("int")
     rows = fps.select(F.explode(F.array(*(F.struct(F.lit(i).alias("part"), value(g).alias("value")) for i, g in enumerate(groups)))).alias("x")).groupBy("x.part", "x.value").count()
     # a value and its count's byte as one number, runs of values as one row: four bytes for each of at most 2^width values of each partition
